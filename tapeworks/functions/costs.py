@@ -14,11 +14,11 @@ from tapeworks.dims import NEWS_MULTIPLIER, SESSION_MULTIPLIERS, STRESS_FACTORS
 class CostTerms:
     """Columns (or literals) of one cost profile joined with its instrument."""
 
-    spread_floor_pips: Column
-    commission: Column
-    slippage_fixed_pips: Column
-    slippage_atr_k: Column
-    pip_value: Column
+    spread_floor_pips: Column | float
+    commission: Column | float
+    slippage_fixed_pips: Column | float
+    slippage_atr_k: Column | float
+    pip_value: Column | float
 
     @staticmethod
     def from_columns() -> CostTerms:
@@ -30,7 +30,11 @@ class CostTerms:
     @staticmethod
     def literal(floor: float, commission: float, fixed: float, k: float,
                 pip_value: float) -> CostTerms:
-        return CostTerms(*[F.lit(float(v)) for v in (floor, commission, fixed, k, pip_value)])
+        return CostTerms(floor, commission, fixed, k, pip_value)
+
+
+def _c(value) -> Column:
+    return value if isinstance(value, Column) else F.lit(value)
 
 
 def session_multiplier(session: Column) -> Column:
@@ -49,22 +53,23 @@ def _market(session: Column, news: Column, stress: Column) -> Column:
 def spread_cost_pips(t: CostTerms, *, realized: Column, session: Column, news: Column,
                      stress: Column) -> Column:
     """Paid once per round trip; never below the floor."""
-    base = F.greatest(F.coalesce(realized, F.lit(0.0)), t.spread_floor_pips)
+    base = F.greatest(F.coalesce(realized, F.lit(0.0)), _c(t.spread_floor_pips))
     return base * _market(session, news, stress)
 
 
 def slippage_pips(t: CostTerms, *, atr_pips: Column, is_stop: Column, session: Column,
                   news: Column, stress: Column) -> Column:
     """One fill; doubled on stops."""
-    fill = t.slippage_fixed_pips + t.slippage_atr_k * atr_pips
+    fill = atr_pips * t.slippage_atr_k + t.slippage_fixed_pips
     return fill * F.when(is_stop, 2.0).otherwise(1.0) * _market(session, news, stress)
 
 
-def round_trip_pips(t: CostTerms, *, atr_pips: Column, session: Column = F.lit(None),
-                    realized: Column = F.lit(None), exit_on_stop: Column = F.lit(False),
-                    news: Column = F.lit(False), stress: Column = F.lit(1.0)) -> Column:
+def round_trip_pips(t: CostTerms, *, atr_pips: Column, session: Column | None = None,
+                    realized: Column | None = None, exit_on_stop: Column | bool = False,
+                    news: Column | bool = False, stress: Column | float = 1.0) -> Column:
     """Spread plus entry and exit slippage."""
-    session, realized = session.cast("string"), realized.cast("double")
+    session, realized = _c(session).cast("string"), _c(realized).cast("double")
+    exit_on_stop, news, stress = _c(exit_on_stop), _c(news), _c(stress)
     fill = dict(atr_pips=atr_pips, session=session, news=news, stress=stress)
     return (
         spread_cost_pips(t, realized=realized, session=session, news=news, stress=stress)
@@ -73,9 +78,9 @@ def round_trip_pips(t: CostTerms, *, atr_pips: Column, session: Column = F.lit(N
     )
 
 
-def round_trip_currency(t: CostTerms, *, lots: Column = F.lit(1.0), **kw: Column) -> Column:
+def round_trip_currency(t: CostTerms, *, lots: Column | float = 1.0, **kw) -> Column:
     """Pip cost in account currency plus both commissions; stress leaves commission alone."""
-    return round_trip_pips(t, **kw) * t.pip_value * lots + t.commission * 2.0 * lots
+    return round_trip_pips(t, **kw) * t.pip_value * lots + _c(t.commission) * 2.0 * lots
 
 
 def stress_sweep(df: DataFrame, factors: tuple[float, ...] = STRESS_FACTORS) -> DataFrame:

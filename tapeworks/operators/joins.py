@@ -6,53 +6,62 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], *, left_ts: str = "ts",
-                  right_ts: str = "ts", values: list[str], prefix: str,
-                  bucket_seconds: int = 30 * 86_400, on_close_seconds: int = 0) -> DataFrame:
-    """Latest right row with right_ts (+ ``on_close_seconds``) <= left_ts, per key.
-
-    Union plus a running last, split by time bucket so that a long key is not one task. The
-    last right row of each bucket is one summary row; a lagged carry of those summaries
-    answers left rows that precede their bucket's first right row.
+def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], *, values: list[str],
+                  prefix: str, on_close_seconds: int = 0,
+                  bucket_seconds: int | None = 30 * 86_400) -> DataFrame:
+    """Latest right row with ts (+ ``on_close_seconds``) <= the left row's ts, per key."""
+    return asof_many(left, [(right, prefix, values, on_close_seconds)], keys,
+                     bucket_seconds=bucket_seconds)
+
+
+def asof_many(left: DataFrame, rights: list[tuple[DataFrame, str, list[str], int]],
+              keys: list[str], *, bucket_seconds: int | None = 30 * 86_400) -> DataFrame:
+    """As-of match of one left side against several right sides in one union and one window.
+
+    Each right side is (frame with ts, output prefix, value columns, seconds after ts at which
+    a row becomes visible). With ``bucket_seconds`` the window is split by time so that a long
+    key is not one task: the last right row of every bucket is one summary row, and a running
+    last over those summaries answers left rows that precede their bucket's first right row.
     """
-    pay = F.struct(F.col(right_ts).alias("ts"), *values)
-    size = bucket_seconds * 1_000_000
-    rt = F.unix_micros(right_ts) + on_close_seconds * 1_000_000
-    r = right.select(*keys, rt.alias("_t"), pay.alias("_v"))
-    lrows = left.withColumn("_t", F.unix_micros(left_ts))
     lcols = [c for c in left.columns if c not in keys]
-    both = lrows.select(
-        *keys, "_t", F.lit(1).alias("_side"), F.struct(*lcols).alias("_l"),
-        F.lit(None).cast(r.schema["_v"].dataType).alias("_v"),
-    ).unionByName(r.select(
-        *keys, "_t", F.lit(0).alias("_side"),
-        F.lit(None).cast(left.select(F.struct(*lcols).alias("_l")).schema["_l"].dataType)
-        .alias("_l"), "_v",
-    )).withColumn("_b", F.floor(F.col("_t") / size))
+    pays = [(f"_v{i}", r, prefix, values, wait) for i, (r, prefix, values, wait) in enumerate(rights)]
+    typed = {n: r.select(F.struct("ts", *v).alias("x")).schema["x"].dataType
+             for n, r, _, v, _ in pays}
+    ltype = left.select(F.struct(*lcols).alias("x")).schema["x"].dataType
+
+    def empty(name: str) -> Column:
+        return F.lit(None).cast(typed[name]).alias(name)
+
+    both = left.select(*keys, F.unix_micros("ts").alias("_t"), F.lit(1).alias("_side"),
+                       F.struct(*lcols).alias("_l"), *[empty(n) for n in typed])
+    for name, r, _, v, wait in pays:
+        both = both.unionByName(r.select(
+            *keys, (F.unix_micros("ts") + wait * 1_000_000).alias("_t"), F.lit(0).alias("_side"),
+            F.lit(None).cast(ltype).alias("_l"),
+            *[F.struct("ts", *v).alias(n) if n == name else empty(n) for n in typed]))
+    part = list(keys)
+    if bucket_seconds is not None:
+        part.append("_b")
+        both = both.withColumn("_b", F.floor(F.col("_t") / (bucket_seconds * 1_000_000)))
     run = (
-        Window.partitionBy(*keys, "_b").orderBy("_t", "_side")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    found = both.withColumn("_hit", F.last("_v", ignorenulls=True).over(run)).where("_side = 1")
-    tails = (
-        r.withColumn("_b", F.floor(F.col("_t") / size)).groupBy(*keys, "_b")
-        .agg(F.max_by("_v", "_t").alias("_tail"))
-    )
-    wanted = left.select(*keys, F.floor(F.unix_micros(left_ts) / size).alias("_b")).distinct()
-    before = (
-        Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carry = (
-        wanted.join(tails, [*keys, "_b"], "full")
-        .withColumn("_carry", F.last("_tail", ignorenulls=True).over(before))
-        .select(*keys, "_b", "_carry")
-    )
-    out = found.join(carry, [*keys, "_b"], "left").withColumn(
-        "_hit", F.coalesce("_hit", "_carry"))
-    return out.select(
-        *keys, "_l.*", F.col("_hit.ts").alias(f"{prefix}ts"),
-        *[F.col(f"_hit.{v}").alias(f"{prefix}{v}") for v in values],
+        Window.partitionBy(*part).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     )
+    out = both.withColumns(
+        {n: F.last(n, ignorenulls=True).over(run) for n in typed}).where("_side = 1")
+    if bucket_seconds is not None:
+        before = (
+            Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        )
+        at = {n: F.when(F.col(n).isNotNull(), F.col("_t")) for n in typed}
+        carry = both.groupBy(*part).agg(
+            *[F.max_by(n, at[n]).alias(n) for n in typed]
+        ).select(*part, *[F.last(n, ignorenulls=True).over(before).alias(f"_c{n}") for n in typed])
+        out = out.join(carry, part, "left").withColumns(
+            {n: F.coalesce(n, f"_c{n}") for n in typed})
+    picked = []
+    for name, _, prefix, v, _ in pays:
+        picked += [F.col(f"{name}.{c}").alias(f"{prefix}{c}") for c in ("ts", *v)]
+    return out.select(*keys, "_l.*", *picked)
 
 
 def next_event(left: DataFrame, events: DataFrame, *, left_ts: str = "ts",

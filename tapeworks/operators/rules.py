@@ -15,8 +15,6 @@ from tapeworks.operators.bars import resample_bars, session_gate
 from tapeworks.operators.series import Series, index_series
 from tapeworks.operators.zones import zone_proximity
 
-_NONE = F.lit(None).cast("double")
-
 
 def _emit(s: Series, choices: list[tuple[Column, str, Column, Column]]) -> Series:
     """First matching choice wins; NULL conditions count as false."""
@@ -47,7 +45,8 @@ def ema_cross(series: Series, fast: int = 9, slow: int = 21) -> Series:
     s = ind.add(series, ind.ema_mean_seeded(fast, "ema_fast"), ind.ema_mean_seeded(slow, "ema_slow"))
     ready = F.col("ema_fast").isNotNull() & F.col("ema_slow").isNotNull()
     up = F.col("ema_fast") > F.col("ema_slow")
-    return _emit(s, [(ready & up, "LONG", _NONE, _NONE), (ready & ~up, "SHORT", _NONE, _NONE)])
+    none = F.lit(None).cast("double")
+    return _emit(s, [(ready & up, "LONG", none, none), (ready & ~up, "SHORT", none, none)])
 
 
 def gold_pullback(series: Series, *, ema_fast: int = 20, ema_slow: int = 50, st_period: int = 10,
