@@ -24,3 +24,201 @@ def verdict_table(df: DataFrame, checks: list[tuple[str, Column]]) -> DataFrame:
     found = F.filter(F.array(*[F.when(bad, F.lit(n)) for n, bad in checks]), lambda x: x.isNotNull())
     return df.withColumn("failures", found).withColumn(
         "verdict", F.when(F.size("failures") == 0, "GO").otherwise("NO_GO"))
+
+
+def walk_forward_windows(spans: DataFrame, keys: list[str], *, train_days: int, test_days: int,
+                         step_days: int | None = None) -> DataFrame:
+    """Rolling windows per key from ``start``/``end``, emitted while the test part fits."""
+    step = step_days or test_days
+    if min(train_days, test_days, step) <= 0:
+        raise ValueError("train, test and step must be positive")
+    def days(n: Column) -> Column:
+        return F.make_dt_interval(days=n.cast("int"))
+
+    room = F.floor((F.unix_micros("end") - F.unix_micros("start")) / 86_400e6
+                   - (train_days + test_days))
+    last = F.floor(room / step)
+    w = spans.where(room >= 0).withColumn(
+        "window", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    a = F.col("start") + days(F.col("window") * step)
+    b = a + days(F.lit(train_days))
+    return w.select(
+        *keys, "window", a.alias("train_start"), b.alias("train_end"), b.alias("test_start"),
+        (b + days(F.lit(test_days))).alias("test_end"))
+
+
+def assign_test_windows(rows: DataFrame, spans: DataFrame, keys: list[str], *, ts: str,
+                        train_days: int, test_days: int, step_days: int | None = None) -> DataFrame:
+    """Adds ``window`` for each test window that holds the row.
+
+    Window numbers follow from date arithmetic, so no range join is needed; a row lies in at
+    most ceil(test/step) windows.
+    """
+    step = step_days or test_days
+    s = spans.select(*keys, F.col("start").alias("_s"), F.col("end").alias("_e"))
+    age = (F.unix_micros(ts) - F.unix_micros("_s")) / 86_400e6 - train_days
+    room = (F.unix_micros("_e") - F.unix_micros("_s")) / 86_400e6 - (train_days + test_days)
+    hi = F.least(F.floor(age / step), F.floor(room / step))
+    lo = F.greatest(F.floor((age - test_days) / step) + 1, F.lit(0))
+    return (
+        rows.join(s, keys).where((age >= 0) & (room >= 0) & (lo <= hi))
+        .withColumn("window", F.explode(F.sequence(lo, hi))).drop("_s", "_e")
+    )
+
+
+def purged_kfold(series: Series, n_splits: int, embargo: int) -> DataFrame:
+    """One row per (row, fold): role 'test', 'train' or 'purged'.
+
+    Folds are a constant array exploded next to each row; roles come from the position.
+    """
+    if n_splits < 2 or embargo < 0:
+        raise ValueError("n_splits >= 2 and embargo >= 0 required")
+    keys = list(series.keys)
+    n = series.df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    df = series.df.join(n, keys).withColumn(
+        "fold", F.explode(F.array(*[F.lit(i) for i in range(n_splits)])))
+    size = F.floor(F.col("_n") / n_splits)
+    lo = F.col("fold") * size
+    hi = F.when(F.col("fold") == n_splits - 1, F.col("_n")).otherwise(lo + size)
+    k = F.col("k")
+    role = (
+        F.when((k >= lo) & (k < hi), "test")
+        .when((k < lo - embargo) | (k >= hi + embargo), "train").otherwise("purged")
+    )
+    return df.withColumn("role", role).drop("_n")
+
+
+def hash_draw(seed: Column, *parts: Column) -> Column:
+    """Reproducible draw in 0..2^32-1, the same in any engine that has md5."""
+    text = F.concat_ws("|", seed, *parts)
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+
+def bootstrap_blocks(sizes: DataFrame, keys: list[str], *, n_resamples: int, seed: int = 0,
+                     block: Column | None = None) -> DataFrame:
+    """Moving-block plan: (keys, resample, block_no, start, len) from rows with n per key.
+
+    The default block length is round(sqrt(n)) within 1..n; the last block is cut to fit.
+    """
+    size = block if block is not None else F.greatest(
+        F.lit(1), F.least(F.col("n"), F.bround(F.sqrt("n")).cast("bigint")))
+    plan = sizes.where("n > 0").withColumn("_b", size)
+    plan = plan.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))))
+    last = F.floor((F.col("n") - 1) / F.col("_b"))
+    plan = plan.withColumn("block_no", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    starts = F.greatest(F.lit(1), F.col("n") - F.col("_b") + 1)
+    draw = hash_draw(F.lit(str(seed)), F.col("resample").cast("string"), F.col("block_no").cast("string"))
+    return plan.select(
+        *keys, "n", "resample", "block_no", F.pmod(draw, starts).alias("start"),
+        F.least(F.col("_b"), F.col("n") - F.col("block_no") * F.col("_b")).alias("len"))
+
+
+def bootstrap_rows(series: Series, plan: DataFrame, value: str) -> DataFrame:
+    """Every resampled row, for statistics that need them all: (keys, resample, pos, value)."""
+    keys = list(series.keys)
+    rows = plan.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("len") - 1)))
+    rows = rows.withColumn("k", F.col("start") + F.col("_i"))
+    return rows.join(series.df.select(*keys, "k", value), [*keys, "k"]).select(
+        *keys, "resample", "block_no", F.col("_i").alias("pos"), value)
+
+
+def bootstrap_statistic(series: Series, plan: DataFrame, value: str, stat: Column) -> DataFrame:
+    """Any aggregate column per resample."""
+    return bootstrap_rows(series, plan, value).groupBy(*series.keys, "resample").agg(stat.alias("stat"))
+
+
+def bootstrap_paths(series: Series, plan: DataFrame, value: str) -> DataFrame:
+    """Mean and zero-peak drawdown per resample from one summary per distinct block.
+
+    Distinct (start, length) pairs number at most 2n, so n*sqrt(n) rows are touched instead of
+    n*n_resamples; resamples then merge about sqrt(n) summaries each.
+    """
+    from pyspark.sql import Window
+
+    from tapeworks.operators.metrics import summarize
+
+    keys = list(series.keys)
+    pair = [*keys, "start", "len"]
+    wanted = plan.select(*pair).distinct().withColumn(
+        "k", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)))
+    rows = wanted.join(series.df.select(*keys, "k", F.col(value).alias("_p")), [*keys, "k"])
+    run = Window.partitionBy(*pair).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_cum", F.sum("_p").over(run))
+    rows = rows.withColumn("_peak", F.max("_cum").over(run))
+    p = F.col("_p")
+    blocks = rows.groupBy(*pair).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(p).alias("total"), F.count_if(p > 0).alias("wins"),
+        F.sum(F.when(p > 0, p).otherwise(0.0)).alias("gains"),
+        F.sum(F.when(p < 0, -p).otherwise(0.0)).alias("losses"),
+        F.avg(p).alias("mean"), F.var_pop(p).alias("var"),
+        F.max("_cum").alias("top"), F.min("_cum").alias("bottom"),
+        F.max(F.col("_peak") - F.col("_cum")).alias("dd"),
+        F.max_by("_peak", F.col("_peak") - F.col("_cum")).alias("dd_peak"))
+    parts = plan.drop("n").join(blocks, pair).drop("start", "len").withColumnRenamed("block_no", "_c0")
+    out = summarize(parts, [*keys, "resample"], from_zero=True)
+    return out.select(*keys, "resample", F.col("mean").alias("mean_pnl"), F.col("max_dd").alias("max_drawdown"))
+
+
+def shuffle_means(series: Series, value: str, *, n_shuffles: int, seed: int = 0) -> DataFrame:
+    """Mean of per-shuffle means. A permutation keeps the sum, so each shuffle's mean is the
+    plain mean; the shuffles differ only in summation order and need not be materialised."""
+    return series.df.groupBy(*series.keys).agg(F.avg(value).alias("shuffle_mean")).withColumn(
+        "n_shuffles", F.lit(n_shuffles))
+
+
+def percentile_rank(dist: DataFrame, observed: DataFrame, keys: list[str], value: str,
+                    stat: str = "observed") -> DataFrame:
+    """Share of the distribution strictly below the observed statistic."""
+    return (
+        dist.join(observed.select(*keys, stat), keys).groupBy(*keys, stat)
+        .agg(F.avg(F.when(F.col(value) < F.col(stat), 1.0).otherwise(0.0)).alias("rank"))
+    )
+
+
+def index_quantile(dist: DataFrame, keys: list[str], value: str, q: float = 0.95) -> DataFrame:
+    """The element at sorted position min(n-1, int(q*n)); no interpolation.
+
+    Equal values are counted first, so the ordered window sees distinct values only.
+    """
+    from pyspark.sql import Window
+
+    counts = dist.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_m"))
+    w = Window.partitionBy(*keys)
+    upto = F.sum("_m").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    df = counts.withColumn("_n", F.sum("_m").over(w)).withColumn("_upto", upto)
+    want = F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(q)))
+    return df.where(F.col("_upto") > want).groupBy(*keys).agg(F.min(value).alias("quantile"))
+
+
+def lookahead_leaks(series: Series, feature, columns: list[str], *, n_cutoffs: int = 8,
+                    tol: float = 1e-12) -> DataFrame:
+    """Rows whose feature value changes when later rows are cut off.
+
+    The feature runs once over (series, cutoff) pairs: a fixed number of evenly spaced
+    cutoffs, each with the rows up to it. A value that is missing on one side only is a leak.
+    """
+    from tapeworks.operators.series import index_series
+
+    keys = list(series.keys)
+    full = feature(series).df.select(*keys, "k", *[F.col(c).alias(f"_full_{c}") for c in columns])
+    n = series.df.groupBy(*keys).agg(F.max("k").alias("_last"))
+    cut = F.explode(F.array_distinct(F.array(*[
+        F.floor(F.col("_last") * F.lit((i + 1) / n_cutoffs)) for i in range(n_cutoffs)])))
+    part = series.df.join(n.withColumn("cutoff", cut).drop("_last"), keys).where(
+        F.col("k") <= F.col("cutoff")).drop("k")
+    again = index_series(part, (*keys, "cutoff"), rows_per_chunk=series.rows_per_chunk)
+    cut_rows = feature(again).df.where(F.col("k") == F.col("cutoff"))
+    both = cut_rows.join(full, [*keys, "k"])
+    leak = F.lit(False)
+    for c in columns:
+        a, b = F.col(c), F.col(f"_full_{c}")
+        same = F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(
+            F.abs(a - b) <= F.greatest(F.lit(tol), F.abs(b) * 1e-9))
+        leak = leak | ~same
+    return both.select(*keys, "cutoff", leak.alias("leak"))
+
+
+def random_baseline(spark, n: int, *, seed: int, mean: float = 0.0, sd: float = 1.0) -> DataFrame:
+    """Edgeless strategy: independent Gaussian pnl per trade."""
+    return spark.range(n).select(
+        F.col("id").alias("trade_no"), (F.randn(seed) * sd + mean).alias("pnl"))

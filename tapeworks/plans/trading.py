@@ -242,8 +242,8 @@ pw AS (SELECT *, (hour(ts) BETWEEN 7 AND 12 OR hour(ts) BETWEEN 13 AND 20) AS ga
     close - (prev_low - atr) AS r1, prev_high + atr - close AS r2, close - (prev_high - atr) AS r3,
     prev_low + atr - close AS r4 FROM x),
 pc AS (SELECT *, CASE
-    WHEN gate AND low <= prev_low + 0.3 AND close >= prev_low AND bull AND r1 > 0 AND r1 <= {cap} THEN 1
-    WHEN gate AND high >= prev_high - 0.3 AND close <= prev_high AND bear AND r2 > 0 AND r2 <= {cap} THEN 2
+    WHEN gate AND low <= prev_low + 100.0 AND close >= prev_low AND bull AND r1 > 0 AND r1 <= {cap} THEN 1
+    WHEN gate AND high >= prev_high - 100.0 AND close <= prev_high AND bear AND r2 > 0 AND r2 <= {cap} THEN 2
     WHEN gate AND close > prev_high + 0.2 AND bull AND r3 > 0 AND r3 <= {cap} THEN 3
     WHEN gate AND close < prev_low - 0.2 AND bear AND r4 > 0 AND r4 <= {cap} THEN 4 ELSE 0 END AS c FROM pw),
 sg AS (SELECT * EXCLUDE (c), CASE WHEN c IN (1, 3) THEN 'LONG' WHEN c IN (2, 4) THEN 'SHORT' ELSE 'FLAT' END AS signal,
@@ -255,7 +255,8 @@ sg AS (SELECT * EXCLUDE (c), CASE WHEN c IN (1, 3) THEN 'LONG' WHEN c IN (2, 4)
 
 @query("prev_week_range", with_bars(60, *pwr_sql(), select=_SIG_SQL))
 def prev_week_range(spark, sf_dir):
-    return rules.prev_week_range(series(spark, sf_dir, 60), max_risk_pips=1000.0).df.select(*_SIG)
+    return rules.prev_week_range(series(spark, sf_dir, 60), max_risk_pips=1000.0,
+                              touch_buf_pips=1000.0).df.select(*_SIG)
 
 
 def bos_sql(src: str = "b", cap: str = "8.0") -> list[str]:
@@ -295,9 +296,9 @@ sgl AS (SELECT *, CASE signal WHEN 'LONG' THEN close - 1.5 * atr WHEN 'SHORT' TH
     CASE signal WHEN 'LONG' THEN close + 3 * atr WHEN 'SHORT' THEN close - 3 * atr END AS tp FROM sg)"""]
 
 
-@query("tsi_momentum", with_bars(60, *tsi_mom_sql(), select=_SIG_SQL.replace("FROM sg", "FROM sgl")))
+@query("tsi_momentum", with_bars(15, *tsi_mom_sql("0"), select=_SIG_SQL.replace("FROM sg", "FROM sgl")))
 def tsi_momentum(spark, sf_dir):
-    return rules.tsi_momentum(series(spark, sf_dir, 60)).df.select(*_SIG)
+    return rules.tsi_momentum(series(spark, sf_dir, 15), tsi_threshold=0.0).df.select(*_SIG)
 
 
 @query("multi_tf_tsi", with_bars(15, bars_sql(60, "h"), ema_first_sql("he", 50, "h"), tsi_sql("ht", "h"),
@@ -419,7 +420,8 @@ _ENGINE_COLS = [*_TRADE_COLS[:7], "exit_kind", "pnl"]
 
 @query("engine_trades_range", with_bars(60, *pwr_sql(), walk_sql("sg", "false", "false", engine=True), select=_ENGINE_OUT))
 def engine_trades_range(spark, sf_dir):
-    s = rules.prev_week_range(series(spark, sf_dir, 60), max_risk_pips=1000.0)
+    s = rules.prev_week_range(series(spark, sf_dir, 60), max_risk_pips=1000.0,
+                              touch_buf_pips=1000.0)
     return fills.engine_trades(s, terms=TERMS, pip_size=PIP).select(*_ENGINE_COLS)
 
 
@@ -495,7 +497,8 @@ FROM wt JOIN wr e ON e.symbol = wt.symbol AND e.k = wt.ek JOIN wr x ON x.symbol
 def paper_trades(spark, sf_dir):
     from tapeworks.functions.scalars import bars_held
 
-    t = fills.paper_trades(rules.prev_week_range(series(spark, sf_dir, 60), max_risk_pips=1000.0))
+    t = fills.paper_trades(rules.prev_week_range(series(spark, sf_dir, 60), max_risk_pips=1000.0,
+                              touch_buf_pips=1000.0))
     secs = F.unix_timestamp("exit_ts") - F.unix_timestamp("entry_ts")
     return t.withColumn("n_bars_held", bars_held(secs)).drop("timeframe", "sl_at_entry", "tp_at_entry")
 
