@@ -135,10 +135,14 @@ def normalize_names(a: Column, aliases: dict[str, str] | None = None) -> Column:
     """Trim, upper-case, drop blanks, apply aliases, sort and deduplicate."""
     out = F.transform(a, lambda s: F.upper(F.trim(s)))
     for src, dst in (aliases or {}).items():
-        out = F.transform(out, lambda s, src=src, dst=dst: F.when(s == src, dst).otherwise(s))
+        out = F.transform(out, _renamer(src, dst))
     return F.array_sort(F.array_distinct(F.filter(out, lambda s: s != "")))
 
 
+def _renamer(src: str, dst: str):
+    return lambda s: F.when(s == src, dst).otherwise(s)
+
+
 def falsy(col: Column) -> Column:
-    """NULL for values that count as missing in a price event ('' or 0)."""
-    return F.nullif(F.try_to_number(col, F.lit("999999999999.999999999")).cast("double"), F.lit(0.0))
+    """Number in a price event's text; NULL when absent, unparseable or 0."""
+    return F.nullif(col.try_cast("double"), F.lit(0.0))
