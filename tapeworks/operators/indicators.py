@@ -93,6 +93,17 @@ def ema(period: int, out: str, col: str = "close") -> Recurrence:
     )
 
 
+def ema_mean_seeded_by(period_col: str, max_period: int, out: str, col: str = "close") -> Recurrence:
+    """Mean-seeded EMA whose period is a column, constant within a series: parameter sweeps
+    put the parameter set into the series keys."""
+
+    def body(p: pd.DataFrame, s: bool) -> dict[str, np.ndarray]:
+        n = int(p[period_col].iloc[0])
+        return {out: _mean_seeded(p[col].to_numpy(float), n, 2.0 / (n + 1), s)}
+
+    return Recurrence(f"`{out}` DOUBLE", memory_rows(2.0 / (max_period + 1)), body)
+
+
 def rma(period: int, out: str, col: str = "close") -> Recurrence:
     return Recurrence(
         f"`{out}` DOUBLE", memory_rows(1.0 / period),

@@ -49,6 +49,19 @@ def ema_cross(series: Series, fast: int = 9, slow: int = 21) -> Series:
     return _emit(s, [(ready & up, "LONG", none, none), (ready & ~up, "SHORT", none, none)])
 
 
+def ema_cross_sweep(series: Series, params: list[tuple[str, int, int]]) -> Series:
+    """EMA cross for many (param_id, fast, slow) sets in one plan; ``param_id`` joins the keys."""
+    sets = F.array(*[F.struct(F.lit(i).alias("param_id"), F.lit(f).alias("fast"), F.lit(s).alias("slow"))
+                     for i, f, s in params])
+    df = series.df.withColumn("_s", F.explode(sets)).select("*", "_s.*").drop("_s")
+    s = Series(df, (*series.keys, "param_id"), series.max_rows, series.rows_per_chunk)
+    s = ind.add(s, ind.ema_mean_seeded_by("fast", max(p[1] for p in params), "ema_fast"),
+                ind.ema_mean_seeded_by("slow", max(p[2] for p in params), "ema_slow"))
+    ready = F.col("ema_fast").isNotNull() & F.col("ema_slow").isNotNull()
+    up, none = F.col("ema_fast") > F.col("ema_slow"), F.lit(None).cast("double")
+    return _emit(s, [(ready & up, "LONG", none, none), (ready & ~up, "SHORT", none, none)])
+
+
 def gold_pullback(series: Series, *, ema_fast: int = 20, ema_slow: int = 50, st_period: int = 10,
                   st_multiplier: float = 3.0, tsi_long: int = 25, tsi_short: int = 13,
                   tsi_signal: int = 13, atr_period: int = 14, sl_atr_mult: float = 1.5,

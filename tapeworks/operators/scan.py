@@ -14,7 +14,8 @@ from tapeworks.operators.series import Series
 
 def confluence_scan(h4: Series, h1: Series, m15: Series, decisions: DataFrame, *,
                     on_close: bool = True, h4_params: dict | None = None,
-                    h1_params: dict | None = None, m15_params: dict | None = None) -> DataFrame:
+                    h1_params: dict | None = None, m15_params: dict | None = None,
+                    min_slope_price: float = 0.5) -> DataFrame:
     """One scan result per decision row (symbol, ts).
 
     Each timeframe contributes its latest bar: completed ones by default, or any that have
@@ -23,7 +24,7 @@ def confluence_scan(h4: Series, h1: Series, m15: Series, decisions: DataFrame, *
     """
     key = ["symbol"]
     bos = rules.weekly_bos_retest(h4, **(h4_params or {}))
-    trend = ind.ema_trend(bos)
+    trend = ind.ema_trend(bos, min_slope_price=min_slope_price)
     four = trend.df.select("symbol", "ts", "k", "close", "signal", "sl", "tp", "trend")
     one = rules.gold_pullback(h1, **(h1_params or {})).df.select(
         "symbol", "ts", "k", "close", "signal", "sl", "tp")

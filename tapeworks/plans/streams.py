@@ -101,7 +101,8 @@ g AS (SELECT *, sum(r) OVER (PARTITION BY account, d ORDER BY n) AS s FROM f),
 t AS (SELECT account, d, min(n) FILTER (WHERE s <= -3 OR n >= 6) AS trip FROM g GROUP BY 1, 2)
 SELECT t.account, strftime(t.d, '%Y-%m-%d') AS trading_day, round(g.s, 4) AS realized_r, g.n::INT AS trades FROM t JOIN g ON g.account = t.account AND g.d = t.d AND g.n = t.trip""", digits=4)
 def stream_loss_governor(spark, sf_dir):
-    """Fills of each account and day streamed in order through the latching governor."""
+    """Fills streamed through the latching governor, keyed by account and day: days are
+    independent, so a busy account spreads out."""
     o = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
     from pyspark.sql import Window
 
@@ -113,9 +114,6 @@ def stream_loss_governor(spark, sf_dir):
         (F.col("l_shipdate").cast("timestamp") + F.make_dt_interval(secs=n)).alias("ts"),
         (F.col("l_extendedprice") * (F.col("l_discount") - F.col("l_tax")) / 1000).alias("pnl_r"))
     live = _bar_stream(spark, fills)
-    ev = drain(spark, state.run_keyed(live, ["account", "trading_day"], _DayGovernor(), state.RISK_OUT))
+    ev = drain(spark, state.run_keyed(live, ["account", "trading_day"], state.LossGovernor(), state.RISK_OUT))
     return ev.where("tripped").select("account", "trading_day", "realized_r", "trades")
 
-
-class _DayGovernor(state.LossGovernor):
-    """Keyed by account and day: days are independent, so a busy account spreads out."""

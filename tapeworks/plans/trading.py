@@ -363,20 +363,21 @@ def zones(spark, sf_dir):
     return s.df.select("symbol", "ts", "n_support", "n_resistance", "near_support", "near_resistance")
 
 
-GOLD_SQL = ["", PIVOT_SQL, zones_sql(), *_trend_parts(), rma_sql("a10", 10), supertrend_sql("st", "a10"),
+def gold_sql(gate: str = "15.0", touches: int = 3) -> list[str]:
+    return ["", PIVOT_SQL, zones_sql(touches=touches), *_trend_parts(), rma_sql("a10", 10), supertrend_sql("st", "a10"),
     _join_sql("x", "e20", "e50", "t", "a", "st", "znf", ef="e20.y", es="e50.y", tsi="t.tsi",
               tsi_signal="t.tsi_signal", atr="a.y", dir="st.dir", sup="znf.sup", res="znf.res"), f"""
 gp AS (SELECT *, coalesce(ef > es AND dir = 1 AND atr IS NOT NULL AND tsi IS NOT NULL, false) AS hold_long,
     coalesce(ef < es AND dir = -1 AND atr IS NOT NULL AND tsi IS NOT NULL, false) AS hold_short FROM x),
 gs AS (SELECT *, CASE
-    WHEN hold_long AND {_BULL} AND len(list_filter(sup, lambda z: close - 15.0 <= z.p AND z.p <= close + 15.0)) > 0 THEN 'LONG'
-    WHEN hold_short AND {_BEAR} AND len(list_filter(res, lambda z: close - 15.0 <= z.p AND z.p <= close + 15.0)) > 0 THEN 'SHORT'
+    WHEN hold_long AND {_BULL} AND len(list_filter(sup, lambda z: close - {gate} <= z.p AND z.p <= close + {gate})) > 0 THEN 'LONG'
+    WHEN hold_short AND {_BEAR} AND len(list_filter(res, lambda z: close - {gate} <= z.p AND z.p <= close + {gate})) > 0 THEN 'SHORT'
     ELSE 'FLAT' END AS signal FROM gp),
 sg AS (SELECT *, CASE signal WHEN 'LONG' THEN close - 1.5 * atr WHEN 'SHORT' THEN close + 1.5 * atr END AS sl,
     CASE signal WHEN 'LONG' THEN close + 3 * atr WHEN 'SHORT' THEN close - 3 * atr END AS tp FROM gs)"""]
 
 
-@query("gold_pullback", with_bars(60, *GOLD_SQL, select=_SIG_SQL))
+@query("gold_pullback", with_bars(60, *gold_sql(), select=_SIG_SQL))
 def gold_pullback(spark, sf_dir):
     return rules.gold_pullback(series(spark, sf_dir, 60)).df.select(*_SIG)
 
@@ -425,7 +426,7 @@ def engine_trades_range(spark, sf_dir):
     return fills.engine_trades(s, terms=TERMS, pip_size=PIP).select(*_ENGINE_COLS)
 
 
-@query("engine_trades_pullback", with_bars(60, *GOLD_SQL, """
+@query("engine_trades_pullback", with_bars(60, *gold_sql(), """
 sgh AS (SELECT * REPLACE (-1e9 AS sl, NULL::DOUBLE AS tp) FROM sg WHERE false UNION ALL
         SELECT * REPLACE (NULL::DOUBLE AS sl, NULL::DOUBLE AS tp) FROM sg)""",
     walk_sql("sgh", "NOT s.hold_long", "NOT s.hold_short", engine=True), select=_ENGINE_OUT))
@@ -576,12 +577,15 @@ def triple_barrier(spark, sf_dir):
 
 # --- confluence scan ------------------------------------------------------------------------
 
-def _scan(spark, sf_dir):
+LOOSE = {"zone_entry_pips": 3000.0, "max_zone_touches": 1000}
+
+
+def _scan(spark, sf_dir, h1_params: dict | None = None, slope: float = 0.5):
     m15 = series(spark, sf_dir, 15)
     at = (F.col("ts") + F.expr("INTERVAL 15 MINUTE")).alias("ts")
     return scan.confluence_scan(
         series(spark, sf_dir, 240), series(spark, sf_dir, 60), m15, m15.df.select("symbol", at),
-        h4_params={"max_risk_pips": 2000.0}), m15
+        h4_params={"max_risk_pips": 2000.0}, h1_params=h1_params, min_slope_price=slope), m15
 
 
 def _sub(name: str, minutes: int, parts: list[str], select: str) -> str:
@@ -590,10 +594,12 @@ def _sub(name: str, minutes: int, parts: list[str], select: str) -> str:
     return f"{name} AS (WITH RECURSIVE {ctes} {select})"
 
 
-SCAN_SQL = [
-    _sub("s4", 240, [*bos_sql(cap="200.0"), ema_first_sql("tt", 50), EMA_TREND_SQL.replace("t.y", "tt.y").replace("JOIN t ON t.symbol = b.symbol AND t.k", "JOIN tt ON tt.symbol = b.symbol AND tt.k")],
+def scan_sql(gate: str = "15.0", touches: int = 3, slope: str = "0.5") -> list[str]:
+    trend = EMA_TREND_SQL.replace("0.5", slope)
+    return [
+    _sub("s4", 240, [*bos_sql(cap="200.0"), ema_first_sql("tt", 50), trend.replace("t.y", "tt.y").replace("JOIN t ON t.symbol = b.symbol AND t.k", "JOIN tt ON tt.symbol = b.symbol AND tt.k")],
          "SELECT sg.symbol, sg.ts, sg.k, sg.close, sg.signal, sg.sl, sg.tp, trend.trend, sg.ts + INTERVAL 4 HOUR AS v FROM sg JOIN trend ON trend.symbol = sg.symbol AND trend.k = sg.k"),
-    _sub("s1", 60, GOLD_SQL, "SELECT symbol, ts, k, close, signal, sl, tp, ts + INTERVAL 1 HOUR AS v FROM sg"),
+    _sub("s1", 60, gold_sql(gate, touches), "SELECT symbol, ts, k, close, signal, sl, tp, ts + INTERVAL 1 HOUR AS v FROM sg"),
     _sub("s15", 15, cross_sql(9, 21), "SELECT symbol, ts, k, signal, ts + INTERVAL 15 MINUTE AS v FROM sg"),
     """
 j AS (SELECT s15.symbol, s15.v AS ts, s4.ts AS h4_ts, s4.k AS k4, s1.k AS k1, s15.k AS k15,
@@ -611,7 +617,7 @@ scn AS (SELECT symbol, ts, h4_ts, h4_signal, h4_trend, h1_signal, m15_signal, co
     CASE WHEN confluence THEN CASE WHEN h4_signal = h4_trend AND sl4 IS NOT NULL THEN 'BOS' ELSE 'ATR' END END AS sl_source FROM sc)"""]
 
 
-@query("confluence_scan", "WITH " + ",".join([TICKS_SQL, *SCAN_SQL]) + """
+@query("confluence_scan", "WITH " + ",".join([TICKS_SQL, *scan_sql()]) + """
 SELECT * REPLACE (round(entry_price, 6) AS entry_price, round(sl, 6) AS sl, round(tp, 6) AS tp) FROM scn""")
 def confluence_scan(spark, sf_dir):
     return _scan(spark, sf_dir)[0]
@@ -631,7 +637,7 @@ sw AS (SELECT *, CASE WHEN entry_price IS NULL OR sl IS NULL THEN 0 ELSE CASE WH
 sx AS (SELECT *, least(score_structure + score_momentum + score_session + score_cost, 100) AS score_total FROM sw)"""
 
 
-@query("scored_signals", "WITH " + ",".join([TICKS_SQL, *SCAN_SQL, SCORED_SQL]) + """
+@query("scored_signals", "WITH " + ",".join([TICKS_SQL, *scan_sql(), SCORED_SQL]) + """
 SELECT symbol, ts, score_structure, score_momentum, score_session, score_cost, score_total,
   CASE WHEN score_total >= 70 THEN 'HIGH' WHEN score_total >= 50 THEN 'MEDIUM' ELSE 'LOW' END AS score_label,
   round(rr, 6) AS rr, round(sl_pips, 6) AS sl_pips FROM sx""")
