@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeworks.operators.series import index_series
+
 
 def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], *, values: list[str],
                   prefix: str, on_close_seconds: int = 0,
@@ -67,44 +69,29 @@ def asof_many(left: DataFrame, rights: list[tuple[DataFrame, str, list[str], int
 def next_event(left: DataFrame, events: DataFrame, *, left_ts: str = "ts",
                event_ts: str = "event_ts", values: list[str],
                bucket_seconds: int = 86_400) -> DataFrame:
-    """Earliest event strictly later than left_ts (no key: one calendar for all rows).
+    """Earliest event strictly later than left_ts (one calendar for all rows).
 
-    Rows meet the events of their own bucket by an equi join on a per-bucket sorted window;
-    later buckets are answered by one head row per bucket.
+    Each event owns the half-open span since its predecessor. Spans are listed once per time
+    bucket they touch, so a row meets its event by an equi join on the bucket; buckets number
+    at most the calendar's days plus its events, and a busy bucket is split by AQE's skew join.
     """
     size = bucket_seconds * 1_000_000
-    pay = F.struct(F.col(event_ts).alias("ts"), *values)
-    ev = events.select(F.unix_micros(event_ts).alias("_t"), pay.alias("_v"))
-    lcols = left.columns
-    ltype = left.select(F.struct(*lcols).alias("_l")).schema["_l"].dataType
-    both = left.select(
-        F.unix_micros(left_ts).alias("_t"), F.lit(1).alias("_side"),
-        F.struct(*lcols).alias("_l"), F.lit(None).cast(ev.schema["_v"].dataType).alias("_v"),
-    ).unionByName(ev.select(
-        "_t", F.lit(0).alias("_side"), F.lit(None).cast(ltype).alias("_l"), "_v",
-    )).withColumn("_b", F.floor(F.col("_t") / size))
-    ahead = (
-        Window.partitionBy("_b").orderBy("_t", "_side")
-        .rowsBetween(1, Window.unboundedFollowing)
-    )
-    found = both.withColumn("_hit", F.first("_v", ignorenulls=True).over(ahead)).where("_side = 1")
-    heads = (
-        ev.withColumn("_b", F.floor(F.col("_t") / size)).groupBy("_b")
-        .agg(F.min_by("_v", "_t").alias("_head"))
-    )
-    wanted = left.select(F.floor(F.unix_micros(left_ts) / size).alias("_b")).distinct()
-    # one row per day: the calendar's own length bounds this window
-    later = Window.orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
-    carry = (
-        wanted.join(heads, "_b", "full")
-        .withColumn("_carry", F.first("_head", ignorenulls=True).over(later))
-        .select("_b", "_carry")
-    )
-    out = found.join(carry, "_b", "left").withColumn("_hit", F.coalesce("_hit", "_carry"))
-    return out.select(
-        "_l.*", F.col("_hit.ts").alias("next_ts"),
-        *[F.col(f"_hit.{v}").alias(f"next_{v}") for v in values],
+    ev = (
+        events.select(F.unix_micros(event_ts).alias("_e"), F.struct(F.col(event_ts).alias("ts"), *values).alias("_v"))
+        .groupBy("_e").agg(F.min("_v").alias("_v")).withColumn("_all", F.lit(0))
     )
+    s = index_series(ev, ("_all",), order="_e", bucket=F.floor(F.col("_e") / size))
+    ev = s.windowed(lambda w: {"_prev": F.lag("_e").over(w)}, back=1).df
+    first_row = left.agg(F.min(F.unix_micros(left_ts)).alias("_min"))
+    ev = ev.join(F.broadcast(first_row)).withColumn(
+        "_from", F.coalesce("_prev", F.least("_min", F.col("_e") - 1)))
+    spans = ev.withColumn("_b", F.explode(F.sequence(
+        F.floor(F.col("_from") / size), F.floor((F.col("_e") - 1) / size)))).select("_b", "_from", "_e", "_v")
+    rows = left.withColumn("_t", F.unix_micros(left_ts)).withColumn("_b", F.floor(F.col("_t") / size))
+    hit = (rows["_b"] == spans["_b"]) & (rows["_t"] >= spans["_from"]) & (rows["_t"] < spans["_e"])
+    return rows.join(spans, hit, "left").select(
+        *[rows[c] for c in left.columns], F.col("_v.ts").alias("next_ts"),
+        *[F.col(f"_v.{v}").alias(f"next_{v}") for v in values])
 
 
 def bars_in_parent(child: DataFrame, parent: DataFrame, keys: list[str],

@@ -38,14 +38,16 @@ def sharpe(pnl: Column, ddof: int = 1) -> Column:
 
 
 def drawdown_parts(trades: DataFrame, keys: list[str], order: list[str], chunk: list[Column],
-                   pnl: str = "pnl") -> DataFrame:
+                   pnl: str = "pnl", ends: tuple[str, str] | None = None) -> DataFrame:
     """One summary per (keys, chunk): everything the drawdown of the whole run needs.
 
-    ``chunk`` columns must be monotone in ``order``. Summaries merge in chunk order.
+    ``chunk`` columns must be monotone in ``order``. Summaries merge in chunk order. ``ends``
+    names columns whose first and last values (in order) are kept as well.
     """
     names = [f"_c{i}" for i in range(len(chunk))]
+    extra = [F.col(c).alias(f"_e{i}") for i, c in enumerate(ends or ())]
     df = trades.select(
-        *keys, *order, F.col(pnl).alias("_p"), *[c.alias(n) for c, n in zip(chunk, names)])
+        *keys, *order, F.col(pnl).alias("_p"), *extra, *[c.alias(n) for c, n in zip(chunk, names)])
     run = (
         Window.partitionBy(*keys, *names).orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, 0)
@@ -53,9 +55,15 @@ def drawdown_parts(trades: DataFrame, keys: list[str], order: list[str], chunk:
     df = df.withColumn("_cum", F.sum("_p").over(run))
     df = df.withColumn("_peak", F.max("_cum").over(run))
     p = F.col("_p")
+    marks = []
+    if ends:
+        w = Window.partitionBy(*keys, *names).orderBy(*order)
+        df = df.withColumn("_head", F.lag("_cum").over(w).isNull()).withColumn(
+            "_tail", F.lead("_cum").over(w).isNull())
+        marks = [F.max(F.when(F.col("_head"), F.col("_e0"))).alias("first_value"),
+                 F.max(F.when(F.col("_tail"), F.col("_e1"))).alias("last_value")]
     return df.groupBy(*keys, *names).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(p).alias("total"),
-        F.sum(p * p).alias("sq"), F.count_if(p > 0).alias("wins"),
+        *marks, F.count(F.lit(1)).alias("n"), F.sum(p).alias("total"), F.count_if(p > 0).alias("wins"),
         F.sum(F.when(p > 0, p).otherwise(0.0)).alias("gains"),
         F.sum(F.when(p < 0, -p).otherwise(0.0)).alias("losses"),
         F.avg("_p").alias("mean"), F.var_pop("_p").alias("var"),
@@ -155,14 +163,15 @@ def walk_forward_metrics(parts: DataFrame, keys: list[str]) -> DataFrame:
 def journal_performance(trades: DataFrame, keys: list[str], order: list[str],
                         chunk: list[Column]) -> DataFrame:
     """Closed-trade report: NaN where a figure is undefined, exit-kind histogram as a map."""
-    m = summarize(drawdown_parts(trades, keys, order, chunk), keys, from_zero=True)
+    parts = drawdown_parts(trades, keys, order, chunk, ends=("entry_ts", "exit_ts"))
+    m = summarize(parts, keys, from_zero=True)
+    at = F.struct(*sorted(c for c in parts.columns if c.startswith("_c")))
+    ends = parts.groupBy(*keys).agg(
+        F.min_by("first_value", at).alias("first_trade_ts"),
+        F.max_by("last_value", at).alias("last_trade_ts"))
     kinds = trades.groupBy(*keys, "exit_kind").count().groupBy(*keys).agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("exit_kind", "count"))))
         .alias("exit_counts"))
-    at = F.struct(*order)
-    ends = trades.groupBy(*keys).agg(
-        F.min_by("entry_ts", at).alias("first_trade_ts"),
-        F.max_by("exit_ts", at).alias("last_trade_ts"))
     pf = F.when(F.col("losses") > 0, F.col("gains") / F.col("losses")).when(
         F.col("gains") > 0, F.lit(INF)).otherwise(F.lit(NAN))
     sd = F.sqrt("var_samp")

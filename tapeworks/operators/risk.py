@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
+from tapeworks.operators.series import index_series
+
 
 def daily_ledger(fills: DataFrame, keys: list[str], order: list[str], *, r: str = "pnl_r",
                  max_loss_r: float = 3.0, max_trades: int = 6) -> DataFrame:
@@ -44,13 +46,14 @@ def suppress_repeats(rows: DataFrame, keys: list[str], ts: str = "ts", *, window
     """Accept a row unless the last *accepted* row of its key is younger than the window.
 
     A pause of at least one window always resets the rule, so every run between pauses is
-    independent: runs are separate tasks. Inside a run the next accepted row is found by
-    binary search over Arrow batches with one timestamp of state.
+    independent: runs are separate tasks. Pauses are found on the chunked series. Inside a run
+    the next accepted row is found by binary search over Arrow batches with one timestamp of
+    state.
     """
-    w = Window.partitionBy(*keys).orderBy(ts)
-    gap = F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w)) >= window_seconds * 1_000_000
-    run = F.sum(F.when(gap, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    df = rows.withColumn("_run", run).withColumn("_us", F.unix_micros(ts))
+    s = index_series(rows, tuple(keys), order=ts)
+    s = s.windowed(lambda w: {"_gap": F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w))}, back=1)
+    s = s.running({"_run": ("sum", (F.coalesce("_gap", F.lit(0)) >= window_seconds * 1_000_000).cast("int"))})
+    df = s.df.withColumn("_us", F.unix_micros(ts))
     cols = rows.columns
     schema = StructType([*rows.schema.fields, StructField(out, BooleanType())])
     width = window_seconds * 1_000_000

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tapeworks.functions.timeexpr import bar_floor
 from tapeworks.operators import indicators as ind
-from tapeworks.operators.bars import resample_bars, session_gate
+from tapeworks.operators.bars import session_gate
 from tapeworks.operators.series import Series, index_series
 from tapeworks.operators.zones import zone_proximity
 
@@ -237,7 +237,8 @@ def hourly_bias(series: Series, *, tsi_long: int = 25, tsi_short: int = 13, tsi_
     An hour without both indicators keeps the bias before it.
     """
     keys = [k for k in series.keys if k != "timeframe"]
-    hours = resample_bars(series.df, 60, keys=tuple(keys), timeframe="1h")
+    hours = series.df.groupBy(*keys, bar_floor(F.col("ts"), 60).alias("hour")).agg(
+        F.max_by("close", F.unix_micros("ts")).alias("close")).withColumnRenamed("hour", "ts")
     h = index_series(hours, tuple(keys), rows_per_chunk=series.rows_per_chunk)
     h = ind.add(h, ind.ema(ema_period, "bias_ema"), ind.tsi(tsi_long, tsi_short, tsi_signal))
     c, e = F.col("close"), F.col("bias_ema")
@@ -285,9 +286,10 @@ def multi_tf_tsi(series: Series, *, tsi_long: int = 25, tsi_short: int = 13, tsi
 
 
 def last_snapshot(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    """Last row's columns per key."""
-    pick = F.max_by(F.struct("ts", *cols), F.unix_micros("ts")).alias("s")
-    return df.groupBy(*keys).agg(pick).select(*keys, "s.*")
+    """Last row's columns per key. The row-number limit also runs before the shuffle."""
+    w = Window.partitionBy(*keys).orderBy(F.col("ts").desc())
+    out = df.withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    return out.select(*keys, "ts", *cols)
 
 
 def paper_signal(in_position: Column, confluence: Column, direction: Column,

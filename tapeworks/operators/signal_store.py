@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.scalars import wilson_lower
@@ -18,8 +18,8 @@ def insert_ignore(table: DataFrame, incoming: DataFrame, key: str = "id",
     fresh = incoming.join(table.select(key), key, "left_anti")
     if order is None:
         return fresh.dropDuplicates([key])
-    cols = [c for c in fresh.columns if c != key]
-    return fresh.groupBy(key).agg(F.min_by(F.struct(*cols), order).alias("_r")).select(key, "_r.*")
+    w = Window.partitionBy(key).orderBy(order)
+    return fresh.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
 def apply_status(table: DataFrame, events: DataFrame) -> DataFrame:
@@ -184,8 +184,6 @@ def alert_decision(rows: DataFrame, *, threshold: Column | int) -> DataFrame:
 def last_only_duplicates(alerts: DataFrame, keys: list[str], order: str) -> DataFrame:
     """True where (direction, h4_ts) equals the previous alert's: only the last is remembered,
     and a duplicate leaves that memory unchanged, so it equals the previous row's pair."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys).orderBy(order)
     same = (F.lag("direction").over(w) == F.col("direction")) & (F.lag("h4_ts").over(w) == F.col("h4_ts"))
     return alerts.withColumn("duplicate", F.coalesce(same, F.lit(False)))

@@ -13,6 +13,7 @@ from tapeworks.functions import scalars as sc
 from tapeworks.operators import backtest as bt
 from tapeworks.operators import fills, joins, metrics, rules, scan
 from tapeworks.operators import indicators as ind
+from tapeworks.operators.validation import hash_draw
 from tapeworks.plans.registry import query
 from tapeworks.plans.tables import (
     TICKS_SQL, WEEKLY_SQL, bars, bars_sql, ema_mean_sql, series, table, tr_sql, with_bars,
@@ -122,11 +123,14 @@ def content_hashes(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", sc.content_hash(body).alias("content_hash"))
 
 
-@query("dataset_fingerprint")
+@query("dataset_fingerprint", """
+SELECT count(*) AS n, bit_xor(('0x' || substr(md5(l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey || '|' || round(l_extendedprice * 100)::BIGINT), 1, 8))::UBIGINT::BIGINT) AS fingerprint FROM lineitem""")
 def dataset_fingerprint(spark, sf_dir):
     """Order-free fingerprint of the ledger: combines map-side, no sort."""
+    cols = [F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string")
     li = table(spark, sf_dir, "lineitem")
-    return li.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*li.columns)).alias("fingerprint"))
+    return li.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(hash_draw(*cols, cents)).alias("fingerprint"))
 
 
 # --- storage and feeds ----------------------------------------------------------------------
