@@ -139,6 +139,20 @@ def normalize_names(a: Column, aliases: dict[str, str] | None = None) -> Column:
     return F.array_sort(F.array_distinct(F.filter(out, lambda s: s != "")))
 
 
+def prefs_json(prefs: Column) -> Column:
+    """Preferences as JSON text with sorted arrays."""
+    return F.to_json(F.struct(
+        F.array_sort(prefs["pairs"]).alias("pairs"), F.array_sort(prefs["sessions"]).alias("sessions"),
+        prefs["min_score"].alias("min_score")))
+
+
+def weights_json(structure: Column, momentum: Column, session: Column, cost: Column) -> Column:
+    """Score weights as JSON text; NULL unless they sum to 100."""
+    body = F.to_json(F.struct(
+        structure.alias("structure"), momentum.alias("momentum"), session.alias("session"), cost.alias("cost")))
+    return F.when(weights_valid(structure, momentum, session, cost), body)
+
+
 def _renamer(src: str, dst: str):
     return lambda s: F.when(s == src, dst).otherwise(s)
 

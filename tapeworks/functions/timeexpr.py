@@ -32,10 +32,10 @@ def next_bar_close(ts: Column, minutes: int) -> Column:
 
 
 def in_session(ts: Column, name: str) -> Column:
-    """Local wall time inside the session's [start, end)."""
+    """Local wall time inside the session's [start, end); bounds are whole hours, so one hour
+    lookup decides."""
     tz, start, end = _ZONES[name]
-    minute = _minute_of_day(F.from_utc_timestamp(ts, tz))
-    return (minute >= start * 60) & (minute < end * 60)
+    return F.hour(F.from_utc_timestamp(ts, tz)).isin(*range(start, end))
 
 
 def active_sessions(ts: Column) -> Column:
@@ -50,8 +50,7 @@ def primary_session(ts: Column) -> Column:
     """OVERLAP > LONDON > NEWYORK > ASIA, NULL off-hours."""
     london, ny = in_session(ts, "LONDON"), in_session(ts, "NEWYORK")
     return (
-        F.when(london & ny, "OVERLAP")
-        .when(london, "LONDON")
+        F.when(london, F.when(ny, "OVERLAP").otherwise("LONDON"))
         .when(ny, "NEWYORK")
         .when(in_session(ts, "ASIA"), "ASIA")
     )
@@ -85,9 +84,7 @@ def coarse_market_open(ts: Column) -> Column:
 
 def trading_day(ts: Column) -> Column:
     """New York date that rolls at 17:00 local."""
-    local = F.from_utc_timestamp(ts, NEW_YORK)
-    day = F.to_date(local)
-    return F.when(F.hour(local) < 17, F.date_sub(day, 1)).otherwise(day)
+    return F.to_date(F.from_utc_timestamp(ts, NEW_YORK) - F.expr("INTERVAL 17 HOURS"))
 
 
 _FIRST_YEAR, _LAST_YEAR = 1900, 2299
@@ -104,9 +101,11 @@ def _easter_day(y: int) -> date:
 
 
 def easter(year: Column) -> Column:
-    """Easter Sunday of a year in 1900..2299, by index into a constant array."""
-    days = F.array(*[F.lit(_easter_day(y)) for y in range(_FIRST_YEAR, _LAST_YEAR + 1)])
-    return F.get(days, year - _FIRST_YEAR)
+    """Easter Sunday of a year in 1900..2299: days after 21 March, by index into a constant
+    array that is parsed once."""
+    days = [(_easter_day(y) - date(y, 3, 21)).days for y in range(_FIRST_YEAR, _LAST_YEAR + 1)]
+    after = F.get(F.expr(f"array({','.join(map(str, days))})"), year - _FIRST_YEAR)
+    return F.date_add(F.make_date(year, F.lit(3), F.lit(21)), after)
 
 
 def _kind(day: Column, m: Column, d: Column, wd: Column) -> Column:

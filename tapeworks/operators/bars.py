@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,37 +40,45 @@ def resample_bars(bars: DataFrame, minutes: int, *, timeframe: str | None = None
     """Coarser bars from finer ones; the interval must divide a day."""
     if minutes <= 0 or 1440 % minutes:
         raise ValueError(f"interval of {minutes} minutes does not divide a day")
+    rows = bars.withColumn("_bucket", bar_floor(F.col("ts"), minutes))
+    return _rollup(rows, list(keys)).withColumn("timeframe", F.lit(timeframe or _label(minutes)))
+
+
+def _rollup(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """OHLC of rows per (keys, _bucket)."""
     o = F.unix_micros("ts")
-    out = (
-        bars.groupBy(*keys, bar_floor(F.col("ts"), minutes).alias("bucket"))
-        .agg(
-            F.min_by("open", o).alias("open"),
-            F.max("high").alias("high"),
-            F.min("low").alias("low"),
-            F.max_by("close", o).alias("close"),
-            F.sum("volume").alias("volume"),
-            F.max_by("bid", o).alias("bid"),
-            F.max_by("ask", o).alias("ask"),
-            F.max_by("spread", o).alias("last_spread"),
-        )
-        .withColumnRenamed("bucket", "ts")
-    )
+    out = rows.groupBy(*keys, "_bucket").agg(
+        F.min_by("open", o).alias("open"),
+        F.max("high").alias("high"),
+        F.min("low").alias("low"),
+        F.max_by("close", o).alias("close"),
+        F.sum("volume").alias("volume"),
+        F.max_by("bid", o).alias("bid"),
+        F.max_by("ask", o).alias("ask"),
+        F.max_by("spread", o).alias("last_spread"),
+    ).withColumnRenamed("_bucket", "ts")
     quoted = F.col("ask").isNotNull() & F.col("bid").isNotNull()
-    return (
-        out.withColumn(
-            "spread", F.when(quoted, F.col("ask") - F.col("bid")).otherwise(F.col("last_spread"))
-        )
-        .drop("last_spread")
-        .withColumn("source", F.lit("resampled"))
-        .withColumn("timeframe", F.lit(timeframe or _label(minutes)))
-    )
+    spread = F.when(quoted, F.col("ask") - F.col("bid")).otherwise(F.col("last_spread"))
+    return out.withColumn("spread", spread).drop("last_spread").withColumn("source", F.lit("resampled"))
 
 
 def resample_many(bars: DataFrame, timeframes: list[str], *,
                   keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """One bar set at several timeframes, as one table with a timeframe column."""
-    parts = [resample_bars(bars, TIMEFRAME_MINUTES[t], timeframe=t, keys=keys) for t in timeframes]
-    return reduce(DataFrame.unionByName, parts)
+    """One bar set at several timeframes, as one table with a timeframe column.
+
+    Each row is tagged once per timeframe and combined map-side, so the input is read and
+    shuffled once whatever the number of timeframes.
+    """
+    if any(1440 % TIMEFRAME_MINUTES[t] for t in timeframes):
+        raise ValueError("an interval does not divide a day")
+    tags = F.array(*[
+        F.struct(F.lit(t).alias("tf"), F.lit(TIMEFRAME_MINUTES[t] * 60_000_000).cast("bigint").alias("us"))
+        for t in timeframes])
+    us = F.unix_micros("ts")
+    rows = bars.drop("timeframe").withColumn("_t", F.explode(tags)).withColumns({
+        "timeframe": F.col("_t.tf"),
+        "_bucket": F.timestamp_micros(us - F.pmod(us, F.col("_t.us")))})
+    return _rollup(rows, [*keys, "timeframe"])
 
 
 def bar_valid() -> Column:

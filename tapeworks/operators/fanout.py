@@ -65,3 +65,9 @@ def recipient_counts(signals: DataFrame, users: DataFrame, *, free_delay: int =
         F.coalesce(F.sum("_later").over(w), F.lit(0)).alias("delayed"))
     return signals.join(grid, ["symbol", "session", "score_total"], "left").fillna(
         0, ["immediate", "delayed"])
+
+
+def by_tier(users: DataFrame, tier: str | None = None) -> DataFrame:
+    """Users ordered by id, optionally of one tier."""
+    rows = users if tier is None else users.where(F.lower("tier") == tier.lower())
+    return rows.orderBy("telegram_id")

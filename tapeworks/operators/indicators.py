@@ -170,10 +170,11 @@ def supertrend(series: Series, period: int = 10, multiplier: float = 3.0, *,
 
     The lower band is a running maximum and the upper a running minimum, so the direction is
     the last bar that broke exactly one band, flipped once for each later bar beyond both.
+    A ready ``_<prefix>_atr`` column of the same period is used and dropped.
     """
     raw = f"_{prefix}_atr"
     lo, up, d = f"{prefix}_lower", f"{prefix}_upper", f"{prefix}_dir"
-    s = add(series, atr(period, raw))
+    s = series if raw in series.df.columns else add(series, atr(period, raw))
     if s.chunked:
         s = s.settle()
     mid, width = (F.col("high") + F.col("low")) / 2, F.col(raw) * multiplier
@@ -306,8 +307,10 @@ def crossover(series: Series, a: str, b: str, *, up: str = "cross_up",
 
 def ema_trend(series: Series, period: int = 50, span: int = 5,
               min_slope_price: float = 0.5) -> Series:
-    """LONG/SHORT/FLAT by close against the EMA and the EMA's slope over ``span`` bars."""
-    s = add(series, ema(period, "trend_ema"))
+    """LONG/SHORT/FLAT by close against the EMA and the EMA's slope over ``span`` bars. A ready
+    ``trend_ema`` column is used as it is."""
+    ready = "trend_ema" in series.df.columns
+    s = series if ready else add(series, ema(period, "trend_ema"))
     s = s.windowed(lambda w: {"_ago": F.lag("trend_ema", span).over(w)}, back=span)
     slope = (F.col("trend_ema") - F.col("_ago")) / span
     label = (

@@ -82,9 +82,8 @@ def next_event(left: DataFrame, events: DataFrame, *, left_ts: str = "ts",
     )
     s = index_series(ev, ("_all",), order="_e", bucket=F.floor(F.col("_e") / size))
     ev = s.windowed(lambda w: {"_prev": F.lag("_e").over(w)}, back=1).df
-    first_row = left.agg(F.min(F.unix_micros(left_ts)).alias("_min"))
-    ev = ev.join(F.broadcast(first_row)).withColumn(
-        "_from", F.coalesce("_prev", F.least("_min", F.col("_e") - 1)))
+    start = left.agg(F.min(F.unix_micros(left_ts))).scalar()
+    ev = ev.withColumn("_from", F.coalesce("_prev", F.least(start, F.col("_e") - 1)))
     spans = ev.withColumn("_b", F.explode(F.sequence(
         F.floor(F.col("_from") / size), F.floor((F.col("_e") - 1) / size)))).select("_b", "_from", "_e", "_v")
     rows = left.withColumn("_t", F.unix_micros(left_ts)).withColumn("_b", F.floor(F.col("_t") / size))

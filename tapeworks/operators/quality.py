@@ -83,6 +83,7 @@ def data_quality(bars: DataFrame, step_seconds: int, *, min_coverage: float = 0.
     one = base.groupBy(*ks).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("ts") <= F.col("_before")).alias("disorder"),
+        F.count_if(F.col("ts") == F.col("_before")).alias("dupes"),
         F.count_if(F.col("ask") < F.col("bid")).alias("bad_quotes"),
         F.count(spread).alias("n_spread"), F.avg(spread).alias("mu"),
         F.stddev_pop(spread).alias("sd"), F.max(spread).alias("hi"), F.min(spread).alias("lo"),
@@ -91,15 +92,15 @@ def data_quality(bars: DataFrame, step_seconds: int, *, min_coverage: float = 0.
         F.count_if("_gap").alias("gaps"), F.count_if(~F.col("_open")).alias("closed"),
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
     )
-    dup = (
-        base.groupBy(*ks, "ts").count().groupBy(*ks).agg(F.sum(F.col("count") - 1).alias("dupes"))
-    )
+    if order != "ts":  # in time order equal instants are neighbours and already counted
+        one = one.drop("dupes").join(base.groupBy(*ks, "ts").count().groupBy(*ks).agg(
+            F.sum(F.col("count") - 1).alias("dupes")), ks)
     z = F.abs(F.col("spread") - F.col("mu")) / F.col("sd")
     far = base.join(one.select(*ks, "mu", "sd"), ks).groupBy(*ks).agg(
         F.count_if(F.coalesce((F.col("sd") > 0) & (z > spread_z_max), F.lit(False)))
         .alias("outliers"))
     grid = expected_slots(one, step_seconds, ks, calendar)
-    row = one.join(dup, ks).join(far, ks).join(grid, ks).withColumn(
+    row = one.join(far, ks).join(grid, ks).withColumn(
         "coverage", F.when(F.col("expected") > 0, F.col("present") / F.col("expected"))
         .otherwise(1.0))
 

@@ -38,25 +38,29 @@ def _tsi_bear() -> Column:
     return (F.col("tsi") < 0) & (F.col("tsi") < F.col("tsi_signal"))
 
 
-def ema_cross(series: Series, fast: int = 9, slow: int = 21) -> Series:
-    """FLAT while warming, then LONG if fast > slow else SHORT."""
+def ema_cross(series: Series, fast: int = 9, slow: int = 21, *,
+              also: tuple[ind.Recurrence, ...] = ()) -> Series:
+    """FLAT while warming, then LONG if fast > slow else SHORT. Recurrences that later steps
+    need go into ``also`` and share this rule's pass."""
     if fast >= slow:
         raise ValueError("fast must be below slow")
-    s = ind.add(series, ind.ema_mean_seeded(fast, "ema_fast"), ind.ema_mean_seeded(slow, "ema_slow"))
+    s = ind.add(series, ind.ema_mean_seeded(fast, "ema_fast"),
+                ind.ema_mean_seeded(slow, "ema_slow"), *also)
     ready = F.col("ema_fast").isNotNull() & F.col("ema_slow").isNotNull()
     up = F.col("ema_fast") > F.col("ema_slow")
     none = F.lit(None).cast("double")
     return _emit(s, [(ready & up, "LONG", none, none), (ready & ~up, "SHORT", none, none)])
 
 
-def ema_cross_sweep(series: Series, params: list[tuple[str, int, int]]) -> Series:
+def ema_cross_sweep(series: Series, params: list[tuple[str, int, int]], *,
+                    also: tuple[ind.Recurrence, ...] = ()) -> Series:
     """EMA cross for many (param_id, fast, slow) sets in one plan; ``param_id`` joins the keys."""
     sets = F.array(*[F.struct(F.lit(i).alias("param_id"), F.lit(f).alias("fast"), F.lit(s).alias("slow"))
                      for i, f, s in params])
     df = series.df.withColumn("_s", F.explode(sets)).select("*", "_s.*").drop("_s")
     s = Series(df, (*series.keys, "param_id"), series.max_rows, series.rows_per_chunk)
     s = ind.add(s, ind.ema_mean_seeded_by("fast", max(p[1] for p in params), "ema_fast"),
-                ind.ema_mean_seeded_by("slow", max(p[2] for p in params), "ema_slow"))
+                ind.ema_mean_seeded_by("slow", max(p[2] for p in params), "ema_slow"), *also)
     ready = F.col("ema_fast").isNotNull() & F.col("ema_slow").isNotNull()
     up, none = F.col("ema_fast") > F.col("ema_slow"), F.lit(None).cast("double")
     return _emit(s, [(ready & up, "LONG", none, none), (ready & ~up, "SHORT", none, none)])
@@ -75,7 +79,8 @@ def gold_pullback(series: Series, *, ema_fast: int = 20, ema_slow: int = 50, st_
         merge_pips=zone_merge_pips, max_touches=max_zone_touches, gate_pips=zone_entry_pips,
     )
     s = ind.add(s, ind.ema(ema_fast, "ema_fast"), ind.ema(ema_slow, "ema_slow"),
-                ind.tsi(tsi_long, tsi_short, tsi_signal), ind.atr(atr_period))
+                ind.tsi(tsi_long, tsi_short, tsi_signal), ind.atr(atr_period),
+                ind.atr(st_period, "_st_atr"))
     s = ind.supertrend(s, st_period, st_multiplier)
     ready = F.lit(True)
     for c in ("ema_fast", "ema_slow", "st_dir", "tsi_signal", "atr"):
@@ -165,10 +170,11 @@ def prev_week_range(series: Series, *, ema_fast: int = 20, ema_slow: int = 50, t
 def weekly_bos_retest(series: Series, *, ema_fast: int = 20, ema_slow: int = 50,
                       tsi_long: int = 25, tsi_short: int = 13, tsi_signal: int = 13,
                       pip_size: float = 0.1, ob_buffer_pips: float = 5.0,
-                      max_risk_pips: float = 80.0, risk_reward: float = 2.0) -> Series:
+                      max_risk_pips: float = 80.0, risk_reward: float = 2.0,
+                      also: tuple[ind.Recurrence, ...] = ()) -> Series:
     """Retest of the order block after a weekly break of structure."""
     s = ind.add(series, ind.ema(ema_fast, "ema_fast"), ind.ema(ema_slow, "ema_slow"),
-                ind.tsi(tsi_long, tsi_short, tsi_signal))
+                ind.tsi(tsi_long, tsi_short, tsi_signal), *also)
     s = ind.break_of_structure(s)
     c, buf, cap = F.col("close"), ob_buffer_pips * pip_size, max_risk_pips * pip_size
     bull = (F.col("ema_fast") > F.col("ema_slow")) & _tsi_bull()

@@ -23,7 +23,7 @@ def confluence_scan(h4: Series, h1: Series, m15: Series, decisions: DataFrame, *
     replaying a look-back window at every step.
     """
     key = ["symbol"]
-    bos = rules.weekly_bos_retest(h4, **(h4_params or {}))
+    bos = rules.weekly_bos_retest(h4, also=(ind.ema(50, "trend_ema"),), **(h4_params or {}))
     trend = ind.ema_trend(bos, min_slope_price=min_slope_price)
     four = trend.df.select("symbol", "ts", "k", "close", "signal", "sl", "tp", "trend")
     one = rules.gold_pullback(h1, **(h1_params or {})).df.select(

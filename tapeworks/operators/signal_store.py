@@ -83,11 +83,11 @@ def with_confidence(rows: DataFrame, table: DataFrame, *, score: str = "score_to
                     keys: list[str] | None = None) -> DataFrame:
     """Attach confidence by score; scores without history get (0.5, 0, INSUFFICIENT).
 
-    The table has at most 101 rows per regime, which bounds the broadcast.
+    The table has at most 101 rows per regime; Catalyst or AQE broadcasts it by measured size.
     """
     keys = keys or []
     t = table.withColumnRenamed("score", score)
-    out = rows.join(F.broadcast(t), [*keys, score], "left")
+    out = rows.join(t, [*keys, score], "left")
     return out.fillna({"confidence_pct": 0.5, "confidence_n": 0, "confidence_label": "INSUFFICIENT"})
 
 

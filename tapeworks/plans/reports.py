@@ -60,8 +60,8 @@ def _sweep_part(i: int, fast: int, slow: int) -> str:
 @query("parameter_sweep", " UNION ALL ".join(_sweep_part(*p) for p in _SWEEP), digits=4)
 def parameter_sweep(spark, sf_dir):
     """All parameter sets in one plan, each a key of its own."""
-    s = ind.add(series(spark, sf_dir, 60), ind.cost_atr(14, 0.5))
-    t = bt.backtest(rules.ema_cross_sweep(s, _SWEEP), terms=TERMS, pip_size=PIP, atr_col="cost_atr")
+    s = rules.ema_cross_sweep(series(spark, sf_dir, 60), _SWEEP, also=(ind.cost_atr(14, 0.5),))
+    t = bt.backtest(s, terms=TERMS, pip_size=PIP, atr_col="cost_atr")
     keys = ["param_id", "symbol"]
     m = metrics.basic_metrics(metrics.drawdown_parts(t, keys, ["signal_k"], [F.floor(F.col("signal_k") / 10_000)]), keys)
     return m.select(*keys, "trade_count", "total_return", "sharpe_ratio")

@@ -91,8 +91,7 @@ def engine_sql(delay: int = 0, stress: str = "1.0") -> list[str]:
 
 
 def cross_trades(spark, sf_dir, **kw):
-    s = ind.add(series(spark, sf_dir, 60), ind.cost_atr(14, 0.5))
-    s = rules.ema_cross(s, 5, 20)
+    s = rules.ema_cross(series(spark, sf_dir, 60), 5, 20, also=(ind.cost_atr(14, 0.5),))
     return bt.backtest(s, terms=TERMS, pip_size=PIP, atr_col="cost_atr", **kw)
 
 
@@ -157,7 +156,7 @@ def equity_curve(spark, sf_dir):
 
 
 @query("research_run", with_bars(60, """
-n AS (SELECT symbol, floor(count(*) * 0.7) AS cut FROM b GROUP BY 1),
+n AS (SELECT symbol, floor(count(*) * 0.7::DOUBLE) AS cut FROM b GROUP BY 1),
 pr AS (SELECT b.* REPLACE (CASE WHEN k < cut THEN k ELSE k - cut END::BIGINT AS k,
           b.symbol || CASE WHEN k < cut THEN '|train' ELSE '|oos' END AS symbol)
        FROM b JOIN n ON n.symbol = b.symbol)""",
@@ -180,7 +179,7 @@ def research_run(spark, sf_dir):
 
     s = ratio_split(series(spark, sf_dir, 60), 0.7)
     both = index_series(s.df.drop("k"), (*KEYS, "part"))
-    both = rules.ema_cross(ind.add(both, ind.cost_atr(14, 0.5)), 5, 20)
+    both = rules.ema_cross(both, 5, 20, also=(ind.cost_atr(14, 0.5),))
     t = bt.backtest(both, terms=TERMS, pip_size=PIP, atr_col="cost_atr")
     keys = ["symbol", "part"]
     m = metrics.basic_metrics(metrics.drawdown_parts(
@@ -493,14 +492,16 @@ def walk_forward_report(spark, sf_dir):
 SELECT e.symbol, direction, e.ts AS entry_ts, round(e.close, 6) AS entry_price, x.ts AS exit_ts,
   round(x.close, 6) AS exit_price, 'EXIT_' || kind AS exit_kind,
   round(CASE direction WHEN 'LONG' THEN x.close - e.close ELSE e.close - x.close END, 6) AS pnl,
+  CASE kind WHEN 'TP' THEN 'win' WHEN 'SL' THEN 'loss' ELSE 'expired' END AS status,
   round_even(date_diff('second', e.ts, x.ts) / 14400, 0)::INT AS n_bars_held
 FROM wt JOIN wr e ON e.symbol = wt.symbol AND e.k = wt.ek JOIN wr x ON x.symbol = wt.symbol AND x.k = wt.xk"""))
 def paper_trades(spark, sf_dir):
-    from tapeworks.functions.scalars import bars_held
+    from tapeworks.functions.scalars import bars_held, lifecycle_status
 
     t = fills.paper_trades(rules.prev_week_range(series(spark, sf_dir, 60), max_risk_pips=1000.0,
                               touch_buf_pips=1000.0))
     secs = F.unix_timestamp("exit_ts") - F.unix_timestamp("entry_ts")
+    t = t.withColumn("status", lifecycle_status(F.col("exit_kind")))
     return t.withColumn("n_bars_held", bars_held(secs)).drop("timeframe", "sl_at_entry", "tp_at_entry")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeworks.schemas import BAR_DDL, schema
@@ -124,6 +124,33 @@ def archive_months(rows: DataFrame, path: str, ts: str = "ts") -> None:
     )
 
 
+def write_timeframes(bars: DataFrame, root: str, timeframes: list[str]) -> None:
+    """One fine bar set resampled to every timeframe and written in a single pass."""
+    from tapeworks.operators.bars import resample_many
+
+    write_bars(resample_many(bars, timeframes), root)
+
+
+def export_month(rows: DataFrame, year: int, month: int, path: str) -> int:
+    """One calendar month sorted by time into Parquet; gives the number of rows."""
+    from tapeworks.operators.signal_store import month_rows
+
+    seen = Observation()
+    # observed above the sort: range partitioning samples the rows below it a second time
+    month_rows(rows, year, month).orderBy("ts").observe(seen, F.count(F.lit(1)).alias("n")).write.mode(
+        "overwrite").parquet(path)
+    return seen.get["n"]
+
+
+def archive_and_purge(table: DataFrame, year: int, month: int, archive: str) -> tuple[int, DataFrame]:
+    """Month-end job: export the month, then the rows that stay (everything from the next month)."""
+    from tapeworks.operators.signal_store import kept_after_purge
+
+    n = export_month(table, year, month, archive)
+    nxt = (year + month // 12, month % 12 + 1)
+    return n, materialize(kept_after_purge(table, *nxt))
+
+
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -162,3 +162,30 @@ def test_backfill_helpers(spark):
     assert br.gap_windows(b, 60, F.lit("2024-01-01 11:00:00").cast("timestamp")).count() == 1
     with pytest.raises(ValueError):
         br.resample_bars(b, 7)
+
+
+def test_timeframe_fanout_and_month_end(spark, tmp_path):
+    root = str(tmp_path / "tf")
+    b = bars(spark, walk(24 * 40, 3, "EUR/USD", step=60)).withColumns(
+        {"volume": F.lit(1.0), "bid": F.col("close") - 0.5, "ask": F.col("close") + 0.5, "spread": F.lit(1.0)})
+    tables.write_timeframes(b, root, ["1h", "4h"])
+    got = dict(tables.read_bars(spark, root).groupBy("timeframe").count().collect())
+    assert got == {"1h": 960, "4h": 240}
+    four = tables.read_bars(spark, root).where("timeframe = '4h'").orderBy("ts").first()
+    one = b.orderBy("ts").limit(4).collect()
+    assert four["open"] == one[0]["open"] and four["close"] == one[3]["close"] and four["volume"] == 4.0
+    n, kept = tables.archive_and_purge(b.select("ts", "close"), 2024, 1, str(tmp_path / "jan"))
+    assert n == 31 * 24 and kept.count() == 9 * 24 and spark.read.parquet(str(tmp_path / "jan")).count() == n
+
+
+def test_json_text(spark):
+    from tapeworks.functions import scalars as sc
+
+    r = spark.range(1).select(
+        sc.prefs_json(F.struct(F.array(F.lit("b"), F.lit("a")).alias("pairs"), F.array(F.lit("X")).alias("sessions"), F.lit(5).alias("min_score"))).alias("p"),
+        sc.weights_json(F.lit(30), F.lit(30), F.lit(20), F.lit(20)).alias("w"), sc.weights_json(F.lit(1), F.lit(1), F.lit(1), F.lit(1)).alias("bad"),
+        sc.normalize_symbol(F.lit("XAU_USD")).alias("a"), sc.normalize_symbol(F.lit("XAUUSD")).alias("b"), sc.normalize_symbol(F.lit("nope")).alias("c"),
+        sc.bars_held(F.lit(36_000)).alias("h"), sc.score_structure(F.lit("LONG"), F.lit("LONG"), F.lit("LONG"), 25).alias("s")).first()
+    assert json.loads(r["p"]) == {"pairs": ["a", "b"], "sessions": ["X"], "min_score": 5}
+    assert json.loads(r["w"])["cost"] == 20 and r["bad"] is None
+    assert (r["a"], r["b"], r["c"], r["h"], r["s"]) == ("XAU/USD", "XAU/USD", None, 2, 25)
