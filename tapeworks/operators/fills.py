@@ -2,10 +2,12 @@
 
 Every execution style shares one selection: enter at a candidate row while flat, leave at the
 first later row that stops, reaches its target, expires or is told to leave, and only then
-look for the next candidate. Which candidates trade depends on earlier choices, so the
-selection streams each series in order through one task; its state is one open position,
-batches are searched with array operations, and nothing is collected. Fills are columns that
-windows attached beforehand.
+look for the next candidate. Which candidates trade depends on earlier choices. Short series
+stream in order, each through one task whose state is one open position. Long series are cut
+into chunks that run in parallel as if they began flat; chunks whose predecessor turns out to
+hand over an open position run again with it, until no hand-over changes. The first wrong
+chunk is right after each round, so this ends, usually after two or three rounds because
+positions close. Fills are columns that windows attached beforehand.
 """
 
 from __future__ import annotations
@@ -14,12 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import (
+    BooleanType, DoubleType, IntegerType, LongType, StructField, StructType,
+)
 
 from tapeworks.functions.costs import CostTerms, round_trip_currency
 from tapeworks.operators.series import Series
+from tapeworks.storage import materialize
 
 _BLOCK = 512
 
@@ -85,50 +90,127 @@ class _Walk:
 
 
 def select_trades(rows: DataFrame, keys: list[str], order: list[str], payload: list[str], *,
-                  max_hold: int | None = None, reenter: bool = False) -> DataFrame:
+                  max_hold: int | None = None, reenter: bool = False,
+                  chunk: Column | None = None) -> DataFrame:
     """Non-overlapping trades of each series.
 
     Rows need side (+1/-1/0), sl, tp, high, low, exit_long, exit_short and optionally counts
     (bars that age a position) and decides (rows on which expiry is checked). Gives direction,
-    sl, tp, exit_kind, held and entry_*/exit_* for every payload column.
+    sl, tp, exit_kind, held and entry_*/exit_* for every payload column. ``chunk``, monotone in
+    ``order``, splits long series.
     """
     df = rows
     for name, value in (("counts", F.lit(1)), ("decides", F.lit(True))):
         if name not in df.columns:
             df = df.withColumn(name, value)
     use = ["side", "sl", "tp", "high", "low", "exit_long", "exit_short", "counts", "decides"]
-    df = df.select(*keys, *order, *use, *[F.col(c).alias(f"_p_{c}") for c in payload])
-    df = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    inner = [f"_p_{c}" for c in payload]
+    cut = [] if chunk is None else [F.floor(chunk).cast("bigint").alias("_chunk")]
+    df = df.select(*keys, *cut, *order, *use, *[F.col(c).alias(i) for c, i in zip(payload, inner)])
     fields = {f.name: f.dataType for f in rows.schema.fields}
-    schema = StructType(
-        [StructField(k, fields[k]) for k in keys]
-        + StructType.fromDDL("direction STRING, sl DOUBLE, tp DOUBLE, exit_kind STRING, held BIGINT").fields
+    key_fields = [StructField(k, fields[k]) for k in keys]
+    trade_fields = (
+        StructType.fromDDL("direction STRING, sl DOUBLE, tp DOUBLE, exit_kind STRING, held BIGINT").fields
         + [StructField(f"{s}_{c}", fields[c]) for s in ("entry", "exit") for c in payload]
     )
-    inner = [f"_p_{c}" for c in payload]
+    walk = _Feeder(inner, max_hold, reenter)
+    if chunk is None:
+        schema = StructType(key_fields + trade_fields)
+        ordered = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+        return ordered.mapInPandas(walk.stream(keys, schema.names), schema)
+    state = [StructField(n, t) for n, t in zip(
+        ["side", "sl", "tp", "held", *inner],
+        [IntegerType(), DoubleType(), DoubleType(), LongType(), *[fields[c] for c in payload]])]
+    return _speculate(df, keys, order, walk, key_fields, trade_fields, state)
+
+
+class _Feeder:
+    """Pandas bodies of the walk: streaming over whole series, or one chunk from a state."""
+
+    def __init__(self, inner: list[str], max_hold: int | None, reenter: bool) -> None:
+        self.inner, self.max_hold, self.reenter = inner, max_hold, reenter
+
+    def new(self) -> _Walk:
+        return _Walk(self.inner, self.max_hold, self.reenter)
+
+    def feed(self, walk: _Walk, part: pd.DataFrame) -> list[tuple]:
+        arrays = {c: part[c].to_numpy(float) for c in ("sl", "tp", "high", "low")}
+        arrays |= {c: part[c].to_numpy(int) for c in ("side", "counts")}
+        arrays |= {c: part[c].to_numpy(bool) for c in ("exit_long", "exit_short", "decides")}
+        arrays |= {c: part[c].to_numpy() for c in self.inner}
+        found: list[tuple] = []
+        walk.feed(arrays, found)
+        return [("LONG" if t[0] > 0 else "SHORT", *t[1:]) for t in found]
+
+    def stream(self, keys: list[str], names: list[str]):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            current, walk = None, None
+            for pdf in batches:
+                ids = list(zip(*[pdf[k] for k in keys]))
+                cuts = [0] + [i for i in range(1, len(ids)) if ids[i] != ids[i - 1]] + [len(ids)]
+                done: list[tuple] = []
+                for a, e in zip(cuts, cuts[1:]):
+                    if a == e:
+                        continue
+                    if ids[a] != current:
+                        current, walk = ids[a], self.new()
+                    done += [(*current, *t) for t in self.feed(walk, pdf.iloc[a:e])]
+                yield pd.DataFrame(done, columns=names)
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
-        for pdf in batches:
-            ids = list(zip(*[pdf[k] for k in keys]))
-            cuts = [0] + [i for i in range(1, len(ids)) if ids[i] != ids[i - 1]] + [len(ids)]
-            done: list[tuple] = []
-            for a, e in zip(cuts, cuts[1:]):
-                if a == e:
-                    continue
-                if ids[a] != current:
-                    current, state = ids[a], _Walk(inner, max_hold, reenter)
-                part = pdf.iloc[a:e]
-                arrays = {c: part[c].to_numpy(float) for c in ("sl", "tp", "high", "low")}
-                arrays |= {c: part[c].to_numpy(int) for c in ("side", "counts")}
-                arrays |= {c: part[c].to_numpy(bool) for c in ("exit_long", "exit_short", "decides")}
-                arrays |= {c: part[c].to_numpy() for c in inner}
-                found: list[tuple] = []
-                state.feed(arrays, found)
-                done += [(*current, "LONG" if t[0] > 0 else "SHORT", *t[1:]) for t in found]
-            yield pd.DataFrame(done, columns=schema.names)
-
-    return df.mapInPandas(walk, schema)
+        return run
+
+    def chunk(self, order: list[str], trade_names: list[str]):
+        """(key, rows, incoming state) -> trades, plus one row with the states in and out."""
+        n_trade, n_state = len(trade_names), 4 + len(self.inner)
+
+        def run(key: tuple, pdf: pd.DataFrame, given: pd.DataFrame, names: list[str]) -> pd.DataFrame:
+            walk, was = self.new(), (0, None, None, 0, *[None] * len(self.inner))
+            if len(given) and given["side"].iloc[0] != 0:
+                was = tuple(given[c].iloc[0] for c in ("side", "sl", "tp", "held", *self.inner))
+                walk.open = {"side": was[0], "sl": float(was[1]), "tp": float(was[2]),
+                             "held": int(was[3]), "entry": was[4:]}
+            trades = self.feed(walk, pdf.sort_values(order, ignore_index=True))
+            p = walk.open
+            end = (0, None, None, 0, *[None] * len(self.inner))
+            if p is not None:
+                end = (int(p["side"]), p["sl"], p["tp"], int(p["held"]), *p["entry"])
+            rows = [(*key, False, *t, *[None] * (2 * n_state)) for t in trades]
+            rows.append((*key, True, *[None] * n_trade, *was, *end))
+            return pd.DataFrame(rows, columns=names)
+
+        return run
+
+
+def _speculate(df: DataFrame, keys: list[str], order: list[str], walk: _Feeder,
+               key_fields: list, trade_fields: list, state: list) -> DataFrame:
+    """Run chunks from a flat start, then re-run those whose incoming state was wrong."""
+    at = [*keys, "_chunk"]
+    schema = StructType(
+        [*key_fields, StructField("_chunk", LongType()), StructField("_is_state", BooleanType()),
+         *trade_fields,
+         *[StructField(f"_{io}_{f.name}", f.dataType) for io in ("in", "out") for f in state]])
+    body, names = walk.chunk(order, [f.name for f in trade_fields]), schema.names
+    rows = materialize(df)
+    nothing = pd.DataFrame({"side": []})
+    done = materialize(rows.groupBy(*at).applyInPandas(
+        lambda key, pdf: body(key, pdf, nothing, names), schema))
+    while True:
+        w = Window.partitionBy(*keys).orderBy("_chunk")
+        marks = done.where("_is_state").withColumns(
+            {f"_want_{f.name}": F.lag(f"_out_{f.name}").over(w) for f in state})
+        marks = marks.withColumn("_want_side", F.coalesce("_want_side", F.lit(0)))
+        same = F.lit(True)
+        for f in state:
+            same = same & F.col(f"_want_{f.name}").eqNullSafe(F.col(f"_in_{f.name}"))
+        flat = (F.col("_want_side") == 0) & (F.col("_in_side") == 0)
+        wrong = materialize(marks.where(~(flat | same)).select(
+            *at, *[F.col(f"_want_{f.name}").alias(f.name) for f in state]))
+        if wrong.isEmpty():
+            return done.where(~F.col("_is_state")).select(*keys, *[f.name for f in trade_fields])
+        again = rows.join(wrong.select(*at), at, "left_semi").groupBy(*at).cogroup(
+            wrong.groupBy(*at)).applyInPandas(
+                lambda key, pdf, given: body(key, pdf, given, names), schema)
+        done = materialize(done.join(wrong.select(*at), at, "left_anti").unionByName(again))
 
 
 def _side() -> Column:
@@ -139,6 +221,10 @@ def _never() -> Column:
     return F.lit(False)
 
 
+def _cut(s: Series) -> Column | None:
+    return F.col("k") / s.rows_per_chunk if s.chunked else None
+
+
 def engine_trades(series: Series, *, terms: CostTerms, pip_size: float, lots: float = 1.0,
                   exit_long: Column | None = None, exit_short: Column | None = None,
                   atr_col: str = "atr", session: str | None = None) -> DataFrame:
@@ -154,7 +240,7 @@ def engine_trades(series: Series, *, terms: CostTerms, pip_size: float, lots: fl
         "fill_atr": F.col(atr_col),
     })
     keys = list(s.keys)
-    t = select_trades(rows, keys, ["k"], ["k", "fill", "fill_ts", "fill_atr"])
+    t = select_trades(rows, keys, ["k"], ["k", "fill", "fill_ts", "fill_atr"], chunk=_cut(s))
     sign = F.when(F.col("direction") == "LONG", 1.0).otherwise(-1.0)
     gross = sign * (F.col("exit_fill") - F.col("entry_fill")) / pip_size * terms.pip_value * lots
     cost = round_trip_currency(
@@ -177,7 +263,7 @@ def level_trades(series: Series, *, pip_size: float, exit_long: Column | None =
         "exit_short": F.coalesce(exit_short, _never()) if exit_short is not None else _never(),
     })
     keys = list(series.keys)
-    t = select_trades(rows, keys, ["k"], ["k", "ts", "close"])
+    t = select_trades(rows, keys, ["k"], ["k", "ts", "close"], chunk=_cut(series))
     kind = F.when(F.col("exit_kind") == "SIGNAL", signal_kind).otherwise(F.col("exit_kind"))
     return _priced(t.withColumn("exit_kind", kind), keys, pip_size)
 
@@ -195,12 +281,12 @@ def _priced(t: DataFrame, keys: list[str], pip_size: float) -> DataFrame:
 
 
 def scanner_trades(decisions: DataFrame, fine: DataFrame, keys: list[str], *, pip_size: float,
-                   max_hold: int = 96) -> DataFrame:
+                   max_hold: int = 96, chunk_days: int | None = None) -> DataFrame:
     """Coarse-bar decisions with barriers watched on fine bars.
 
     Decisions: ts, close, side, sl, tp, exit_long, exit_short (opposite coarse signal). Fine
     bars: ts, high, low. At one instant fine bars come first; on a decision row the order is
-    expiry, reversal, entry.
+    expiry, reversal, entry. ``chunk_days`` splits long series by time.
     """
     none = F.lit(None).cast("double")
     d = decisions.select(
@@ -212,8 +298,9 @@ def scanner_trades(decisions: DataFrame, fine: DataFrame, keys: list[str], *, pi
         none.alias("tp"), "high", "low", F.lit(False).alias("exit_long"),
         F.lit(False).alias("exit_short"), F.lit(1).alias("counts"), F.lit(False).alias("decides"),
         none.alias("close"))
+    chunk = None if chunk_days is None else F.unix_micros("ts") / (chunk_days * 86_400_000_000)
     t = select_trades(d.unionByName(f), keys, ["ts", "_o"], ["ts", "close"], max_hold=max_hold,
-                      reenter=True)
+                      reenter=True, chunk=chunk)
     return _priced(t, keys, pip_size)
 
 
@@ -224,7 +311,7 @@ def paper_trades(series: Series) -> DataFrame:
         "side": _side(), "exit_long": F.col("signal") != "LONG",
         "exit_short": F.col("signal") != "SHORT"})
     keys = list(series.keys)
-    t = select_trades(rows, keys, ["k"], ["ts", "close"])
+    t = select_trades(rows, keys, ["k"], ["ts", "close"], chunk=_cut(series))
     sign = F.when(F.col("direction") == "LONG", 1.0).otherwise(-1.0)
     return t.select(
         *keys, "direction", "entry_ts", F.col("entry_close").alias("entry_price"), "exit_ts",

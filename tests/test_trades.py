@@ -46,20 +46,43 @@ def loop(rows, max_hold=None):
     return out
 
 
-@pytest.mark.parametrize("max_hold", [None, 3])
-def test_selection_equals_bar_loop_across_batches(spark, max_hold):
+@pytest.mark.parametrize("max_hold,chunk", [(None, None), (3, None), (None, 130), (3, 40)])
+def test_selection_equals_bar_loop_across_batches(spark, max_hold, chunk):
     data = {s: candidate_rows(1700, i, s) for i, s in enumerate("AB")}
     names = ["symbol", "timeframe", "ts", "open", "high", "low", "close", "side", "sl", "tp", "exit_long", "exit_short"]
     import pandas as pd
 
     pdf = pd.concat([pd.DataFrame(v, columns=names).assign(k=range(len(v))) for v in data.values()])
     df = spark.createDataFrame(pdf).withColumn("k", F.col("k").cast("bigint")).repartition(6)
-    t = fills.select_trades(df, ["symbol"], ["k"], ["k", "ts"], max_hold=max_hold)
+    t = fills.select_trades(df, ["symbol"], ["k"], ["k", "ts"], max_hold=max_hold,
+                            chunk=None if chunk is None else F.col("k") / chunk)
     for s, rows in data.items():
         got = [tuple(r) for r in t.where(F.col("symbol") == s).orderBy("entry_k").select("entry_k", "exit_k", "exit_kind").collect()]
         assert got == loop(rows, max_hold) and len(got) > 50
 
 
+def test_position_held_through_many_chunks(spark):
+    """Candidates everywhere, but the first position only closes in the last chunk."""
+    rows = [("X", i, T0 + dt.timedelta(hours=i), 10.0, 10.0, 10.0, 1, 5.0, 15.0, False, False) for i in range(100)]
+    rows[93] = (*rows[93][:3], 16.0, 10.0, 10.0, *rows[93][6:])
+    df = spark.createDataFrame(rows, "symbol STRING, k BIGINT, ts TIMESTAMP, high DOUBLE, low DOUBLE, close DOUBLE, side INT, "
+                                     "sl DOUBLE, tp DOUBLE, exit_long BOOLEAN, exit_short BOOLEAN")
+    t = fills.select_trades(df, ["symbol"], ["k"], ["k", "ts"], chunk=F.col("k") / 10).collect()
+    assert [(r["entry_k"], r["exit_k"], r["exit_kind"], r["held"]) for r in t] == [(0, 93, "TP", 93)]
+    assert t[0]["entry_ts"] == T0
+
+
+@pytest.mark.parametrize("chunk", [100_000, 90])
+def test_paper_and_level_trades_do_not_depend_on_chunks(spark, chunk):
+    rows = [r[:7] for r in candidate_rows(600, 4, "A")]
+    s = rules.london_sweep(index_series(bars(spark, rows), KEYS, rows_per_chunk=chunk), atr_period=3)
+    paper = sorted(map(tuple, fills.paper_trades(s).select("entry_ts", "exit_ts", "exit_kind").collect()))
+    level = sorted(map(tuple, fills.level_trades(s, pip_size=1.0).select("entry_ts", "exit_ts", "exit_kind").collect()))
+    if not hasattr(spark, "_seen_trades"):
+        spark._seen_trades = (paper, level)
+    assert (paper, level) == spark._seen_trades and len(paper) > 5 and len(level) > 5
+
+
 def test_triple_barrier_stop_first(spark):
     rows = [("X", "1h", T0 + dt.timedelta(hours=i), 10.0, 10.0, 10.0, 10.0) for i in range(60)]
     rows[5] = (*rows[5][:4], 13.0, 7.0, 10.0)
