@@ -183,8 +183,8 @@ def walk_forward_windows(spark, sf_dir):
 
 
 @query("walk_forward_expectancy", "WITH " + _WIN_SQL + """
-SELECT win.run, "window", count(*) AS days, round(avg(pnl), 4) AS expectancy FROM win JOIN daily d
-  ON d.run = win.run AND CAST(d.day AS TIMESTAMP) >= test_start AND CAST(d.day AS TIMESTAMP) < test_end GROUP BY 1, 2""", digits=4)
+SELECT win.run, "window", count(*) AS days, round(avg(pnl), 6) AS expectancy FROM win JOIN daily d
+  ON d.run = win.run AND CAST(d.day AS TIMESTAMP) >= test_start AND CAST(d.day AS TIMESTAMP) < test_end GROUP BY 1, 2""", digits=6)
 def walk_forward_expectancy(spark, sf_dir):
     d = daily(spark, sf_dir)
     rows = d.withColumn("ts", F.col("day").cast("timestamp"))

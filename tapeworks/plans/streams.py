@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 
 from tapeworks.operators import rules
 from tapeworks.operators.series import index_series
+from tapeworks.plans.market import PIVOT_SQL
 from tapeworks.plans.registry import query
-from tapeworks.plans.tables import KEYS, bars, ema_first_sql, rma_sql, table, tr_sql, with_bars
-from tapeworks.plans.trading import _LEVEL_OUT, pwr_sql, walk_sql
+from tapeworks.plans.tables import (
+    BOS_SQL, KEYS, WEEKLY_SQL, bars, ema_first_sql, rma_sql, supertrend_sql, table, tr_sql, tsi_sql, with_bars,
+)
+from tapeworks.plans.trading import pwr_sql, walk_sql, zones_sql
 from tapeworks.storage import materialize, shared_dir
 from tapeworks.streaming import state
+from tapeworks.streaming.indicators import OUT, LiveIndicators
 from tapeworks.streaming.live import stream_bars
 
 
@@ -73,13 +77,19 @@ def _bar_stream(spark, df):
     return spark.readStream.schema(stored.schema).parquet(path)
 
 
-@query("stream_indicators", with_bars(60, ema_first_sql("e", 20), tr_sql(), rma_sql("a", 14), select="""
-SELECT b.symbol, b.ts, round(b.close, 6) AS close, round(e.y, 6) AS ema, round(a.y, 6) AS atr
-FROM b LEFT JOIN e ON e.symbol = b.symbol AND e.k = b.k LEFT JOIN a ON a.symbol = b.symbol AND a.k = b.k"""))
+@query("stream_indicators", with_bars(60, ema_first_sql("e", 20), tr_sql(), rma_sql("a", 14), tsi_sql("t"), rma_sql("a10", 10),
+    supertrend_sql("st", "a10"), WEEKLY_SQL, BOS_SQL, PIVOT_SQL, zones_sql(), select="""
+SELECT b.symbol, b.ts, round(e.y, 6) AS ema, round(a.y, 6) AS atr, round(tsi, 6) AS tsi, round(tsi_signal, 6) AS tsi_signal, dir AS st_dir,
+  round(CASE dir WHEN 1 THEN st.lo ELSE st.up END, 6) AS st_value, round(bos.prev_high, 6) AS prev_high, round(bos.prev_low, 6) AS prev_low, bos.bos,
+  round(bos_level, 6) AS bos_level, round(ob_high, 6) AS ob_high, round(ob_low, 6) AS ob_low, choch_bearish, choch_bullish,
+  len(sup)::INT AS n_support, len(res)::INT AS n_resistance
+FROM b LEFT JOIN e ON e.symbol = b.symbol AND e.k = b.k LEFT JOIN a ON a.symbol = b.symbol AND a.k = b.k
+LEFT JOIN t ON t.symbol = b.symbol AND t.k = b.k LEFT JOIN st ON st.symbol = b.symbol AND st.k = b.k
+LEFT JOIN bos ON bos.symbol = b.symbol AND bos.k = b.k LEFT JOIN znf ON znf.symbol = b.symbol AND znf.k = b.k"""))
 def stream_indicators(spark, sf_dir):
-    """Incremental averages over bars as they close; equal to the batch indicators."""
-    s = _bar_stream(spark, bars(spark, sf_dir, 60).select("symbol", "ts", "high", "low", "close"))
-    return drain(spark, state.run_keyed(s, ["symbol"], state.LiveAverages(), state.EMA_OUT))
+    """All incremental indicators over bars as they close; equal to the batch ones."""
+    s = _bar_stream(spark, bars(spark, sf_dir, 60).select("symbol", "ts", "open", "high", "low", "close"))
+    return drain(spark, state.run_keyed(s, ["symbol"], LiveIndicators(), OUT))
 
 
 @query("stream_paper_trades", with_bars(60, *pwr_sql(), walk_sql("sg", "s.signal <> 'LONG'", "s.signal <> 'SHORT'"), select="""

@@ -20,7 +20,6 @@ PAPER_OUT = (
 REPEAT_OUT = "symbol STRING, direction STRING, ts TIMESTAMP, accepted BOOLEAN"
 RISK_OUT = "account STRING, ts TIMESTAMP, trading_day STRING, realized_r DOUBLE, trades INT, halted BOOLEAN, tripped BOOLEAN"
 STALL_OUT = "symbol STRING, last_tick TIMESTAMP, stalled_at TIMESTAMP"
-EMA_OUT = "symbol STRING, ts TIMESTAMP, close DOUBLE, ema DOUBLE, atr DOUBLE"
 
 
 def _ordered(rows: Iterator[pd.DataFrame], by: str = "ts") -> pd.DataFrame:
@@ -151,41 +150,6 @@ class StallWatch(StatefulProcessor):
         pass
 
 
-class LiveAverages(StatefulProcessor):
-    """First-seeded EMA and Wilder ATR advanced one closed bar at a time.
-
-    Input: symbol, ts, high, low, close. NULL while warming, as in the batch indicators.
-    """
-
-    def __init__(self, ema_period: int = 20, atr_period: int = 14) -> None:
-        self.ep, self.ap = ema_period, atr_period
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.s = handle.getValueState("s", "n INT, ema DOUBLE, prev DOUBLE, tr_sum DOUBLE, atr DOUBLE")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n, ema, prev, tr_sum, atr = self.s.get() if self.s.exists() else (0, 0.0, 0.0, 0.0, 0.0)
-        a, out = 2.0 / (self.ep + 1), []
-        for r in _ordered(rows).itertuples():
-            tr = r.high - r.low
-            if n:
-                tr = max(tr, abs(r.high - prev), abs(r.low - prev))
-            ema = ema + a * (r.close - ema) if n else r.close
-            n, prev = n + 1, r.close
-            if n <= self.ap:
-                tr_sum += tr
-                atr = tr_sum / n
-            else:
-                atr += (tr - atr) / self.ap
-            out.append((key[0], r.ts, r.close, ema if n >= self.ep else None, atr if n >= self.ap else None))
-        self.s.update((n, float(ema), float(prev), float(tr_sum), float(atr)))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "close", "ema", "atr"]).astype(
-            {"ema": float, "atr": float})
-
-    def close(self) -> None:
-        pass
-
-
 def run_keyed(df: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, *,
               time_mode: str = "None") -> DataFrame:
     """Attach a processor to a stream."""
