@@ -38,20 +38,21 @@ class Series:
     keys: tuple[str, ...]
     max_rows: int
     rows_per_chunk: int
+    settled: bool = False
 
     @property
     def chunked(self) -> bool:
         return self.max_rows > self.rows_per_chunk
 
     def with_df(self, df: DataFrame) -> Series:
-        return replace(self, df=df)
+        return replace(self, df=df, settled=False)
 
     def with_columns(self, cols: dict[str, Column]) -> Series:
         return self.with_df(self.df.withColumns(cols))
 
     def settle(self) -> Series:
         """Cut the plan before it is used more than once."""
-        return self.with_df(materialize(self.df))
+        return self if self.settled else replace(self, df=materialize(self.df), settled=True)
 
     def _spread(self, back: int, ahead: int) -> DataFrame:
         """Rows copied to every chunk that may look at them; ``_home`` marks the original."""
@@ -82,7 +83,7 @@ class Series:
                 Window.unboundedPreceding, 0)
             return self.with_columns({o: _prefix(kind, c, w) for o, (kind, c) in specs.items()})
         part = [*self.keys, "_chunk"]
-        base = materialize(self.df.withColumn("_chunk", F.floor(F.col("k") / self.rows_per_chunk)))
+        base = self.settle().df.withColumn("_chunk", F.floor(F.col("k") / self.rows_per_chunk))
         inner = Window.partitionBy(*part).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
         local = base.withColumns({o: _prefix(kind, c, inner) for o, (kind, c) in specs.items()})
         totals = base.groupBy(*part).agg(

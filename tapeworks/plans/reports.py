@@ -14,7 +14,8 @@ from tapeworks.operators import backtest as bt
 from tapeworks.operators import fills, joins, metrics, rules, scan
 from tapeworks.operators import indicators as ind
 from tapeworks.operators.validation import hash_draw
-from tapeworks.plans.registry import query
+from tapeworks.plans.ledger import ORDER, chunk, ledger
+from tapeworks.plans.registry import ORACLES, query
 from tapeworks.plans.tables import (
     TICKS_SQL, WEEKLY_SQL, bars, bars_sql, ema_mean_sql, series, table, tr_sql, with_bars,
 )
@@ -49,6 +50,38 @@ def weekly_outlook(spark, sf_dir):
         c.alias("last_close"), F.when(c > F.col("prev_high"), "ABOVE").when(c < F.col("prev_low"), "BELOW").otherwise("INSIDE").alias("bias"))
 
 
+@query("sweep_snapshot", f"""SELECT s.symbol, s.ts, s.signal, s.sl, s.tp, r.range_high, r.range_low, r.range_bars
+FROM ({ORACLES['sweep_signals']}) s JOIN ({ORACLES['session_range']}) r ON r.symbol = s.symbol AND r.ts = s.ts
+QUALIFY row_number() OVER (PARTITION BY s.symbol ORDER BY s.ts DESC) = 1""")
+def sweep_snapshot(spark, sf_dir):
+    s = rules.london_sweep(series(spark, sf_dir, 60))
+    return rules.last_snapshot(s.df, ["symbol"], ["signal", "sl", "tp", "range_high", "range_low", "range_bars"])
+
+
+@query("daily_report", f"""
+SELECT s.symbol, s.ts, s.h4_trend, s.h1_signal, s.m15_signal, s.direction, d.high AS day_high, d.low AS day_low, d.bars AS day_bars
+FROM ({ORACLES['confluence_scan']}) s JOIN ({ORACLES['day_levels']}) d ON d.symbol = s.symbol AND d.day = CAST(s.ts - INTERVAL 15 MINUTE AS DATE)
+QUALIFY row_number() OVER (PARTITION BY s.symbol ORDER BY s.ts DESC) = 1""")
+def daily_report(spark, sf_dir):
+    """Latest scan per symbol with the levels of its day."""
+    s, _ = _scan(spark, sf_dir)
+    last = rules.last_snapshot(s, ["symbol"], ["h4_trend", "h1_signal", "m15_signal", "direction"])
+    last = last.withColumn("day", F.to_date(F.col("ts") - F.expr("INTERVAL 15 MINUTE")))
+    levels = bars(spark, sf_dir, 60).groupBy("symbol", F.to_date("ts").alias("day")).agg(
+        F.max("high").alias("day_high"), F.min("low").alias("day_low"), F.count(F.lit(1)).alias("day_bars"))
+    return last.join(levels, ["symbol", "day"]).drop("day")
+
+
+@query("recent_performance", """
+SELECT l_returnflag AS run, count(*) AS trade_count, round(avg((l_discount > l_tax)::INT), 4) AS win_rate,
+  round(sum(l_extendedprice * (l_discount - l_tax)), 4) AS total_pnl FROM lineitem WHERE l_shipdate >= TIMESTAMP '2000-01-01' GROUP BY 1""", digits=4)
+def recent_performance(spark, sf_dir):
+    """Journal report since a date; the filter reaches the scan."""
+    t = ledger(spark, sf_dir).where(F.col("l_shipdate") >= F.lit("2000-01-01").cast("timestamp_ntz"))
+    return metrics.strategy_metrics(metrics.drawdown_parts(t, ["run"], ORDER, chunk()), ["run"]).join(
+        t.groupBy("run").agg(F.sum("pnl").alias("total_pnl")), "run").select("run", "trade_count", "win_rate", "total_pnl")
+
+
 _SWEEP = [("p5_20", 5, 20), ("p9_21", 9, 21), ("p10_50", 10, 50)]
 
 

@@ -34,12 +34,11 @@ def drain(spark, stream, *, mode: str = "append"):
 
 
 def _event_stream(spark, sf_dir):
-    """The events file as a stream (the folder is read with a name filter)."""
+    """The events table (one file or a folder of parts) as a stream."""
     schema = table(spark, sf_dir, "events").schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-        .withColumn("ts", F.col("ts").cast("timestamp"))
-    )
+    # a glob matches both; a plain path must be a folder for the file stream source
+    src = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    return src.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("stream_bars", """
