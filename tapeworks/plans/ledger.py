@@ -12,8 +12,9 @@ from tapeworks.operators import indicators as ind
 from tapeworks.operators import joins, metrics, risk, trials
 from tapeworks.operators import validation as val
 from tapeworks.operators.series import index_series
-from tapeworks.plans.registry import query
+from tapeworks.plans.registry import ORACLES, query
 from tapeworks.plans.tables import series, table
+from tapeworks.storage import materialize
 
 ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 
@@ -157,7 +158,7 @@ g AS (SELECT *, sum(r) OVER (PARTITION BY run, trading_day ORDER BY n) AS s FROM
 t AS (SELECT run, trading_day, min(n) FILTER (WHERE s <= -3 OR n >= 6) AS trip, count(*) AS total FROM g GROUP BY 1, 2)
 SELECT t.run, t.trading_day, round(g.s, 4) AS realized_r, g.n AS trades, t.trip IS NOT NULL AS halted, t.total - g.n AS ignored,
   CASE WHEN t.trip IS NULL THEN NULL WHEN g.s <= -3 THEN 'daily loss limit' ELSE 'max daily trades' END AS halt_reason
-FROM t JOIN g ON g.run = t.run AND g.trading_day = t.trading_day AND g.n = coalesce(t.trip, t.total)""", digits=4)
+FROM t JOIN g ON g.run = t.run AND g.trading_day = t.trading_day AND g.n = coalesce(t.trip, t.total)""", digits=4, dates=("trading_day",))
 def daily_risk_ledger(spark, sf_dir):
     f = ledger(spark, sf_dir).withColumns({
         "trading_day": F.to_date("l_shipdate"), "pnl_r": F.col("pnl") / 1000})
@@ -465,3 +466,65 @@ def artifact_audit(spark, sf_dir):
     art = run_artifacts(stats).withColumn(
         "trial_id", F.when(sid % 7 == 0, F.concat(F.lit("X"), sid)).otherwise(F.col("run_id")))
     return trials.audit(art, trial_log(stats))
+
+
+@query("validation_battery", "WITH " + LEDGER_SQL + "," + DAILY_SQL + f""",
+m AS (SELECT run, count(*) AS n, sum(pnl) FILTER (WHERE pnl > 0) / -sum(pnl) FILTER (WHERE pnl < 0) AS pf, avg(pnl) AS ex,
+    avg(pnl) / stddev_samp(pnl) AS sr, max(peak - eqv) / abs(max(peak)) AS dd, avg(pnl - l_extendedprice * 0.001) AS stressed FROM pk GROUP BY run),
+lb AS (SELECT ds.run, avg(pnl) AS lockbox FROM ds JOIN sz ON sz.run = ds.run WHERE k >= floor(n * 0.8::DOUBLE) GROUP BY 1),
+wf AS (SELECT run, avg((expectancy > 0)::INT) AS rate FROM ({ORACLES['walk_forward_expectancy']}) GROUP BY 1),
+re AS ({ORACLES['randomized_entry']}), mc AS ({ORACLES['mc_drawdown_p95']}),
+fam AS (SELECT count(*) AS n_trials, var_samp(sr) AS v FROM m),
+ev AS (SELECT *, sqrt(v) * ((1 - {EULER_MASCHERONI}::DOUBLE) * {quantile_sql('(1 - 1.0::DOUBLE / n_trials)')}
+    + {EULER_MASCHERONI}::DOUBLE * {quantile_sql('(1 - 1.0::DOUBLE / (n_trials * exp(1.0::DOUBLE)))')}) AS sr0 FROM fam),
+z AS (SELECT m.*, lockbox, rate, rank, mc_p95_drawdown_pct AS p95, (sr - sr0) * sqrt(n - 1) / sqrt(1 + 1.25 * sr * sr) AS z
+  FROM m JOIN lb ON lb.run = m.run JOIN wf ON wf.run = m.run JOIN re ON re.run = m.run JOIN mc ON mc.run = m.run, ev),
+p AS (SELECT *, {cdf_sql('z')} AS prob FROM z)
+SELECT run AS run_id, concat_ws(',', CASE WHEN n < 200 THEN 'sample' END, CASE WHEN pf < 1.25 THEN 'profit_factor' END, CASE WHEN ex <= 0 THEN 'expectancy' END,
+    CASE WHEN dd > 0.2 THEN 'max_drawdown' END, CASE WHEN prob <= 0.95 THEN 'deflated_sharpe' END, CASE WHEN rate < 0.6 THEN 'walk_forward' END,
+    CASE WHEN rank < 0.95 THEN 'randomized_entry' END, CASE WHEN NOT (stressed > 0 AND (ex <= 0 OR stressed >= 0.5 * ex)) THEN 'one_bar_delay' END,
+    CASE WHEN stressed <= 0 THEN 'cost_stress' END, CASE WHEN p95 > 0.3 THEN 'mc_p95_drawdown' END, CASE WHEN lockbox <= 0 THEN 'lockbox' END) AS failed,
+  n::DOUBLE AS n_trades, round(pf, 6) AS profit_factor, round(dd, 6) AS drawdown_pct, round(prob, 6) AS deflated_sharpe, round(rate, 6) AS wf_pass_rate,
+  round(rank, 3) AS randomized_entry_rank, round(p95, 6) AS mc_p95_drawdown_pct FROM p""")
+def validation_battery(spark, sf_dir):
+    """Every artifact of every ledger run computed from its trades, then the gate over them."""
+    led = ledger(spark, sf_dir)
+    parts = materialize(metrics.drawdown_parts(led, ["run"], ORDER, chunk()))
+    m = metrics.strategy_metrics(parts, ["run"]).select(
+        "run", F.col("trade_count").alias("n"), "profit_factor", "expectancy", "sharpe")
+    dd = metrics.summarize(parts, ["run"]).select("run", (F.col("max_dd") / F.abs("top")).alias("dd"))
+    stressed = led.groupBy("run").agg(F.avg(F.col("pnl") - F.col("l_extendedprice") * 0.001).alias("stressed"))
+    s, null_plan = _boot(spark, sf_dir, 500, 0)
+    s = s.settle()
+    sizes = s.df.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    draw_plan = val.bootstrap_blocks(sizes, ["run"], n_resamples=500, seed=10_000)
+    lockbox = val.ratio_split(s, 0.8).df.where("part = 'oos'").groupBy("run").agg(F.avg("pnl").alias("lockbox"))
+    rows = s.df.withColumn("ts", F.col("day").cast("timestamp"))
+    win = val.assign_test_windows(rows, _spans(s.df), ["run"], ts="ts", train_days=365, test_days=90, step_days=60)
+    rate = win.groupBy("run", "window").agg(F.avg("pnl").alias("e")).groupBy("run").agg(
+        F.avg(F.when(F.col("e") > 0, 1.0).otherwise(0.0)).alias("rate"))
+    obs = s.df.groupBy("run").agg(F.avg("pnl").alias("observed"), F.sum(F.abs("pnl")).alias("_base"))
+    rank = val.percentile_rank(val.bootstrap_paths(s, null_plan, "pnl"), obs, ["run"], "mean_pnl").select("run", "rank")
+    paths = val.bootstrap_paths(s, draw_plan, "pnl").join(obs, "run").withColumn("dd", F.col("max_drawdown") / F.col("_base"))
+    p95 = val.index_quantile(paths, ["run"], "dd").withColumnRenamed("quantile", "p95")
+    stats = m
+    for part in (dd, stressed, lockbox, rate, materialize(rank), materialize(p95)):
+        stats = stats.join(part, "run")
+    stats = materialize(stats)
+    c, one = F.col, F.lit(1.0)
+    art = trials.emit(stats, ["run"], {
+        "EQUITY_CURVE": {"drawdown_pct": c("dd")},
+        "TRADE_LEDGER": {"n_trades": c("n"), "profit_factor": c("profit_factor"), "expectancy": c("expectancy"), "sharpe": c("sharpe")},
+        "DATA_QUALITY": {"passed": one}, "NO_LOOKAHEAD": {"passed": one}, "WALK_FORWARD": {"pass_rate": c("rate")},
+        "RANDOMIZED_ENTRY": {"rank": c("rank")}, "COST_STRESS": {"expectancy_at_1_5x": c("stressed")},
+        "ONE_BAR_DELAY": {"base_expectancy": c("expectancy"), "delayed_expectancy": c("stressed")},
+        "MONTE_CARLO_DD": {"p95_drawdown_pct": c("p95")}, "LOCKBOX": {"expectancy": c("lockbox")},
+    }).select(c("run").alias("run_id"), "artifact_type", "payload", F.lit("d1").alias("data_hash"), F.lit("f1").alias("feature_version"),
+              F.lit("c1").alias("cost_model_version"), F.lit(1).alias("created_seq"))
+    log = stats.select(c("run").alias("result_id"), F.lit("ledger").alias("campaign_id"), c("sharpe").alias("observed_sharpe"))
+    seen = stats.select(c("run").alias("run_id"), F.lit("ledger").alias("campaign_id"), c("sharpe").alias("observed_sharpe"), c("n").alias("n_obs"))
+    prob = trials.family_dsr(log, ["campaign_id"], seen).select("run_id", "probability")
+    g = trials.evaluate_gate(art, prob)
+    return g.select(
+        "run_id", F.concat_ws(",", "failed_criteria").alias("failed"), "n_trades", "profit_factor", "drawdown_pct", "deflated_sharpe",
+        "wf_pass_rate", F.round("randomized_entry_rank", 3).alias("randomized_entry_rank"), "mc_p95_drawdown_pct")

@@ -65,7 +65,7 @@ SELECT d.*, h.ticks, h.hours_with_data FROM (
   FROM b GROUP BY 1, 2) d
 JOIN (SELECT symbol, CAST(ts AS DATE) AS day, count(*) AS ticks,
              count(DISTINCT date_trunc('hour', ts)) AS hours_with_data
-      FROM ticks GROUP BY 1, 2) h ON h.symbol = d.symbol AND h.day = d.day"""))
+      FROM ticks GROUP BY 1, 2) h ON h.symbol = d.symbol AND h.day = d.day"""), dates=("day",))
 def day_validation(spark, sf_dir):
     d = dq.validate_days(bars(spark, sf_dir, 15), min_bars=50, max_spread_pips=1999.999)
     h = dq.hours_with_data(ticks(spark, sf_dir))
@@ -108,7 +108,7 @@ def _local(ts: str, tz: str = "America/New_York") -> str:
 
 @query("holiday_calendar", "WITH " + _HOLIDAY_SQL.format(y0=1990, y1=2010) + """
 SELECT year(day) AS year, day, kind FROM hol
-WHERE year(day) IN (SELECT DISTINCT year(o_orderdate) FROM orders)""")
+WHERE year(day) IN (SELECT DISTINCT year(o_orderdate) FROM orders)""", dates=("day",))
 def holiday_calendar(spark, sf_dir):
     years = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year")).distinct()
     return tx.holiday_calendar(years)
@@ -148,7 +148,7 @@ x AS (SELECT day, timezone('UTC', timezone('Asia/Tokyo', day + INTERVAL 9 HOUR))
 SELECT day, asia_start, ls AS london_start, le AS london_end, ns AS newyork_start,
   ne AS newyork_end, CASE WHEN greatest(ls, ns) < least(le, ne) THEN greatest(ls, ns) END
   AS overlap_start, CASE WHEN greatest(ls, ns) < least(le, ne) THEN least(le, ne) END
-  AS overlap_end FROM x""")
+  AS overlap_end FROM x""", dates=("day",))
 def session_bounds(spark, sf_dir):
     day = F.col("day")
     a, _ = tx.session_bounds(day, "ASIA")
@@ -178,7 +178,7 @@ def market_open(spark, sf_dir):
 @query("trading_day_volume", f"""
 WITH {TICKS_SQL}, t AS (SELECT *, {_local('ts')} AS lt FROM ticks)
 SELECT symbol, CASE WHEN hour(lt) < 17 THEN CAST(lt AS DATE) - 1 ELSE CAST(lt AS DATE) END
-  AS trading_day, count(*) AS ticks, round(sum(vol), 4) AS volume FROM t GROUP BY 1, 2""", digits=4)
+  AS trading_day, count(*) AS ticks, round(sum(vol), 4) AS volume FROM t GROUP BY 1, 2""", digits=4, dates=("trading_day",))
 def trading_day_volume(spark, sf_dir):
     return ticks(spark, sf_dir).groupBy(
         "symbol", tx.trading_day(F.col("ts")).alias("trading_day")
@@ -280,7 +280,7 @@ def backfill_merge(spark, sf_dir):
 
 @query("day_levels", with_bars(60, select="""
 SELECT symbol, CAST(ts AS DATE) AS day, round(max(high), 6) AS high, round(min(low), 6) AS low,
-  count(*) AS bars FROM b GROUP BY 1, 2"""))
+  count(*) AS bars FROM b GROUP BY 1, 2"""), dates=("day",))
 def day_levels(spark, sf_dir):
     return bars(spark, sf_dir, 60).groupBy("symbol", F.to_date("ts").alias("day")).agg(
         F.max("high").alias("high"), F.min("low").alias("low"), F.count(F.lit(1)).alias("bars"))

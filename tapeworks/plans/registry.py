@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, TimestampType
+from pyspark.sql.types import DateType, DoubleType, TimestampType
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, oracle: str | None = None, digits: int = 6):
-    """Register ``fn(spark, sf_dir)``. Doubles are rounded; timestamps leave as UTC wall time."""
+def query(name: str, oracle: str | None = None, digits: int = 6, dates: tuple[str, ...] = ()):
+    """Register ``fn(spark, sf_dir)``. Doubles are rounded; timestamps and dates leave as UTC
+    wall time. ``dates`` names the SQL's date columns, which become timestamps too."""
 
     def wrap(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +26,7 @@ def query(name: str, oracle: str | None = None, digits: int = 6):
                 c = F.col(f"`{f.name}`")
                 if isinstance(f.dataType, DoubleType):
                     c = F.round(c, digits)
-                elif isinstance(f.dataType, TimestampType):
+                elif isinstance(f.dataType, TimestampType | DateType):
                     c = c.cast("timestamp_ntz")
                 cols.append(c.alias(f.name))
             return df.select(*cols)
@@ -34,7 +35,8 @@ def query(name: str, oracle: str | None = None, digits: int = 6):
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if oracle is not None:
-            ORACLES[name] = oracle
+            swap = ", ".join(f"CAST({d} AS TIMESTAMP) AS {d}" for d in dates)
+            ORACLES[name] = f"SELECT * REPLACE ({swap}) FROM ({oracle})" if dates else oracle
         return fn
 
     return wrap

@@ -183,7 +183,7 @@ def store_round_trip(spark, sf_dir):
 
 @query("price_event_ticks", """
 SELECT event_type AS symbol, count(*) AS ticks, round(sum(CASE WHEN user_id % 2 = 0 THEN value + 0.5 ELSE value END), 4) AS ask_sum,
-  round(sum(CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE 2.0 END), 4) AS volume
+  round(sum(CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE 2.0 END)::DOUBLE, 4) AS volume
 FROM (SELECT * REPLACE ('XXX/' || upper(substr(event_type, 1, 3)) AS event_type) FROM events) WHERE event_id % 10 <> 0 GROUP BY 1""", digits=4)
 def price_event_ticks(spark, sf_dir):
     """Every event as live price JSON with missing fields, heartbeats dropped."""
