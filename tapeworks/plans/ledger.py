@@ -184,13 +184,14 @@ def walk_forward_windows(spark, sf_dir):
 
 
 @query("walk_forward_expectancy", "WITH " + _WIN_SQL + """
-SELECT win.run, "window", count(*) AS days, round(avg(pnl), 6) AS expectancy FROM win JOIN daily d
-  ON d.run = win.run AND CAST(d.day AS TIMESTAMP) >= test_start AND CAST(d.day AS TIMESTAMP) < test_end GROUP BY 1, 2""", digits=6)
+SELECT win.run, "window", count(*) AS days, round(sum(pnl), 4) AS total, round(avg(pnl), 2) AS expectancy FROM win JOIN daily d
+  ON d.run = win.run AND CAST(d.day AS TIMESTAMP) >= test_start AND CAST(d.day AS TIMESTAMP) < test_end GROUP BY 1, 2""", digits=4)
 def walk_forward_expectancy(spark, sf_dir):
     d = daily(spark, sf_dir)
     rows = d.withColumn("ts", F.col("day").cast("timestamp"))
     w = val.assign_test_windows(rows, _spans(d), ["run"], ts="ts", train_days=365, test_days=90, step_days=60)
-    return w.groupBy("run", "window").agg(F.count(F.lit(1)).alias("days"), F.avg("pnl").alias("expectancy"))
+    return w.groupBy("run", "window").agg(F.count(F.lit(1)).alias("days"), F.sum("pnl").alias("total"),
+        F.round(F.avg("pnl"), 2).alias("expectancy"))
 
 
 @query("purged_kfold", "WITH " + DAILY_SQL + """,
