@@ -18,6 +18,8 @@ _BASE, _SHINGLE_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Byte classes: 0 between words, tokens are runs of one other class. WORD knows one class of token.
+WORD = (~SPACE).astype(np.uint8)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -77,7 +79,7 @@ def row_blocks(at: np.ndarray, size: int) -> list[tuple[int, int]]:
 class Words:
     """Spans and codes of all words of some rows: row r has words first[r]:first[r+1]."""
 
-    def __init__(self, buf: np.ndarray, at: np.ndarray, lower: bool = False, codes: bool = True):
+    def __init__(self, buf: np.ndarray, at: np.ndarray, lower: bool = False, codes: bool = True, classes: np.ndarray = WORD):
         starts, ends, all_codes = [], [], []
         lo, n = 0, len(buf)
         rows = np.zeros(n + 1, bool)
@@ -91,12 +93,12 @@ class Words:
                     break
                 hi = min(n, hi + 4096)
             piece = buf[lo:hi]
-            inside = ~SPACE[piece]
-            begins, stops = inside.copy(), np.zeros(len(piece) + 1, bool)
-            fresh = rows[lo + 1 : hi]
-            begins[1:] &= ~inside[:-1] | fresh
-            stops[1:] = inside
-            stops[1:-1] &= ~inside[1:] | fresh
+            kind = classes[piece]
+            begins, stops = kind > 0, np.zeros(len(piece) + 1, bool)
+            stops[1:] = begins
+            change = (kind[1:] != kind[:-1]) | rows[lo + 1 : hi]
+            begins[1:] &= change
+            stops[1:-1] &= change
             s, e = np.flatnonzero(begins), np.flatnonzero(stops)
             starts.append(s + lo)
             ends.append(e + lo)
