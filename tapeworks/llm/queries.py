@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup, quality_model, rules, substring
+from . import near_dup, packing, quality_model, rules, substring, token_files
+from .shared import folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,16 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(docs, quality_model.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folder(spark, "tokens")
+    token_files.write(_table(spark, sf_dir, "documents"), path)
+    return token_files.read(spark, path, with_ids=False)
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.clean_lines(_table(spark, sf_dir, "documents"), with_text=False).drop("cleaned")
 
@@ -29,6 +40,6 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_quality_classifier, op9_quality_rules, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_quality_classifier, op5_token_files, op8_best_fit_packing, op9_quality_rules, op10_near_dedup)}
 
 ORACLES: dict[str, str] = {}
