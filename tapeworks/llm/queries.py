@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup, packing, quality_model, rules, substring, token_files
+from . import decontaminate, near_dup, packing, quality_model, rules, substring, token_files
 from .shared import folder
 
 
@@ -28,6 +28,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path, with_ids=False)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return decontaminate.mark(docs, decontaminate.find(docs, _table(spark, sf_dir, "benchmark")))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -40,6 +45,6 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_quality_classifier, op5_token_files, op8_best_fit_packing, op9_quality_rules, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_quality_classifier, op5_token_files, op7_decontamination, op8_best_fit_packing, op9_quality_rules, op10_near_dedup)}
 
 ORACLES: dict[str, str] = {}
