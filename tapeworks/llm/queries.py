@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, near_dup, packing, quality_model, rules, substring, token_files
+from . import decontaminate, lines, near_dup, packing, quality_model, rules, substring, token_files, urls
+from .oracles import ORACLES
 from .shared import folder
 
 
@@ -14,7 +16,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
-    return out.select("doc_id", "n_words", "n_removed", "kept_sha256", "removed")
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.drop_recurring(_table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
+    return out.select("doc_id", "n_lines", "n_dropped", "is_copy", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages")).drop("component")
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +56,6 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_quality_classifier, op5_token_files, op7_decontamination, op8_best_fit_packing, op9_quality_rules, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_url_filter, op4_quality_classifier, op5_token_files, op7_decontamination, op8_best_fit_packing, op9_quality_rules, op10_near_dedup)}
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
