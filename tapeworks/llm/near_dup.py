@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -183,3 +183,12 @@ def _shared_ids(rows: DataFrame) -> DataFrame:
 def _answer(rows: DataFrame, found: DataFrame) -> DataFrame:
     component = F.coalesce("component", "node", "doc_id")
     return rows.join(found, "node", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns, with one row for each group; rows without doc_id or words all stay."""
+    ids = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept_id")).distinct()
+    kept = docs.join(ids, docs["doc_id"].cast("long") == F.col("__kept_id"), "left_semi")
+    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))  # rows that share a doc_id are one vertex
+    first = kept.withColumn("__turn", turn).where("__turn = 1").drop("__turn")
+    return first.unionByName(docs.where("doc_id is null"))

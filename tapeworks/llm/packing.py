@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ from .shared import group_of, parts, written
 from .tokens import default_path, encoder
 
 CAPACITY, END = 1024, 2
-#: Search steps, and fillings tried at a step.
-NODES, WIDTH = 8_000, 6
+#: Search steps, fillings tried at a step, and lengths that a filling beside best fit may have.
+NODES, WIDTH, DEPTH = 8_000, 4, 4
 _PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -66,34 +67,48 @@ def _greedy(left: dict[int, int], room: int) -> tuple[int, ...]:
 
 
 def fillings(left: dict[int, int], room: int, most_waste: int) -> Iterator[tuple[int, ...]]:
-    """Undominated fillings of `room`, least waste first: one length before two, two before three.
+    """Fillings of `room` by up to DEPTH lengths, least waste first, then fewest lengths.
 
-    A filling by one length dominates those of the same total by several, as these fit elsewhere too.
+    Totals that d lengths can reach are bits of one number, shifted and joined. A single length that fills
+    the room dominates every other filling, as what they hold would fit in its place elsewhere.
     """
-    order = sorted((n for n in left if n <= room), reverse=True)
-    for waste in range(min(room, most_waste) + 1):
-        goal = room - waste
+    lengths = sorted((n for n in left if n <= room), reverse=True)
+    within, reach = (1 << (room + 1)) - 1, [sum(1 << n for n in lengths)]
+    for _ in range(DEPTH - 1):
+        wider = 0
+        for n in lengths:
+            wider |= reach[-1] << n
+        reach.append(wider & within)
+
+    def build(goal: int, depth: int, at: int) -> Iterator[tuple[int, ...]]:
+        if not depth:
+            if goal in left and goal <= lengths[at]:
+                yield (goal,)
+            return
+        for i in range(at, len(lengths)):
+            n = lengths[i]
+            if n * (depth + 1) < goal:
+                return
+            if n < goal and reach[depth - 1] >> (goal - n) & 1:
+                for rest in build(goal - n, depth - 1, i):
+                    if left[n] > rest.count(n):
+                        yield (n, *rest)
+
+    open_totals = 1
+    for bits in reach:
+        open_totals |= bits
+    while open_totals:
+        goal = open_totals.bit_length() - 1
+        open_totals ^= 1 << goal
+        if room - goal > most_waste:
+            return
         if not goal:
             yield ()
-            return
-        if goal in left:
-            yield (goal,)
-        for n, a in enumerate(order):
-            b = goal - a
-            if 0 < b <= a and b in left and (b < a or left[a] > 1):
-                yield (a, b)
-            if 2 * a < goal:
-                break
-        for i, a in enumerate(order):
-            if 3 * a < goal:
-                break
-            for b in order[i:]:
-                c = goal - a - b
-                if c > b:
-                    break
-                if c > 0 and c in left and all(left[x] >= (a, b, c).count(x) for x in (a, b, c)):
-                    yield (a, b, c)
-                    break
+        for depth, bits in enumerate(reach):
+            if goal and bits >> goal & 1:
+                yield from build(goal, depth, 0)
+                if goal == room and not depth:
+                    return
 
 
 def _lower_bound(counts: dict[int, int], capacity: int) -> int:
@@ -112,17 +127,18 @@ def _lower_bound(counts: dict[int, int], capacity: int) -> int:
 def _best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     left, out = dict(counts), []
     while left:
-        _use(left, out, _greedy(left, capacity))
+        out.append((f := _greedy(left, capacity), _use(left, f)))
     return out
 
 
-def _use(left: dict[int, int], out: list, filling: tuple[int, ...]) -> None:
+def _use(left: dict[int, int], filling: tuple[int, ...]) -> int:
+    """Take a filling as often as the lengths last."""
     times = min(left[n] // filling.count(n) for n in set(filling))
     for n in set(filling):
         left[n] -= times * filling.count(n)
         if not left[n]:
             del left[n]
-    out.append((filling, times))
+    return times
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, width: int = WIDTH) -> list[tuple[tuple[int, ...], int]]:
@@ -130,34 +146,31 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, w
     counts = {n: c for n, c in counts.items() if c}
     best = _best_fit(counts, capacity)
     bins, bound, total = sum(t for _, t in best), _lower_bound(counts, capacity), sum(n * c for n, c in counts.items())
-    stack = [(counts, [], 0, 0)]
+    stack = [(counts, None, (), 0, 0)]  # lengths left, (steps before, filling, times), the filling to take, bins, waste
     while stack and nodes > 0 and bins > bound:
-        left, out, used, waste = stack.pop()
+        left, steps, filling, used, waste = stack.pop()
         nodes -= 1
-        if not left:
-            if used < bins:
-                best, bins = out, used
-            continue
+        if filling:
+            left = dict(left)
+            times = _use(left, filling)
+            steps, used, waste = (steps, filling, times), used + times, waste + times * (capacity - sum(filling))
         spare = (bins - 1) * capacity - total - waste  # waste that a better plan may still have
         if spare < 0:
             continue
+        if not left:
+            best, bins = [], used
+            while steps:
+                steps, filling, times = steps
+                best.append((filling, times))
+            continue
         large = max(left)
         rest = {n: c - (n == large) for n, c in left.items() if c > (n == large)}
-        options = []
-        for f in fillings(rest, capacity - large, min(spare, capacity - large)):
-            options.append(f)
-            if len(options) == width:
-                break
+        options = list(islice(fillings(rest, capacity - large, min(spare, capacity - large)), width))
         greedy = _greedy(rest, capacity - large)
-        if greedy not in options:
+        if greedy not in options and (capacity - large - sum(greedy)) <= spare and not (options and options[0] == (capacity - large,)):
             options.append(greedy)
-        options.sort(key=lambda f: (capacity - large - sum(f), len(f)))
-        for f in reversed(options):
-            now, steps = dict(left), list(out)
-            _use(now, steps, (large, *f))
-            lost = steps[-1][1] * (capacity - large - sum(f))
-            if lost <= spare:
-                stack.append((now, steps, used + steps[-1][1], waste + lost))
+        options.sort(key=lambda f: (sum(f), -len(f)))
+        stack += [(left, steps, (large, *f), used, waste) for f in options]
     return best
 
 
