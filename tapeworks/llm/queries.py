@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, near_dup, packing, quality_model, rules, substring, token_files, urls
+from . import decontaminate, lines, near_dup, packing, pii, quality_model, rules, substring, token_files, urls
 from .oracles import ORACLES
 from .shared import folder
 
@@ -39,6 +39,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path, with_ids=False)
 
 
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(_table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return decontaminate.mark(docs, decontaminate.find(docs, _table(spark, sf_dir, "benchmark")))
@@ -56,6 +60,6 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_url_filter, op4_quality_classifier, op5_token_files, op7_decontamination, op8_best_fit_packing, op9_quality_rules, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_url_filter, op4_quality_classifier, op5_token_files, op6_pii_surrogates, op7_decontamination, op8_best_fit_packing, op9_quality_rules, op10_near_dedup)}
 
 __all__ = ["ORACLES", "QUERIES"]
