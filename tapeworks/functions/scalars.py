@@ -28,8 +28,11 @@ def pip_size_heuristic(symbol: Column) -> Column:
 
 
 def signal_id(symbol: Column, ts: Column, source: Column) -> Column:
-    """First 16 hex digits of sha256 over 'symbol|iso instant|source'."""
-    iso = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    """First 16 hex digits of sha256 over 'symbol|iso instant|source'; the instant has its six
+    fraction digits unless they are zero."""
+    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    part = F.when(F.unix_micros(ts) % 1_000_000 != 0, F.date_format(ts, ".SSSSSS")).otherwise("")
+    iso = F.concat(whole, part, F.lit("+00:00"))
     return F.substring(F.sha2(F.concat_ws("|", symbol, iso, source), 256), 1, 16)
 
 

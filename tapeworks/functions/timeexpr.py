@@ -87,25 +87,16 @@ def trading_day(ts: Column) -> Column:
     return F.to_date(F.from_utc_timestamp(ts, NEW_YORK) - F.expr("INTERVAL 17 HOURS"))
 
 
-_FIRST_YEAR, _LAST_YEAR = 1900, 2299
-
-
-def _easter_day(y: int) -> date:
-    """Gregorian Easter Sunday (Oudin's rule)."""
-    c, n = y // 100, y % 19
-    i = (c - c // 4 - (c - (c - 17) // 25) // 3 + 19 * n + 15) % 30
-    i -= (i // 28) * (1 - (i // 28) * (29 // (i + 1)) * ((21 - n) // 11))
-    back = i - (y + y // 4 + i + 2 - c + c // 4) % 7
-    month = 3 + (back + 40) // 44
-    return date(y, month, back + 28 - 31 * (month // 4))
-
-
 def easter(year: Column) -> Column:
-    """Easter Sunday of a year in 1900..2299: days after 21 March, by index into a constant
-    array that is parsed once."""
-    days = [(_easter_day(y) - date(y, 3, 21)).days for y in range(_FIRST_YEAR, _LAST_YEAR + 1)]
-    after = F.get(F.expr(f"array({','.join(map(str, days))})"), year - _FIRST_YEAR)
-    return F.date_add(F.make_date(year, F.lit(3), F.lit(21)), after)
+    """Gregorian Easter Sunday of any year, in integer arithmetic: the paschal full moon from the
+    place in the lunar cycle and the century's corrections, then the Sunday after it."""
+    y = year.cast("int")
+    century, cycle = F.floor(y / 100), y % 19
+    solar, lunar = century - F.floor(century / 4), F.floor((8 * century + 13) / 25)
+    epact = (19 * cycle + solar - lunar + 15) % 30
+    full = epact - F.when((epact == 29) | ((epact == 28) & (cycle > 10)), 1).otherwise(0)  # days after 21 March
+    moon = F.date_add(F.make_date(y, F.lit(3), F.lit(21)), full.cast("int"))
+    return F.date_add(moon, (7 - (F.weekday(moon) + 1) % 7).cast("int"))
 
 
 def _kind(day: Column, m: Column, d: Column, wd: Column) -> Column:

@@ -21,13 +21,16 @@ def _fade(x: np.ndarray, alpha: float) -> np.ndarray:
 
 
 def _mean_seeded(x: np.ndarray, period: int, alpha: float, from_start: bool) -> np.ndarray:
-    """NaN before position period-1, the mean of the first values there, then the recurrence."""
+    """The mean of the first ``period`` known values at the last of them, then the recurrence over
+    known values; NaN before and at NaN inputs."""
+    out, seen = np.full(len(x), np.nan), ~np.isnan(x)
+    v = x[seen]
     if not from_start:
-        return _fade(x, alpha)
-    out = np.full(len(x), np.nan)
-    if len(x) >= period:
-        seeded = np.concatenate([[x[:period].mean()], x[period:]])
-        out[period - 1:] = _fade(seeded, alpha)
+        out[seen] = _fade(v, alpha) if len(v) else v
+    elif len(v) >= period:
+        y = np.full(len(v), np.nan)
+        y[period - 1:] = _fade(np.concatenate([[v[:period].mean()], v[period:]]), alpha)
+        out[seen] = y
     return out
 
 

@@ -131,6 +131,26 @@ def blackout(rows: DataFrame, events: DataFrame, *, ts: str = "ts", event_ts: st
     return r.join(e, hit, how).drop("_t", "_cell")
 
 
+def with_blackout(rows: DataFrame, events: DataFrame, *, ts: str = "ts", event_ts: str = "event_ts",
+                  before_seconds: int = 1800, after_seconds: int = 900) -> DataFrame:
+    """``rows`` with blocked, true inside any event's closed window: one pass over either side.
+
+    Grid cells are as long as a window. So in a cell the windows that reach in from the left cover
+    it up to the furthest of their ends, and those that begin inside cover it from the first of
+    their beginnings: two instants say all, and every row meets one row of its cell.
+    """
+    cell = (before_seconds + after_seconds) * 1_000_000
+    at = F.unix_micros(event_ts)
+    e = events.select((at - before_seconds * 1_000_000).alias("_lo"), (at + after_seconds * 1_000_000).alias("_hi")).distinct()
+    e = e.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") / cell), F.floor(F.col("_hi") / cell))))
+    # windows have the length of a cell: those that reach in from the left and those that begin inside
+    left = F.col("_lo") < F.col("_cell") * cell
+    e = e.groupBy("_cell").agg(F.max(F.when(left, F.col("_hi"))).alias("_until"), F.min(F.when(~left, F.col("_lo"))).alias("_from"))
+    r = rows.withColumn("_t", F.unix_micros(ts)).withColumn("_cell", F.floor(F.col("_t") / cell))
+    hit = (F.col("_t") <= F.col("_until")) | (F.col("_t") >= F.col("_from"))
+    return r.join(e, "_cell", "left").select(*[r[c] for c in rows.columns], F.coalesce(hit, F.lit(False)).alias("blocked"))
+
+
 def triple_barrier(entries: DataFrame, bars: DataFrame, keys: list[str], *, horizon: int = 24,
                    pip: float = 0.1) -> DataFrame:
     """First of stop or target within the next ``horizon`` bars; the stop wins inside a bar.

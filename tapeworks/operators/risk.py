@@ -42,15 +42,15 @@ def daily_ledger(fills: DataFrame, keys: list[str], order: list[str], *, r: str
 
 
 def suppress_repeats(rows: DataFrame, keys: list[str], ts: str = "ts", *, window_seconds: int = 3600,
-                     out: str = "accepted") -> DataFrame:
+                     out: str = "accepted", tie: str | None = None) -> DataFrame:
     """Accept a row unless the last *accepted* row of its key is younger than the window.
 
     A pause of at least one window always resets the rule, so every run between pauses is
     independent: runs are separate tasks. Pauses are found on the chunked series. Inside a run
     the next accepted row is found by binary search over Arrow batches with one timestamp of
-    state.
+    state. Of rows at one instant the first by ``tie`` counts.
     """
-    s = index_series(rows, tuple(keys), order=ts)
+    s = index_series(rows, tuple(keys), order=ts, tie=tie)
     s = s.windowed(lambda w: {"_gap": F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w))}, back=1)
     s = s.running({"_run": ("sum", (F.coalesce("_gap", F.lit(0)) >= window_seconds * 1_000_000).cast("int"))})
     df = s.df.withColumn("_us", F.unix_micros(ts))
@@ -78,17 +78,17 @@ def suppress_repeats(rows: DataFrame, keys: list[str], ts: str = "ts", *, window
                     i = a + int(np.searchsorted(us[a:e], free_at))
             yield pdf[cols].assign(**{out: ok})[schema.names]
 
-    return df.repartition(*part).sortWithinPartitions(*part, "_us").mapInPandas(walk, schema)
+    return df.repartition(*part).sortWithinPartitions(*part, "k").mapInPandas(walk, schema)
 
 
-def external_signals(parsed: DataFrame, ts: str = "ts") -> DataFrame:
+def external_signals(parsed: DataFrame, ts: str = "ts", tie: str | None = None) -> DataFrame:
     """Parsed external messages that count: real signals above LOW confidence, first per hour
     and (symbol, direction), with reward over risk."""
     kept = parsed.where(F.col("is_signal") & (F.coalesce(F.col("confidence"), F.lit("LOW")) != "LOW"))
     kept = kept.withColumns({
         "symbol": F.upper(F.coalesce("symbol", F.lit("UNKNOWN"))),
         "direction": F.upper(F.coalesce("direction", F.lit("UNKNOWN")))})
-    out = suppress_repeats(kept, ["symbol", "direction"], ts).where("accepted").drop("accepted")
+    out = suppress_repeats(kept, ["symbol", "direction"], ts, tie=tie).where("accepted").drop("accepted")
     return out.withColumn("rr", _rr(F.col("entry"), F.col("sl"), F.col("tp")))
 
 

@@ -123,19 +123,21 @@ class Series:
 
 
 def index_series(df: DataFrame, keys: tuple[str, ...] = ("symbol", "timeframe"), *,
-                 order: str = "ts", bucket: Column | None = None,
+                 order: str = "ts", tie: str | None = None, bucket: Column | None = None,
                  rows_per_chunk: int = ROWS_PER_CHUNK) -> Series:
     """Write ``df`` once, measure its longest series and number the rows from 0.
 
+    ``tie`` orders rows of equal ``order``; without it their order is arbitrary.
+
     ``bucket`` must be monotone in ``order`` (default: the calendar month); long series are
     numbered per bucket plus an offset from the counts of the earlier buckets.
     """
     stored, n = materialize_counted(df)
-    longest = n
+    longest, by = n, [order] if tie is None else [order, tie]
     if n > rows_per_chunk:
         longest = stored.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     if longest <= rows_per_chunk:
-        w = Window.partitionBy(*keys).orderBy(order)
+        w = Window.partitionBy(*keys).orderBy(*by)
         out = stored.withColumn("k", F.row_number().over(w).cast("bigint") - 1)
         return Series(out, keys, max(longest, 1), rows_per_chunk)
     cut = F.date_trunc("month", F.col(order)) if bucket is None else bucket
@@ -144,7 +146,7 @@ def index_series(df: DataFrame, keys: tuple[str, ...] = ("symbol", "timeframe"),
     offsets = tagged.groupBy(*keys, "_b").count().select(
         *keys, "_b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_off")
     )
-    inner = Window.partitionBy(*keys, "_b").orderBy(order)
+    inner = Window.partitionBy(*keys, "_b").orderBy(*by)
     out = (
         tagged.withColumn("_r", F.row_number().over(inner))
         .join(offsets, [*keys, "_b"])

@@ -48,6 +48,19 @@ def win_rate(signals: DataFrame, lo: int, hi: int, regime: str = "any", min_samp
         F.when(enough, F.col("n")).otherwise(0).alias("sample_size"))
 
 
+def win_rates(signals: DataFrame, bands: list[tuple[int, int]], min_samples: int = 1) -> DataFrame:
+    """(lo, rate, n) of every score band in one pass over the table; bands may overlap."""
+    c = F.col
+    closed = [c("status").isin(*_CLOSED) & c("score_total").between(lo, hi) for lo, hi in bands]
+    sums = signals.agg(*[F.struct(F.lit(lo).alias("lo"), F.count_if(in_band).alias("n"),
+                                  F.count_if(in_band & (c("status") == "win")).alias("w")).alias(f"_{i}")
+                         for i, ((lo, _), in_band) in enumerate(zip(bands, closed))])
+    rows = sums.select(F.explode(F.array(*[f"_{i}" for i in range(len(bands))])).alias("b")).select("b.*")
+    enough = c("n") >= max(min_samples, 1)
+    return rows.select("lo", F.when(enough, c("w") / c("n")).otherwise(0.5).alias("win_rate"),
+                       F.when(enough, c("n")).otherwise(0).alias("sample_size"))
+
+
 def score_histogram(signals: DataFrame, by_regime: bool = False) -> DataFrame:
     """Wins and closed count per score (at most 101 scores per regime)."""
     keys = (["regime"] if by_regime else []) + ["score_total"]
@@ -166,24 +179,29 @@ def reconcile(positions: DataFrame, signals: DataFrame) -> DataFrame:
     return linked.unionByName(flat.select("symbol", "signal_id", F.lit("expire").alias("action")))
 
 
-def alert_decision(rows: DataFrame, *, threshold: Column | int) -> DataFrame:
+def alert_decision(rows: DataFrame, *, threshold: Column | int, keys: tuple[str, ...] = ("symbol",),
+                   order: Column | str = "ts", sent: DataFrame | None = None) -> DataFrame:
     """First failing gate per row, or NULL when the alert goes out.
 
-    Needs confluence, halted, m15_signal, direction, score_total, news_blocked, duplicate.
+    Needs confluence, halted, m15_signal, direction, score_total, news_blocked, h4_ts. The last
+    gate compares (direction, h4_ts) with the last alert sent: a row that another gate stops
+    leaves no trace, and a duplicate repeats the pair, so the row before among those that pass
+    all other gates decides. Equal pairs share h4_ts, so windows reach over one such bar only.
+    ``sent`` holds earlier alerts (keys, ``order``, direction, h4_ts).
     """
     c = F.col
-    reason = (
+    other = (
         F.when(~c("confluence"), "no confluence").when(c("halted"), "halted")
         .when(c("m15_signal") != c("direction"), "fast frame disagrees")
         .when(c("score_total") < threshold, "score below threshold")
-        .when(c("news_blocked"), "news window").when(c("duplicate"), "duplicate")
+        .when(c("news_blocked"), "news window")
     )
-    return rows.withColumn("reject_reason", reason)
-
-
-def last_only_duplicates(alerts: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """True where (direction, h4_ts) equals the previous alert's: only the last is remembered,
-    and a duplicate leaves that memory unchanged, so it equals the previous row's pair."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    same = (F.lag("direction").over(w) == F.col("direction")) & (F.lag("h4_ts").over(w) == F.col("h4_ts"))
-    return alerts.withColumn("duplicate", F.coalesce(same, F.lit(False)))
+    judged = rows.withColumn("_other", other).withColumn("_sent", F.lit(False))
+    if sent is not None:
+        judged = judged.unionByName(
+            sent.withColumn("_other", F.lit(None).cast("string")).withColumn("_sent", F.lit(True)),
+            allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "h4_ts", c("_other").isNull()).orderBy(order)
+    again = c("h4_ts").isNotNull() & (F.lag("direction").over(w) == c("direction"))
+    reason = F.coalesce("_other", F.when(again, "duplicate"))
+    return judged.withColumn("reject_reason", reason).where(~c("_sent")).drop("_other", "_sent")

@@ -311,6 +311,18 @@ SELECT b.symbol, b.ts, round(y, 6) AS {out} FROM b LEFT JOIN r ON r.symbol = b.s
 _linear("ema_sma_seed", ind.ema_mean_seeded(20, "ema_20"), ema_mean_sql("r", 20), "ema_20")
 _linear("ema_first_seed", ind.ema(50, "ema_50"), ema_first_sql("r", 50), "ema_50")
 _linear("rma_close", ind.rma(14, "rma_14"), rma_sql("r", 14, "b", "close"), "rma_14")
+
+
+@query("rma_close_gaps", with_bars(60, """
+nn AS (SELECT symbol, k AS at, row_number() OVER (PARTITION BY symbol ORDER BY k) - 1 AS k, close FROM b WHERE k % 7 > 0)""", rma_sql("r", 14, "nn", "close"), select="""
+SELECT b.symbol, b.ts, round(y, 6) AS rma_14 FROM b LEFT JOIN nn ON nn.symbol = b.symbol AND nn.at = b.k
+LEFT JOIN r ON r.symbol = nn.symbol AND r.k = nn.k"""))
+def rma_close_gaps(spark, sf_dir):
+    """Unknown inputs are skipped: no output there, and the seed is the mean of known values."""
+    s = series(spark, sf_dir, 60).with_columns({"known": F.when(F.col("k") % 7 > 0, F.col("close"))})
+    return ind.add(s, ind.rma(14, "rma_14", "known")).df.select(*_ID, "rma_14")
+
+
 _linear("atr_wilder", ind.atr(14, "atr_14"), rma_sql("r", 14), "atr_14", tr=True)
 
 

@@ -57,14 +57,20 @@ def signal_ids(spark, sf_dir):
     return signals(spark, sf_dir).select("o_orderkey", "id", "symbol", "ts")
 
 
+@query("event_signal_ids", """
+SELECT event_id, left(sha256(concat_ws('|', event_type, CASE WHEN epoch_us(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END || '+00:00', 'live')), 16) AS id FROM events""")
+def event_signal_ids(spark, sf_dir):
+    """Ids of instants with fractions of a second."""
+    ev = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return ev.select("event_id", sc.signal_id(F.col("event_type"), F.col("ts"), F.lit("live")).alias("id"))
+
+
 @query("win_rate_bands", _w("""
 SELECT b.lo, CASE WHEN count(*) FILTER (WHERE status IN ('win', 'loss')) >= 1 THEN round(count(*) FILTER (WHERE status = 'win')
   / count(*) FILTER (WHERE status IN ('win', 'loss')), 6) ELSE 0.5 END AS win_rate, count(*) FILTER (WHERE status IN ('win', 'loss')) AS sample_size
 FROM sg JOIN (VALUES (0, 49), (50, 69), (70, 100)) b(lo, hi) ON score_total BETWEEN b.lo AND b.hi GROUP BY 1"""))
 def win_rate_bands(spark, sf_dir):
-    s = signals(spark, sf_dir)
-    parts = [store.win_rate(s, lo, hi).withColumn("lo", F.lit(lo)) for lo, hi in ((0, 49), (50, 69), (70, 100))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return store.win_rates(signals(spark, sf_dir), [(0, 49), (50, 69), (70, 100)])
 
 
 _CONF_SQL = """
@@ -260,22 +266,21 @@ def prefs_normalized(spark, sf_dir):
 # --- gates and repeats ----------------------------------------------------------------------
 
 @query("alert_gates", _w("""
-SELECT id, CASE WHEN o_orderkey % 2 = 1 THEN 'no confluence' WHEN o_orderkey % 13 = 0 THEN 'halted' WHEN o_custkey % 5 = 0 THEN 'fast frame disagrees'
-  WHEN score_total < 40 THEN 'score below threshold' WHEN o_orderkey % 17 = 0 THEN 'news window' WHEN dup THEN 'duplicate' END AS reject_reason FROM d""", """
-d AS (SELECT *, coalesce(lag(direction) OVER w = direction AND lag(time_bucket(INTERVAL 4 HOUR, ts)) OVER w = time_bucket(INTERVAL 4 HOUR, ts), false) AS dup
-  FROM sg WINDOW w AS (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY (ts, id)))"""))
+SELECT d.id, coalesce(other, CASE WHEN dup THEN 'duplicate' END) AS reject_reason FROM d LEFT JOIN e USING (id)""", """
+d AS (SELECT id, symbol, ts, direction, time_bucket(INTERVAL 4 HOUR, ts) AS h4, CASE WHEN o_orderkey % 2 = 1 THEN 'no confluence' WHEN o_orderkey % 13 = 0 THEN 'halted'
+  WHEN o_custkey % 5 = 0 THEN 'fast frame disagrees' WHEN score_total < 40 THEN 'score below threshold' WHEN o_orderkey % 17 = 0 THEN 'news window' END AS other FROM sg),
+e AS (SELECT id, lag(direction) OVER w = direction AND lag(h4) OVER w = h4 AS dup FROM d WHERE other IS NULL WINDOW w AS (PARTITION BY symbol ORDER BY (ts, id)))"""))
 def alert_gates(spark, sf_dir):
     s, k = signals(spark, sf_dir), F.col("o_orderkey")
     s = s.withColumns({
-        "h4_ts": tx.bar_floor(F.col("ts"), 240), "day": F.to_date("ts"), "at": F.struct("ts", "id"),
+        "h4_ts": tx.bar_floor(F.col("ts"), 240), "at": F.struct("ts", "id"),
         "confluence": k % 2 == 0, "halted": k % 13 == 0, "news_blocked": k % 17 == 0,
         "m15_signal": F.when(F.col("o_custkey") % 5 == 0, "FLAT").otherwise(F.col("direction"))})
-    s = store.last_only_duplicates(s, ["symbol", "day"], "at")
-    return store.alert_decision(s, threshold=40).select("id", "reject_reason")
+    return store.alert_decision(s, threshold=40, order="at").select("id", "reject_reason")
 
 
 _REPEAT_SQL = """
-WITH RECURSIVE r AS (SELECT event_id, event_type AS symbol, user_id % 2 AS side, ts, row_number() OVER (PARTITION BY event_type, user_id % 2 ORDER BY ts) AS n FROM {src}),
+WITH RECURSIVE r AS (SELECT event_id, event_type AS symbol, user_id % 2 AS side, ts, row_number() OVER (PARTITION BY event_type, user_id % 2 ORDER BY ts, event_id) AS n FROM {src}),
 a AS (SELECT symbol, side, n, event_id, ts AS last, true AS accepted FROM r WHERE n = 1
   UNION ALL SELECT r.symbol, r.side, r.n, r.event_id, CASE WHEN r.ts - a.last < INTERVAL 1 HOUR THEN a.last ELSE r.ts END, r.ts - a.last >= INTERVAL 1 HOUR
   FROM a JOIN r ON r.symbol = a.symbol AND r.side = a.side AND r.n = a.n + 1)"""
@@ -285,7 +290,7 @@ a AS (SELECT symbol, side, n, event_id, ts AS last, true AS accepted FROM r WHER
 def repeat_suppression(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select(
         "event_id", F.col("event_type").alias("symbol"), (F.col("user_id") % 2).alias("side"), F.col("ts").cast("timestamp").alias("ts"))
-    return risk.suppress_repeats(ev, ["symbol", "side"]).select("event_id", "accepted")
+    return risk.suppress_repeats(ev, ["symbol", "side"], tie="event_id").select("event_id", "accepted")
 
 
 @query("external_signals", _REPEAT_SQL.format(src="(SELECT * FROM events WHERE value > 5 AND user_id % 3 <> 0)") + """
@@ -297,4 +302,4 @@ def external_signals(spark, sf_dir):
         "event_id", F.col("event_type").alias("symbol"), F.when(u % 2 == 0, "long").otherwise("short").alias("direction"),
         F.col("ts").cast("timestamp").alias("ts"), (v > 5).alias("is_signal"),
         F.when(u % 3 == 0, "LOW").otherwise("HIGH").alias("confidence"), v.alias("entry"), (v * 0.9).alias("sl"), (v * 1.25).alias("tp"))
-    return risk.external_signals(parsed).select("event_id", "rr")
+    return risk.external_signals(parsed, tie="event_id").select("event_id", "rr")

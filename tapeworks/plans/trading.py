@@ -519,11 +519,11 @@ def asof_multi_tf(spark, sf_dir):
 
 
 def _news(spark, sf_dir):
-    ev = table(spark, sf_dir, "events").where((F.col("event_type") == "error") & (F.col("value") > 200))
+    ev = table(spark, sf_dir, "events").where(F.col("event_type") == "error")
     return ev.select(F.col("ts").cast("timestamp").alias("event_ts"), "event_id")
 
 
-_NEWS_SQL = "nw AS (SELECT ts AS event_ts, event_id FROM events WHERE event_type = 'error' AND value > 200)"
+_NEWS_SQL = "nw AS (SELECT ts AS event_ts, event_id FROM events WHERE event_type = 'error')"
 
 
 @query("news_blackout", with_bars(15, _NEWS_SQL, select="""
@@ -531,8 +531,7 @@ SELECT symbol, ts, EXISTS (SELECT 1 FROM nw WHERE b.ts BETWEEN event_ts - INTERV
   AND event_ts + INTERVAL 15 MINUTE) AS blocked FROM b"""))
 def news_blackout(spark, sf_dir):
     b, n = bars(spark, sf_dir, 15).select("symbol", "ts"), _news(spark, sf_dir)
-    inside = joins.blackout(b, n).withColumn("blocked", F.lit(True))
-    return inside.unionByName(joins.blackout(b, n, how="left_anti").withColumn("blocked", F.lit(False)))
+    return joins.with_blackout(b, n)
 
 
 @query("next_event", with_bars(60, _NEWS_SQL, select="""

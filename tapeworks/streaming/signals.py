@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeworks.functions import scalars as sc
@@ -73,13 +73,15 @@ class ScanJob:
         at = batch.select("symbol", (F.col("ts") + F.make_dt_interval(mins=F.lit(15))).alias("ts"))
         s = materialize(scan.scored(scan.confluence_scan(h4, h1, m15, at, **(self.scan_params or {}))))
         s = s.withColumn("id", sc.signal_id(F.col("symbol"), F.col("ts"), F.lit("15m_scan")))
-        s = self._gates(spark, s)
-        return store.alert_decision(s, threshold=self.threshold).withColumns({
+        past = self.history(spark)
+        s = self._gates(s, past)
+        sent = past.where(F.col("reject_reason").isNull()).select("symbol", "direction", "h4_ts", "ts")
+        sent = sent.join(s.select("symbol", "h4_ts").distinct(), ["symbol", "h4_ts"], "left_semi")
+        return store.alert_decision(s, threshold=self.threshold, sent=sent).withColumns({
             "source": F.lit("15m_scan"), "status": F.lit("pending"),
             "session": primary_session(F.col("ts"))})
 
-    def _gates(self, spark: SparkSession, s: DataFrame) -> DataFrame:
-        past = self.history(spark)
+    def _gates(self, s: DataFrame, past: DataFrame) -> DataFrame:
         s = store.with_confidence(s, store.confidence_table(past))
         if self.news is None:
             s = s.withColumn("news_blocked", F.lit(False))
@@ -91,14 +93,7 @@ class ScanJob:
         else:
             s = s.join(self.halted.select("symbol").distinct().withColumn("halted", F.lit(True)),
                        "symbol", "left").fillna({"halted": False})
-        seen = s.where("confluence").select("symbol", "direction", "h4_ts", "ts", F.lit(False).alias("_old"))
-        w = Window.partitionBy("symbol").orderBy(F.col("ts").desc())
-        sent = past.where(F.col("reject_reason").isNull()).withColumn("_n", F.row_number().over(w))
-        seen = seen.unionByName(sent.where("_n = 1").select(
-            "symbol", "direction", "h4_ts", "ts", F.lit(True).alias("_old")))
-        dup = store.last_only_duplicates(seen, ["symbol"], "ts").where(~F.col("_old") & F.col("duplicate"))
-        dup = dup.select("symbol", "ts", "duplicate")
-        return s.join(dup, ["symbol", "ts"], "left").fillna({"duplicate": False})
+        return s
 
 
 def deliver_to(users: DataFrame, sink: Callable[[DataFrame], None]) -> Callable[[DataFrame], None]:

@@ -74,3 +74,17 @@ def test_schedule_keeps_ties_together(spark):
 
 def test_display(spark):
     assert one(spark, "2026-07-14 00:15:00", tx.display_utc_and_tehran) == "2026-07-14 00:15 UTC / 03:45 IRST"
+
+
+def test_easter_of_far_years(spark):
+    """Against the rule of the anonymous Gregorian computus, over years before 1900 and after 2299."""
+    def plain(y):
+        a, b, c = y % 19, y // 100, y % 100
+        h = (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30
+        w = (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7
+        m = (a + 11 * h + 22 * w) // 451
+        return dt.date(y, (h + w - 7 * m + 114) // 31, (h + w - 7 * m + 114) % 31 + 1)
+
+    years = [*range(1583, 1900, 3), *range(1900, 2300), *range(2300, 4100, 7)]
+    df = spark.createDataFrame([(y,) for y in years], "y INT")
+    assert {r[0]: r[1] for r in df.select("y", tx.easter(F.col("y"))).collect()} == {y: plain(y) for y in years}
