@@ -377,10 +377,11 @@ ev AS (SELECT *, CASE WHEN n_trials >= 2 AND v > 0 THEN sqrt(v) * ((1 - {EULER_M
 
 @query("campaign_families", "WITH " + STATS_SQL + f"""
 SELECT {_FAM}, count(*) AS n_trials, round(var_samp(observed_sharpe), 9) AS sr_variance, round(max(observed_sharpe), 6) AS best_sharpe,
-  arg_max(result_id, (observed_sharpe, result_id)) AS best_id FROM lt GROUP BY ALL""", digits=9)
+  arg_max(result_id, (observed_sharpe, result_id)) AS best_id,
+  count(*) >= 3 AND avg(abs(observed_sharpe)) <> 0 AND max(observed_sharpe) - min(observed_sharpe) < 0.01 * avg(abs(observed_sharpe)) AS low_variance FROM lt GROUP BY ALL""", digits=9)
 def campaign_families(spark, sf_dir):
     t = trials.latest(trial_log(supplier_stats(spark, sf_dir)))
-    return trials.family_stats(t, ["campaign_id", "strategy"]).drop("low_variance").withColumn(
+    return trials.family_stats(t, ["campaign_id", "strategy"]).withColumn(
         "best_sharpe", F.round("best_sharpe", 6))
 
 

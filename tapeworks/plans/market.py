@@ -36,16 +36,18 @@ spread_out AS (
   SELECT m1.*, t.tf, time_bucket(to_minutes(t.mins), ts) AS bucket
   FROM m1, (VALUES ('5m', 5), ('15m', 15), ('30m', 30), ('1h', 60), ('4h', 240)) t(tf, mins))
 SELECT symbol, tf AS timeframe, count(*) AS bars, round(sum(close), 4) AS close_sum,
-       round(sum(high - low), 4) AS range_sum, round(sum(volume), 4) AS volume_sum
-FROM (SELECT symbol, tf, bucket, arg_max(close, ts) AS close, max(high) AS high, min(low) AS low,
-             sum(volume) AS volume FROM spread_out GROUP BY 1, 2, 3) GROUP BY 1, 2""", digits=4)
+       round(sum(high - low), 4) AS range_sum, round(sum(volume), 4) AS volume_sum, round(sum(open), 4) AS open_sum,
+       round(sum(bid), 4) AS bid_sum, round(sum(ask), 4) AS ask_sum, round(sum(ask - bid), 4) AS spread_sum
+FROM (SELECT symbol, tf, bucket, arg_min(open, ts) AS open, arg_max(close, ts) AS close, max(high) AS high, min(low) AS low,
+             arg_max(bid, ts) AS bid, arg_max(ask, ts) AS ask, sum(volume) AS volume FROM spread_out GROUP BY 1, 2, 3) GROUP BY 1, 2""", digits=4)
 def resample_fanout(spark, sf_dir):
     """One minute set at five coarser timeframes, checked by per-timeframe totals."""
     wide = br.resample_many(bars(spark, sf_dir, 1), ["5m", "15m", "30m", "1h", "4h"])
     return wide.groupBy("symbol", "timeframe").agg(
         F.count(F.lit(1)).alias("bars"), F.sum("close").alias("close_sum"),
         F.sum(F.col("high") - F.col("low")).alias("range_sum"),
-        F.sum("volume").alias("volume_sum"))
+        F.sum("volume").alias("volume_sum"), F.sum("open").alias("open_sum"),
+        *[F.sum(c).alias(f"{c}_sum") for c in ("bid", "ask", "spread")])
 
 
 @query("bar_validity", with_bars(60, select="""SELECT symbol,
@@ -61,6 +63,8 @@ SELECT d.*, h.ticks, h.hours_with_data FROM (
   SELECT symbol, CAST(ts AS DATE) AS day, count(*) AS bars,
     min(ts) FILTER (WHERE least(open, high, low, close) <= 0) AS first_bad_price_ts,
     min(ts) FILTER (WHERE spread / 0.00001 > 1999.999) AS first_wide_spread_ts,
+    concat_ws('; ', CASE WHEN count(*) < 50 THEN 'too few bars' END, CASE WHEN min(least(open, high, low, close)) <= 0 THEN 'non-positive price' END,
+      CASE WHEN max(spread) / 0.00001 > 1999.999 THEN 'wide spread' END) AS warnings,
     count(*) >= 50 AND min(least(open, high, low, close)) > 0 AS passed
   FROM b GROUP BY 1, 2) d
 JOIN (SELECT symbol, CAST(ts AS DATE) AS day, count(*) AS ticks,
@@ -69,7 +73,8 @@ JOIN (SELECT symbol, CAST(ts AS DATE) AS day, count(*) AS ticks,
 def day_validation(spark, sf_dir):
     d = dq.validate_days(bars(spark, sf_dir, 15), min_bars=50, max_spread_pips=1999.999)
     h = dq.hours_with_data(ticks(spark, sf_dir))
-    return d.drop("warnings", "first_wide_spread_pips").join(h, ["symbol", "day"])
+    d = d.withColumn("warnings", F.concat_ws("; ", "warnings"))
+    return d.drop("first_wide_spread_pips").join(h, ["symbol", "day"])
 
 
 _HOLIDAY_SQL = """

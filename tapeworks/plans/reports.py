@@ -23,7 +23,8 @@ from tapeworks.plans.trading import (
     _COST_ATR, _CROSS, _ENGINE, _LEVEL_OUT, BASIC_SQL, LOOSE, PIP, TERMS, _scan, bos_sql,
     cross_trades, engine_sql, cross_sql, scan_sql, tsi_mom_sql, walk_sql,
 )
-from tapeworks.sources import feeds, tables
+from tapeworks.schemas import TRIAL_DDL, schema
+from tapeworks.sources import feeds, logs, tables
 from tapeworks.storage import shared_dir
 
 
@@ -181,6 +182,92 @@ def store_round_trip(spark, sf_dir):
     return out.select("symbol", "ts", "close", "source")
 
 
+@query("month_file", with_bars(60, select="""
+SELECT symbol, ts, round(close, 6) AS close FROM b WHERE symbol = 'click' AND year(ts) = 2024 AND month(ts) = 1"""))
+def month_file(spark, sf_dir):
+    """One stored month of one series, found by its partition."""
+    root = f"{shared_dir(spark)}/tapeworks/bars-{uuid.uuid4().hex}"
+    tables.write_bars(bars(spark, sf_dir, 60).withColumn("source", F.lit("events")), root)
+    return tables.read_month(spark, root, "click", "1h", 2024, 1).select("symbol", "ts", "close")
+
+
+@query("half_open_range", with_bars(60, select="""
+SELECT symbol, ts, round(close, 6) AS close FROM b
+WHERE symbol = 'view' AND ts >= TIMESTAMP '2024-01-05 06:00:00' AND ts < TIMESTAMP '2024-01-20 18:00:00'"""))
+def half_open_range(spark, sf_dir):
+    """The range without its last instant."""
+    root = f"{shared_dir(spark)}/tapeworks/bars-{uuid.uuid4().hex}"
+    tables.write_bars(bars(spark, sf_dir, 60).withColumn("source", F.lit("events")), root)
+    out = tables.load_bars(spark, root, "view", "1h", datetime(2024, 1, 5, 6, tzinfo=UTC), datetime(2024, 1, 20, 18, tzinfo=UTC), closed="left")
+    return out.select("symbol", "ts", "close")
+
+
+@query("timeframe_files", "WITH " + TICKS_SQL + "," + bars_sql(1, "m1") + """
+SELECT symbol, tf AS timeframe, time_bucket(to_minutes(mins), ts) AS ts, round(arg_max(close, ts), 6) AS close
+FROM m1, (VALUES ('15m', 15), ('1h', 60), ('4h', 240)) t(tf, mins) GROUP BY 1, 2, 3""")
+def timeframe_files(spark, sf_dir):
+    """A minute set written at three timeframes in one pass, read back."""
+    root = f"{shared_dir(spark)}/tapeworks/bars-{uuid.uuid4().hex}"
+    tables.write_timeframes(bars(spark, sf_dir, 1).withColumn("source", F.lit("events")), root, ["15m", "1h", "4h"])
+    return tables.read_bars(spark, root).select("symbol", "timeframe", "ts", "close")
+
+
+@query("month_end", with_bars(60, select="""
+SELECT CASE WHEN ts < TIMESTAMP '2024-02-01' THEN 'archived' ELSE 'kept' END AS place, count(*) AS rows, round(sum(close), 4) AS close_sum FROM b
+WHERE ts >= TIMESTAMP '2024-01-01' GROUP BY 1"""), digits=4)
+def month_end(spark, sf_dir):
+    """January exported and purged: what the archive and the table hold afterwards."""
+    path = f"{shared_dir(spark)}/tapeworks/archive-{uuid.uuid4().hex}"
+    _, kept = tables.archive_and_purge(bars(spark, sf_dir, 60).where("ts >= TIMESTAMP '2024-01-01'"), 2024, 1, path)
+    both = tables.read_archive(spark, path).select("close", F.lit("archived").alias("place")).unionByName(
+        kept.select("close", F.lit("kept").alias("place")))
+    return both.groupBy("place").agg(F.count(F.lit(1)).alias("rows"), F.sum("close").alias("close_sum"))
+
+
+def _closed_trades(spark, sf_dir):
+    """Line items as closed trades; returned ones have no result yet."""
+    c, day = F.col, lambda n: F.col(n).cast("timestamp")
+    pnl = F.when(c("l_returnflag") != "R", F.round(c("l_extendedprice") * (c("l_discount") - 0.05), 4))
+    return table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("symbol"), F.when(c("l_linestatus") == "O", "LONG").otherwise("SHORT").alias("direction"),
+        day("l_shipdate").alias("entry_ts"), (day("l_shipdate") + F.make_dt_interval(hours=c("l_linenumber").cast("int") * 3)).alias("exit_ts"), c("l_extendedprice").alias("entry_price"),
+        (c("l_extendedprice") + c("l_tax")).alias("exit_price"), F.lit(None).cast("double").alias("sl_at_entry"), F.lit(None).cast("double").alias("tp_at_entry"),
+        c("l_returnflag").alias("exit_kind"), pnl.alias("pnl"))
+
+
+@query("journal_lines", """
+SELECT l_orderkey || '-' || l_linenumber AS symbol, CASE l_linestatus WHEN 'O' THEN 'LONG' ELSE 'SHORT' END AS direction, CAST(l_shipdate AS TIMESTAMP) AS entry_ts,
+  round(CASE WHEN l_returnflag <> 'R' THEN l_extendedprice * (l_discount - 0.05) ELSE 0 END, 2) AS pnl, round_even(l_linenumber * 3 / 4.0, 0)::INTEGER AS n_bars_held FROM lineitem""", digits=2)
+def journal_lines(spark, sf_dir):
+    """Closed trades appended to the journal as JSON lines, with a broken line among them, read back."""
+    path = f"{shared_dir(spark)}/tapeworks/journal-{uuid.uuid4().hex}"
+    logs.append_exits(_closed_trades(spark, sf_dir), path)
+    spark.range(2).select(F.lit('{"symbol": broken').alias("value")).write.mode("append").text(path)
+    return logs.read_journal(spark, path).select("symbol", "direction", "entry_ts", "pnl", "n_bars_held")
+
+
+@query("tagged_records", """
+SELECT o_orderkey || '' AS symbol, round(o_totalprice, 2) AS prev_high FROM orders WHERE o_orderkey % 2 = 0""", digits=2)
+def tagged_records(spark, sf_dir):
+    """Levels and signals in one log of JSON lines, told apart by their tag."""
+    path = f"{shared_dir(spark)}/tapeworks/records-{uuid.uuid4().hex}"
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    logs.append_records(o.where(k % 2 == 0).select(k.cast("string").alias("symbol"), F.col("o_totalprice").alias("prev_high")), path, "level")
+    logs.append_records(o.where(k % 2 != 0).select(k.cast("string").alias("symbol"), F.col("o_totalprice").alias("entry_price")), path, "signal")
+    return logs.read_records(spark, path, "level").select("symbol", "prev_high")
+
+
+@query("trial_lines", """
+SELECT o_orderkey || '' AS result_id, o_orderpriority AS strategy, round(o_totalprice / 1000000, 6) AS observed_sharpe FROM orders""")
+def trial_lines(spark, sf_dir):
+    """Trials appended to their log and read back."""
+    path = f"{shared_dir(spark)}/tapeworks/trials-{uuid.uuid4().hex}"
+    given = {"result_id": F.col("o_orderkey").cast("string"), "strategy": F.col("o_orderpriority"), "observed_sharpe": F.col("o_totalprice") / 1_000_000, "seq": F.col("o_orderkey").cast("bigint")}
+    rows = table(spark, sf_dir, "orders").select(*[given.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in schema(TRIAL_DDL)])
+    logs.append_trials(rows, path)
+    return logs.read_trials(spark, path).select("result_id", "strategy", "observed_sharpe")
+
+
 @query("price_event_ticks", """
 SELECT event_type AS symbol, count(*) AS ticks, round(sum(CASE WHEN user_id % 2 = 0 THEN value + 0.5 ELSE value END), 4) AS ask_sum,
   round(sum(CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE 2.0 END)::DOUBLE, 4) AS volume

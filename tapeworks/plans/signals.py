@@ -250,6 +250,18 @@ def fanout_match(spark, sf_dir):
     return fanout.recipient_counts(s, users(spark, sf_dir)).select("id", "session", "immediate", "delayed")
 
 
+@query("live_recipients", _w("""
+SELECT ss.id, uid AS telegram_id, delay AS delay_seconds, ss.ts + to_seconds(delay) AS send_at
+FROM ss JOIN us ON list_contains(pairs, symbol) AND list_contains(sessions, session) AND score_total >= min_score
+WHERE ss.ts = (SELECT max(ts) FROM ss WHERE session IS NOT NULL)""",
+    USERS_SQL, _FLAGS_SQL.replace("value FROM events", "sg.* EXCLUDE (ts) FROM sg"), f"ss AS (SELECT *, {_PRIMARY_SQL} AS session FROM fl)"))
+def live_recipients(spark, sf_dir):
+    """Deliveries of the newest instant's signals: what one live batch sends, to whom and when."""
+    s = signals(spark, sf_dir).withColumn("session", tx.primary_session(F.col("ts"))).where("session IS NOT NULL")
+    newest = s.agg(F.max("ts").alias("ts"))
+    return fanout.select_recipients(s.join(newest, "ts"), users(spark, sf_dir))
+
+
 @query("prefs_normalized", """
 SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'LONDON,NEWYORK' WHEN 1 THEN 'ASIA' ELSE '' END AS sessions,
   greatest(0, least(100, c_custkey % 140 - 20)) AS min_score FROM customer""")
