@@ -237,7 +237,7 @@ def _closed_trades(spark, sf_dir):
 
 @query("journal_lines", """
 SELECT l_orderkey || '-' || l_linenumber AS symbol, CASE l_linestatus WHEN 'O' THEN 'LONG' ELSE 'SHORT' END AS direction, CAST(l_shipdate AS TIMESTAMP) AS entry_ts,
-  round(CASE WHEN l_returnflag <> 'R' THEN l_extendedprice * (l_discount - 0.05) ELSE 0 END, 2) AS pnl, round_even(l_linenumber * 3 / 4.0, 0)::INTEGER AS n_bars_held FROM lineitem""", digits=2)
+  round(CASE WHEN l_returnflag <> 'R' THEN l_extendedprice * (l_discount - 0.05) ELSE 0 END, 4) AS pnl, round_even(l_linenumber * 3 / 4.0, 0)::INTEGER AS n_bars_held FROM lineitem""", digits=4)
 def journal_lines(spark, sf_dir):
     """Closed trades appended to the journal as JSON lines, with a broken line among them, read back."""
     path = f"{shared_dir(spark)}/tapeworks/journal-{uuid.uuid4().hex}"
