@@ -40,7 +40,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for k, ids in enumerate(encoder(path).encode(b["text"].to_pylist())):
+            for k, ids in enumerate(encoder(path).rows(b["text"])):
                 ids, step = ids + tail, 4 * capacity
                 lo, hi, n = 0, len(ids) % step or step, 0
                 while lo < len(ids):

@@ -76,18 +76,19 @@ def _encode(ids, number, f, start, limit) -> list[bytes]:
     grid, there = (x.reshape(nb, steps, LANES).transpose(1, 0, 2).reshape(steps, nb * LANES) for x in (grid, there))
     x = np.full(nb * LANES, LOW, np.uint64)
     words, wrote, marks = np.zeros((steps, nb * LANES), np.uint32), np.zeros((steps, nb * LANES), bool), {}
+    short = ~there.all(axis=1)
     for t in range(steps - 1, -1, -1):
         s = grid[t]
         fs = f[s]
         full = x > limit[s]
-        if not there[t].all():
+        if short[t]:
             full &= there[t]
         words[t] = x.astype(np.uint32)
         wrote[t] = full
         y = np.where(full, x >> np.uint64(32), x)
         q = y // fs
         y += q * (np.uint64(1 << SCALE) - fs) + start[s]  # q * 2**SCALE + (y - q * f) + start
-        x = y if there[t].all() else np.where(there[t], y, x)
+        x = np.where(there[t], y, x) if short[t] else y
         if t % STRIDE == 0:
             marks[t] = x
     per = wrote.reshape(steps, nb, LANES)

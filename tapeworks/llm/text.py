@@ -35,6 +35,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def powers(base: int, n: int) -> np.ndarray:
     out = np.full(max(n, 1), base, U64)
     out[0] = 1
@@ -141,6 +147,17 @@ def _codes(piece: np.ndarray, s: np.ndarray, e: np.ndarray, lower: bool) -> np.n
     return out
 
 
+def span_codes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Codes of spans in order that don't overlap."""
+    out, lo = [], 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(end, start[lo] + SLICE, "right")))
+        base = int(start[lo])
+        out.append(_codes(buf[base : int(end[hi - 1])], start[lo:hi] - base, end[lo:hi] - base, False))
+        lo = hi
+    return np.concatenate(out) if out else np.zeros(0, U64)
+
+
 def rolling(codes: np.ndarray, k: int) -> np.ndarray:
     """Rabin-Karp hash of every k consecutive codes, modulo 2**64."""
     n = len(codes) - k + 1

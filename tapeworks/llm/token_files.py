@@ -47,15 +47,13 @@ def write(docs: DataFrame, folder: str, end: int = END, path: str | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, doc_ids, ids, size = TaskContext.get().partitionId(), 0, [], [], 0
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                some = b.slice(lo, 256)
-                for d, x in zip(some["doc_id"].to_pylist(), encoder(path).encode(some["text"].to_pylist()), strict=True):
-                    doc_ids.append(d)
-                    ids.append(x + tail)
-                    size += len(ids[-1]) // 4
-                    if size >= segment:
-                        yield _segment(part, number, doc_ids, ids)
-                        number, doc_ids, ids, size = number + 1, [], [], 0
+            for d, x in zip(b["doc_id"].to_pylist(), encoder(path).rows(b["text"]), strict=True):
+                doc_ids.append(d)
+                ids.append(x + tail)
+                size += len(ids[-1]) // 4
+                if size >= segment:
+                    yield _segment(part, number, doc_ids, ids)
+                    number, doc_ids, ids, size = number + 1, [], [], 0
         if ids:
             yield _segment(part, number, doc_ids, ids)
 

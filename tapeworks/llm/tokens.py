@@ -1,23 +1,26 @@
 """Token ids of whole texts by the tokenizers library, inside tasks.
 
-A byte-level pre-tokenizer never joins a mark with white space after it, so a text can be cut
-before every run of white space and the pieces encoded apart; a worker keeps the ids of the pieces
-it has met. Texts with separators that only Python counts as white space are encoded in one go.
+A byte-level pre-tokenizer never joins a mark with white space after it, nor a letter with what is no
+letter, so a text may be cut there and the pieces encoded apart. A worker keeps the ids of pieces it has met, by a 64-bit code
+of their bytes; what is new in a block is joined to a few strings for the library, and cut again by the
+byte lengths of the tokens. (A cut after one of Unicode's other spaces isn't made, as white space goes
+together.)
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 
-_PIECE = re.compile(r"\s*\S+|\s+")
-_ODD = re.compile("[\x1c-\x1f]")
-#: Pieces that a worker keeps, and the longest of them in characters.
-KEEP, KEEP_CHARS = 600_000, 48
-SLICE_CHARS = 2_000_000
+from .text import SPACE, Words, column, row_blocks, span_codes
+
+#: Pieces that a worker keeps, bytes of text handled at once, and bytes of a string for the library.
+KEEP, BLOCK, STRING = 1_000_000, 1 << 21, 1 << 15
 
 
 def default_path() -> str:
@@ -26,40 +29,111 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK = ~_LETTER & ~SPACE & (np.arange(256) < 128)
+_WIDE_SPACE = re.compile(rb"(?:\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)$")
+
+
+def pieces(buf: np.ndarray, at: np.ndarray, whole: list[bytes] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the pieces of some rows: cuts before white space and after an ASCII letter that no letter follows, none inside the strings `whole`."""
+    cut = np.zeros(len(buf) + 1, bool)
+    ends = Words(buf, at, codes=False).end
+    a, b, c = (np.where(ends >= k, buf[np.maximum(ends - k, 0)], 0) for k in (1, 2, 3))
+    wide = (b == 0xC2) & ((a == 0x85) | (a == 0xA0)) | (c == 0xE1) & (b == 0x9A) & (a == 0x80) | (c == 0xE3) & (b == 0x80) & (a == 0x80)
+    wide |= (c == 0xE2) & ((b == 0x80) & ((a <= 0x8A) | (a == 0xA8) | (a == 0xA9) | (a == 0xAF)) | (b == 0x81) & (a == 0x9F))
+    cut[ends[~wide]] = True
+    cut[1:-1] |= _LETTER[buf[:-1]] & _MARK[buf[1:]]
+    for string in whole:
+        raw = buf.tobytes()
+        found = raw.find(string)
+        while found >= 0:
+            cut[found + 1 : found + len(string)] = False
+            found = raw.find(string, found + 1)
+    cut[at] = True
+    starts = np.flatnonzero(cut[:-1])
+    return starts, np.append(starts[1:], len(buf))[: len(starts)]
+
+
 class Encoder:
-    """Little-endian unsigned 32-bit ids, as bytes, for lists of texts."""
+    """Little-endian unsigned 32-bit ids of texts."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def _batch(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        out, lo = [], 0
-        while lo < len(texts):
-            hi, chars = lo, 0
-            while hi < len(texts) and (hi == lo or chars < SLICE_CHARS):
-                chars += len(texts[hi] or "")
-                hi += 1
-            out += self._slice(texts[lo:hi])
-            lo = hi
-        return out
-
-    def _slice(self, texts: list[str | None]) -> list[bytes]:
-        cut = [[] if not t else [t] if _ODD.search(t) else _PIECE.findall(t) for t in texts]
-        if len(self.known) > KEEP:
-            self.known = {}
-        new = list(set().union(*cut) - self.known.keys())
-        passing = {}
-        for piece, ids in zip(new, self._batch(new), strict=True):
-            (self.known if len(piece) <= KEEP_CHARS else passing)[piece] = ids
-        if not passing:
-            return [b"".join(map(self.known.__getitem__, c)) for c in cut]
-        return [b"".join([self.known[p] if p in self.known else passing[p] for p in c]) for c in cut]
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # of a byte-level token each character is a byte
+        for token, i in vocabulary.items():
+            self.width[i] = len(token)
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        self.added = [t["content"].encode() for t in file.get("added_tokens", [])]
+        self.splits = file.get("pre_tokenizer") == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number, self.ids, self.spans, self.used = {}, np.zeros(1 << 16, np.uint32), np.zeros((1 << 16, 2), np.int64), 0
+
+    def _keep(self, codes: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        n, k = len(self.number), len(codes)
+        while n + k > len(self.spans):
+            self.spans = np.concatenate((self.spans, np.zeros_like(self.spans)))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.spans[n : n + k, 0], self.spans[n : n + k, 1] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.number.update(zip(codes, range(n, n + k), strict=True))
+        self.used += len(ids)
+
+    def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def _learn(self, codes: list[int], texts: list[bytes]) -> None:
+        whole = [t[0] < 33 and SPACE[t[0]] and not SPACE[t[-1]] and (t[-1] < 128 or not _WIDE_SPACE.search(t)) for t in texts] if self.splits else [False] * len(texts)
+        joined = [(c, t) for c, t, w in zip(codes, texts, whole, strict=True) if w]
+        alone = [(c, t) for c, t, w in zip(codes, texts, whole, strict=True) if not w]
+        strings, lo, size = [], 0, 0
+        for i, (_, t) in enumerate(joined):
+            size += len(t)
+            if size > STRING or i + 1 == len(joined):
+                strings.append(joined[lo : i + 1])
+                lo, size = i + 1, 0
+        for group, ids in zip(strings, self._encode([b"".join(t for _, t in g) for g in strings]), strict=True):
+            reach, ends = np.cumsum(self.width[ids]), np.cumsum([len(t) for _, t in group])
+            last = np.searchsorted(reach, ends)
+            if len(ids) and last[-1] == len(ids) - 1 and (reach[last] == ends).all():
+                self._keep([c for c, _ in group], ids, np.diff(last, prepend=-1))
+            else:
+                alone += group
+        for lo in range(0, len(alone), 4096):
+            some = self._encode([t for _, t in alone[lo : lo + 4096]])
+            self._keep([c for c, _ in alone[lo : lo + 4096]], np.concatenate(some), np.array([len(x) for x in some]))
+
+    def rows(self, texts) -> Iterator[bytes]:
+        """Ids of each text of an Arrow column, as bytes; null is empty."""
+        buf, at = column(texts)
+        for lo, hi in row_blocks(at, BLOCK):
+            yield from self._block(buf[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+
+    def _block(self, buf: np.ndarray, at: np.ndarray) -> list[bytes]:
+        if not len(buf):
+            return [b""] * (len(at) - 1)
+        start, end = pieces(buf, at, self.added) if self.splits else (np.unique(at[:-1][at[:-1] < at[1:]]), np.unique(at[1:][at[:-1] < at[1:]]))
+        codes, first, where = np.unique(span_codes(buf, start, end), return_index=True, return_inverse=True)
+        if len(self.number) > KEEP:
+            self._forget()
+        known = codes.tolist()
+        new = [i for i, c in enumerate(known) if c not in self.number]
+        if new:
+            raw = buf.tobytes()
+            self._learn([known[i] for i in new], [raw[start[first[i]] : end[first[i]]] for i in new])
+        place, count = self.spans[np.array([self.number[c] for c in known])][where].T
+        reach = np.concatenate(([0], np.cumsum(count)))
+        ids = self.ids[np.repeat(place - reach[:-1], count) + np.arange(reach[-1])].astype("<u4").tobytes()
+        cut = (4 * reach[np.searchsorted(start, at)]).tolist()
+        return [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 @lru_cache(1)
