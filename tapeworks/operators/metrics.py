@@ -73,8 +73,7 @@ def drawdown_parts(trades: DataFrame, keys: list[str], order: list[str], chunk:
     )
 
 
-def _merge_drawdown(parts: DataFrame, keys: list[str], from_zero: bool) -> DataFrame:
-    names = sorted(c for c in parts.columns if c.startswith("_c"))
+def _merge_drawdown(parts: DataFrame, keys: list[str], names: list[str], from_zero: bool) -> DataFrame:
     before = (
         Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -90,13 +89,34 @@ def _merge_drawdown(parts: DataFrame, keys: list[str], from_zero: bool) -> DataF
     return df.withColumn("_best", best).withColumn("_top", F.col("_base") + F.col("top"))
 
 
+def fold_level(parts: DataFrame, keys: list[str], inner: str) -> DataFrame:
+    """Summaries of the chunks that share ``keys``, merged in the order of ``inner``: the result
+    has the same columns but that one and merges on in the same way."""
+    df = _merge_drawdown(parts, keys, [inner], from_zero=False)
+    n, mean = F.col("n"), F.col("mean")
+    at = F.col(inner)
+    ends = [f(c, at).alias(c) for f, c in ((F.min_by, "first_value"), (F.max_by, "last_value")) if c in parts.columns]
+    out = df.groupBy(*keys).agg(
+        *ends, F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("wins").alias("wins"),
+        F.sum("gains").alias("gains"), F.sum("losses").alias("losses"),
+        F.sum(n * F.col("var") + n * mean * mean).alias("_m2"), F.max("_top").alias("top"),
+        F.min(F.col("_base") + F.col("bottom")).alias("bottom"), F.max("_best").alias("_worst"))
+    out = out.withColumn("mean", F.col("total") / F.col("n")).withColumn(
+        "var", F.greatest(F.col("_m2") / F.col("n") - F.col("mean") * F.col("mean"), F.lit(0.0)))
+    return out.withColumns({"dd": F.col("_worst.dd"), "dd_peak": F.col("_worst.peak")}).drop("_m2", "_worst")
+
+
 def summarize(parts: DataFrame, keys: list[str], *, from_zero: bool = False) -> DataFrame:
-    """Run-level statistics from chunk summaries.
+    """Run-level statistics from chunk summaries, merged level by level: chunks of several columns
+    are first merged within all but the last of them, so one window never holds all chunks.
 
     Gives trade_count, wins, total, mean, var_samp, var_pop, gains, losses, max_dd, dd_peak
     (the peak before the deepest drawdown) and top (the final running peak).
     """
-    df = _merge_drawdown(parts, keys, from_zero)
+    names = sorted(c for c in parts.columns if c.startswith("_c"))
+    while len(names) > 1:
+        parts = fold_level(parts, [*keys, *names[:-1]], names.pop())
+    df = _merge_drawdown(parts, keys, names, from_zero)
     n, mean = F.col("n"), F.col("mean")
     out = df.groupBy(*keys).agg(
         F.sum("n").alias("trade_count"), F.sum("wins").alias("wins"),

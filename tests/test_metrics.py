@@ -69,3 +69,22 @@ def test_undefined_figures(spark):
     assert b["sharpe_ratio"] == 0.0 and b["max_drawdown_abs"] == 0.0
     assert metrics.strategy_metrics(parts, ["run"]).first()["profit_factor"] == math.inf
     assert df.agg(metrics.profit_factor(F.col("pnl"))).first()[0] == math.inf
+
+
+def test_three_levels_of_chunks_agree_with_one(spark):
+    import random
+
+    rng = random.Random(7)
+    rows = [("a" if i % 3 else "b", i, round(rng.gauss(0, 5), 3)) for i in range(700)]
+    df = spark.createDataFrame(rows, "run STRING, i BIGINT, pnl DOUBLE")
+    i = F.col("i")
+    cuts = ([F.lit(0)], [F.floor(i / 200), F.floor(i / 20), F.floor(i / 3)], [F.floor(i / 90), F.floor(i / 7)])
+    for zero in (False, True):
+        got = []
+        for cut in cuts:
+            m = metrics.summarize(metrics.drawdown_parts(df, ["run"], ["i"], cut), ["run"], from_zero=zero)
+            got.append({r["run"]: r.asDict() for r in m.collect()})
+        for run in ("a", "b"):
+            for other in got[1:]:
+                for k, v in got[0][run].items():
+                    assert k == "run" or abs(other[run][k] - v) < 1e-6, k
