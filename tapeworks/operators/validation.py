@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.operators.series import Series
@@ -133,7 +133,6 @@ def bootstrap_paths(series: Series, plan: DataFrame, value: str) -> DataFrame:
     Distinct (start, length) pairs number at most 2n, so n*sqrt(n) rows are touched instead of
     n*n_resamples; resamples then merge about sqrt(n) summaries each.
     """
-    from pyspark.sql import Window
 
     from tapeworks.operators.metrics import summarize
 
@@ -159,11 +158,25 @@ def bootstrap_paths(series: Series, plan: DataFrame, value: str) -> DataFrame:
     return out.select(*keys, "resample", F.col("mean").alias("mean_pnl"), F.col("max_dd").alias("max_drawdown"))
 
 
-def shuffle_means(series: Series, value: str, *, n_shuffles: int, seed: int = 0) -> DataFrame:
-    """Mean of per-shuffle means. A permutation keeps the sum, so each shuffle's mean is the
-    plain mean; the shuffles differ only in summation order and need not be materialised."""
-    return series.df.groupBy(*series.keys).agg(F.avg(value).alias("shuffle_mean")).withColumn(
-        "n_shuffles", F.lit(n_shuffles))
+def label_shuffles(series: Series, value: str, label: str, *, n_shuffles: int, seed: int = 0) -> DataFrame:
+    """Mean of label times value with the labels dealt anew: (keys, shuffle, null_mean, observed, rank).
+
+    In each shuffle the rows are ordered by a hash and row j gets the label of position j, a
+    permutation that SQL can repeat. ``rank`` is the share of shuffles strictly below the
+    observed mean. Costs n * shuffles rows and windows of one series each, so series are per
+    day or coarser.
+    """
+    keys = list(series.keys)
+    rows = series.settle().df.select(*keys, "k", F.col(value).alias("_v"), F.col(label).alias("_l"))
+    dealt = rows.withColumn("shuffle", F.explode(F.sequence(F.lit(0), F.lit(n_shuffles - 1))))
+    draw = hash_draw(F.lit(str(seed)), F.col("shuffle").cast("string"), F.col("k").cast("string"))
+    w = Window.partitionBy(*keys, "shuffle").orderBy(draw, "k")
+    placed = dealt.withColumn("_j", F.row_number().over(w).cast("bigint") - 1)
+    labels = rows.select(*keys, F.col("k").alias("_j"), F.col("_l").alias("_new"))
+    null = placed.join(labels, [*keys, "_j"]).groupBy(*keys, "shuffle").agg(F.avg(F.col("_new") * F.col("_v")).alias("null_mean"))
+    seen = rows.groupBy(*keys).agg(F.avg(F.col("_l") * F.col("_v")).alias("observed"))
+    rank = percentile_rank(null, seen, keys, "null_mean").drop("observed")
+    return null.join(seen, keys).join(rank, keys)
 
 
 def percentile_rank(dist: DataFrame, observed: DataFrame, keys: list[str], value: str,
@@ -180,8 +193,6 @@ def index_quantile(dist: DataFrame, keys: list[str], value: str, q: float = 0.95
 
     Equal values are counted first, so the ordered window sees distinct values only.
     """
-    from pyspark.sql import Window
-
     counts = dist.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_m"))
     w = Window.partitionBy(*keys)
     upto = F.sum("_m").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))

@@ -262,11 +262,18 @@ def mc_drawdown_p95(spark, sf_dir):
     return val.index_quantile(dd, ["run"], "dd").withColumnRenamed("quantile", "mc_p95_drawdown_pct")
 
 
-@query("label_shuffle", "WITH " + DAILY_SQL + """
-SELECT run, round(avg(pnl), 4) AS shuffle_mean, 20 AS n_shuffles FROM ds GROUP BY run""", digits=4)
+@query("label_shuffle", "WITH " + DAILY_SQL + """,
+lb AS (SELECT run, k, pnl, CASE WHEN day(day) % 2 = 1 THEN 1 ELSE -1 END AS label FROM ds),
+dl AS (SELECT lb.*, s, row_number() OVER (PARTITION BY run, s ORDER BY ('0x' || substr(md5('7|' || s || '|' || k), 1, 8))::UBIGINT, k) - 1 AS j
+  FROM lb, (SELECT unnest(generate_series(0, 19)) AS s)),
+nl AS (SELECT dl.run, s, avg(n.label * dl.pnl) AS m FROM dl JOIN lb n ON n.run = dl.run AND n.k = dl.j GROUP BY 1, 2),
+ob AS (SELECT run, avg(label * pnl) AS o FROM lb GROUP BY 1)
+SELECT nl.run, s::INTEGER AS shuffle, round(m, 4) AS null_mean, round(o, 4) AS observed, round(avg((m < o)::INT) OVER (PARTITION BY nl.run), 4) AS rank FROM nl JOIN ob USING (run)""", digits=4)
 def label_shuffle(spark, sf_dir):
+    """Daily pnl taken long or short by label, against twenty permutations of the labels."""
     s = index_series(daily(spark, sf_dir), ("run",), order="day")
-    return val.shuffle_means(s, "pnl", n_shuffles=20)
+    s = s.with_columns({"label": F.when(F.dayofmonth("day") % 2 == 1, 1).otherwise(-1)})
+    return val.label_shuffles(s, "pnl", "label", n_shuffles=20, seed=7)
 
 
 @query("lookahead_check", """
