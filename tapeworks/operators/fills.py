@@ -281,12 +281,12 @@ def _priced(t: DataFrame, keys: list[str], pip_size: float) -> DataFrame:
 
 
 def scanner_trades(decisions: DataFrame, fine: DataFrame, keys: list[str], *, pip_size: float,
-                   max_hold: int = 96, chunk_days: int | None = None) -> DataFrame:
+                   max_hold: int = 96, chunk_days: int = 365) -> DataFrame:
     """Coarse-bar decisions with barriers watched on fine bars.
 
     Decisions: ts, close, side, sl, tp, exit_long, exit_short (opposite coarse signal). Fine
     bars: ts, high, low. At one instant fine bars come first; on a decision row the order is
-    expiry, reversal, entry. ``chunk_days`` splits long series by time.
+    expiry, reversal, entry. Series are split into pieces of ``chunk_days``.
     """
     none = F.lit(None).cast("double")
     d = decisions.select(
@@ -298,7 +298,7 @@ def scanner_trades(decisions: DataFrame, fine: DataFrame, keys: list[str], *, pi
         none.alias("tp"), "high", "low", F.lit(False).alias("exit_long"),
         F.lit(False).alias("exit_short"), F.lit(1).alias("counts"), F.lit(False).alias("decides"),
         none.alias("close"))
-    chunk = None if chunk_days is None else F.unix_micros("ts") / (chunk_days * 86_400_000_000)
+    chunk = F.unix_micros("ts") / (chunk_days * 86_400_000_000)
     t = select_trades(d.unionByName(f), keys, ["ts", "_o"], ["ts", "close"], max_hold=max_hold,
                       reenter=True, chunk=chunk)
     return _priced(t, keys, pip_size)

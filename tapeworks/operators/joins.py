@@ -6,23 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.operators.series import index_series
+from tapeworks.storage import materialize
 
 
 def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], *, values: list[str],
                   prefix: str, on_close_seconds: int = 0,
-                  bucket_seconds: int | None = 30 * 86_400) -> DataFrame:
+                  bucket_seconds: int = 30 * 86_400) -> DataFrame:
     """Latest right row with ts (+ ``on_close_seconds``) <= the left row's ts, per key."""
     return asof_many(left, [(right, prefix, values, on_close_seconds)], keys,
                      bucket_seconds=bucket_seconds)
 
 
 def asof_many(left: DataFrame, rights: list[tuple[DataFrame, str, list[str], int]],
-              keys: list[str], *, bucket_seconds: int | None = 30 * 86_400) -> DataFrame:
+              keys: list[str], *, bucket_seconds: int = 30 * 86_400) -> DataFrame:
     """As-of match of one left side against several right sides in one union and one window.
 
     Each right side is (frame with ts, output prefix, value columns, seconds after ts at which
-    a row becomes visible). With ``bucket_seconds`` the window is split by time so that a long
-    key is not one task: the last right row of every bucket is one summary row, and a running
+    a row becomes visible). The window is split by time so that a long key is not one task: the last right row of every bucket is one summary row, and a running
     last over those summaries answers left rows that precede their bucket's first right row.
     """
     lcols = [c for c in left.columns if c not in keys]
@@ -41,25 +41,22 @@ def asof_many(left: DataFrame, rights: list[tuple[DataFrame, str, list[str], int
             *keys, (F.unix_micros("ts") + wait * 1_000_000).alias("_t"), F.lit(0).alias("_side"),
             F.lit(None).cast(ltype).alias("_l"),
             *[F.struct("ts", *v).alias(n) if n == name else empty(n) for n in typed]))
-    part = list(keys)
-    if bucket_seconds is not None:
-        part.append("_b")
-        both = both.withColumn("_b", F.floor(F.col("_t") / (bucket_seconds * 1_000_000)))
+    part = [*keys, "_b"]
+    both = materialize(both.withColumn("_b", F.floor(F.col("_t") / (bucket_seconds * 1_000_000))))
     run = (
         Window.partitionBy(*part).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     )
     out = both.withColumns(
         {n: F.last(n, ignorenulls=True).over(run) for n in typed}).where("_side = 1")
-    if bucket_seconds is not None:
-        before = (
-            Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        )
-        at = {n: F.when(F.col(n).isNotNull(), F.col("_t")) for n in typed}
-        carry = both.groupBy(*part).agg(
-            *[F.max_by(n, at[n]).alias(n) for n in typed]
-        ).select(*part, *[F.last(n, ignorenulls=True).over(before).alias(f"_c{n}") for n in typed])
-        out = out.join(carry, part, "left").withColumns(
-            {n: F.coalesce(n, f"_c{n}") for n in typed})
+    before = (
+        Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    at = {n: F.when(F.col(n).isNotNull(), F.col("_t")) for n in typed}
+    carry = both.groupBy(*part).agg(
+        *[F.max_by(n, at[n]).alias(n) for n in typed]
+    ).select(*part, *[F.last(n, ignorenulls=True).over(before).alias(f"_c{n}") for n in typed])
+    out = out.join(carry, part, "left").withColumns(
+        {n: F.coalesce(n, f"_c{n}") for n in typed})
     picked = []
     for name, _, prefix, v, _ in pays:
         picked += [F.col(f"{name}.{c}").alias(f"{prefix}{c}") for c in ("ts", *v)]

@@ -30,12 +30,11 @@ def confluence_scan(h4: Series, h1: Series, m15: Series, decisions: DataFrame, *
         "symbol", "ts", "k", "close", "signal", "sl", "tp")
     fast = rules.ema_cross(m15, **(m15_params or {})).df.select("symbol", "ts", "k", "signal")
     shift = (14_400, 3_600, 900) if on_close else (0, 0, 0)
-    longest = any(s.chunked for s in (h4, h1, m15))
     joined = asof_many(decisions, [
         (four, "h4_", ["k", "close", "signal", "sl", "tp", "trend"], shift[0]),
         (one, "h1_", ["k", "close", "signal", "sl", "tp"], shift[1]),
         (fast, "m15_", ["k", "signal"], shift[2]),
-    ], key, bucket_seconds=30 * 86_400 if longest else None)
+    ], key)
     enough = (F.col("h4_k") >= 1) & (F.col("h1_k") >= 1) & (F.col("m15_k") >= 1)
     enough = F.coalesce(enough, F.lit(False))
 

@@ -95,7 +95,7 @@ def test_triple_barrier_stop_first(spark):
     assert r == {(0, "LONG"): ("SL", -20.0), (0, "SHORT"): ("SL", -20.0), (16, "LONG"): ("TP", 20.0), (15, "LONG"): ("OPEN", 0.0), (5, "LONG"): ("OPEN", 0.0)}
 
 
-@pytest.mark.parametrize("bucket", [None, 7200])
+@pytest.mark.parametrize("bucket", [30 * 86_400, 7200])
 def test_asof_carries_over_empty_buckets(spark, bucket):
     left = spark.createDataFrame([("X", T0 + dt.timedelta(minutes=37 * i)) for i in range(60)] + [("Y", T0)], "symbol STRING, ts TIMESTAMP")
     right = spark.createDataFrame([("X", T0 + dt.timedelta(hours=h), float(h)) for h in (1, 2, 17, 18)], "symbol STRING, ts TIMESTAMP, v DOUBLE")
