@@ -2,8 +2,7 @@
 
 Every execution style shares one selection: enter at a candidate row while flat, leave at the
 first later row that stops, reaches its target, expires or is told to leave, and only then
-look for the next candidate. Which candidates trade depends on earlier choices. Short series
-stream in order, each through one task whose state is one open position. Long series are cut
+look for the next candidate. Which candidates trade depends on earlier choices. Series are cut
 into chunks that run in parallel as if they began flat; chunks whose predecessor turns out to
 hand over an open position run again with it, until no hand-over changes. The first wrong
 chunk is right after each round, so this ends, usually after two or three rounds because
@@ -12,8 +11,6 @@ positions close. Fills are columns that windows attached beforehand.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -90,14 +87,13 @@ class _Walk:
 
 
 def select_trades(rows: DataFrame, keys: list[str], order: list[str], payload: list[str], *,
-                  max_hold: int | None = None, reenter: bool = False,
-                  chunk: Column | None = None) -> DataFrame:
+                  chunk: Column, max_hold: int | None = None, reenter: bool = False) -> DataFrame:
     """Non-overlapping trades of each series.
 
     Rows need side (+1/-1/0), sl, tp, high, low, exit_long, exit_short and optionally counts
     (bars that age a position) and decides (rows on which expiry is checked). Gives direction,
     sl, tp, exit_kind, held and entry_*/exit_* for every payload column. ``chunk``, monotone in
-    ``order``, splits long series.
+    ``order``, cuts series into pieces that are walked in parallel, whatever their length.
     """
     df = rows
     for name, value in (("counts", F.lit(1)), ("decides", F.lit(True))):
@@ -105,8 +101,7 @@ def select_trades(rows: DataFrame, keys: list[str], order: list[str], payload: l
             df = df.withColumn(name, value)
     use = ["side", "sl", "tp", "high", "low", "exit_long", "exit_short", "counts", "decides"]
     inner = [f"_p_{c}" for c in payload]
-    cut = [] if chunk is None else [F.floor(chunk).cast("bigint").alias("_chunk")]
-    df = df.select(*keys, *cut, *order, *use, *[F.col(c).alias(i) for c, i in zip(payload, inner)])
+    df = df.select(*keys, F.floor(chunk).cast("bigint").alias("_chunk"), *order, *use, *[F.col(c).alias(i) for c, i in zip(payload, inner)])
     fields = {f.name: f.dataType for f in rows.schema.fields}
     key_fields = [StructField(k, fields[k]) for k in keys]
     trade_fields = (
@@ -114,10 +109,6 @@ def select_trades(rows: DataFrame, keys: list[str], order: list[str], payload: l
         + [StructField(f"{s}_{c}", fields[c]) for s in ("entry", "exit") for c in payload]
     )
     walk = _Feeder(inner, max_hold, reenter)
-    if chunk is None:
-        schema = StructType(key_fields + trade_fields)
-        ordered = df.repartition(*keys).sortWithinPartitions(*keys, *order)
-        return ordered.mapInPandas(walk.stream(keys, schema.names), schema)
     state = [StructField(n, t) for n, t in zip(
         ["side", "sl", "tp", "held", *inner],
         [IntegerType(), DoubleType(), DoubleType(), LongType(), *[fields[c] for c in payload]])]
@@ -125,7 +116,7 @@ def select_trades(rows: DataFrame, keys: list[str], order: list[str], payload: l
 
 
 class _Feeder:
-    """Pandas bodies of the walk: streaming over whole series, or one chunk from a state."""
+    """Pandas body of the walk over one chunk, from a state."""
 
     def __init__(self, inner: list[str], max_hold: int | None, reenter: bool) -> None:
         self.inner, self.max_hold, self.reenter = inner, max_hold, reenter
@@ -142,23 +133,6 @@ class _Feeder:
         walk.feed(arrays, found)
         return [("LONG" if t[0] > 0 else "SHORT", *t[1:]) for t in found]
 
-    def stream(self, keys: list[str], names: list[str]):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            current, walk = None, None
-            for pdf in batches:
-                ids = list(zip(*[pdf[k] for k in keys]))
-                cuts = [0] + [i for i in range(1, len(ids)) if ids[i] != ids[i - 1]] + [len(ids)]
-                done: list[tuple] = []
-                for a, e in zip(cuts, cuts[1:]):
-                    if a == e:
-                        continue
-                    if ids[a] != current:
-                        current, walk = ids[a], self.new()
-                    done += [(*current, *t) for t in self.feed(walk, pdf.iloc[a:e])]
-                yield pd.DataFrame(done, columns=names)
-
-        return run
-
     def chunk(self, order: list[str], trade_names: list[str]):
         """(key, rows, incoming state) -> trades, plus one row with the states in and out."""
         n_trade, n_state = len(trade_names), 4 + len(self.inner)
@@ -221,8 +195,8 @@ def _never() -> Column:
     return F.lit(False)
 
 
-def _cut(s: Series) -> Column | None:
-    return F.col("k") / s.rows_per_chunk if s.chunked else None
+def _cut(s: Series) -> Column:
+    return F.col("k") / s.rows_per_chunk
 
 
 def engine_trades(series: Series, *, terms: CostTerms, pip_size: float, lots: float = 1.0,

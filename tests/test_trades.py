@@ -46,7 +46,7 @@ def loop(rows, max_hold=None):
     return out
 
 
-@pytest.mark.parametrize("max_hold,chunk", [(None, None), (3, None), (None, 130), (3, 40)])
+@pytest.mark.parametrize("max_hold,chunk", [(None, 10**6), (3, 10**6), (None, 130), (3, 40), (None, 7)])
 def test_selection_equals_bar_loop_across_batches(spark, max_hold, chunk):
     data = {s: candidate_rows(1700, i, s) for i, s in enumerate("AB")}
     names = ["symbol", "timeframe", "ts", "open", "high", "low", "close", "side", "sl", "tp", "exit_long", "exit_short"]
@@ -55,7 +55,7 @@ def test_selection_equals_bar_loop_across_batches(spark, max_hold, chunk):
     pdf = pd.concat([pd.DataFrame(v, columns=names).assign(k=range(len(v))) for v in data.values()])
     df = spark.createDataFrame(pdf).withColumn("k", F.col("k").cast("bigint")).repartition(6)
     t = fills.select_trades(df, ["symbol"], ["k"], ["k", "ts"], max_hold=max_hold,
-                            chunk=None if chunk is None else F.col("k") / chunk)
+                            chunk=F.col("k") / chunk)
     for s, rows in data.items():
         got = [tuple(r) for r in t.where(F.col("symbol") == s).orderBy("entry_k").select("entry_k", "exit_k", "exit_kind").collect()]
         assert got == loop(rows, max_hold) and len(got) > 50
