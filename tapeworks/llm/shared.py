@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,6 +20,7 @@ def folder(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {CONF} to a folder that every executor can reach")
         root = tempfile.mkdtemp(prefix="llm-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set(CONF, root)
     return f"{root.rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
 

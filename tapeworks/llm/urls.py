@@ -90,7 +90,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, edges: DataFra
     groups = components(links, "src", "dst").withColumnRenamed("node", "vertex")
     ruled = own_rules(parse(groups, "vertex"), rules)
     carried = ruled.groupBy("component").agg(F.max((F.col("own") == "allow").cast("int")).alias("allowed"), F.max((F.col("own") == "block").cast("int")).alias("blocked"))
-    carried = carried.withColumn("carried", F.when((F.coalesce("allowed", F.lit(0)) == 0) & (F.col("blocked") == 1), "block").otherwise("allow"))
+    carried = carried.select("component", F.when((F.coalesce("allowed", F.lit(0)) == 0) & (F.col("blocked") == 1), "block").otherwise("allow").alias("carried"))
+    known = groups.join(carried, "component")  # a vertex is one row, so pages without aliases don't meet on a missing component
     own = own_rules(parse(pages.select("page_id", "url")), rules).withColumn("vertex", node(F.col("url")))
-    out = own.join(groups, "vertex", "left").join(carried.select("component", "carried"), "component", "left")
+    out = own.join(known, "vertex", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("own", "carried", F.lit("allow")).alias("verdict"), "component")
