@@ -6,6 +6,8 @@ pruning and gives Catalyst real file sizes for its join choices.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,13 +18,14 @@ _CONF = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables; a local temp folder only for local masters."""
+    """Folder for intermediate tables; for local masters without one a temporary folder that goes at exit."""
     path = spark.conf.get(_CONF, None)
     if path:
         return path
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {_CONF} to a folder that every executor can reach")
     path = tempfile.mkdtemp(prefix="tapeworks-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
     spark.conf.set(_CONF, path)
     return path
 
