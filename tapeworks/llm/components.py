@@ -8,26 +8,31 @@ third of all edges is split by Spark's skew join. Every round is written to the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .shared import written
 
 
-def _star(edges: DataFrame, larger: bool) -> DataFrame:
-    """One step on edges (hi, lo), hi > lo; returns the same shape, distinct."""
-    if larger:
-        sides = edges.select(F.col("hi").alias("node"), F.col("lo").alias("other")).union(edges.select(F.col("lo").alias("node"), F.col("hi").alias("other")))
-    else:
-        sides = edges.select(F.col("hi").alias("node"), F.col("lo").alias("other"))
-    least = sides.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("m"))
-    if larger:
-        moved = edges.select(F.col("lo").alias("node"), F.col("hi").alias("other")).join(least, "node")
-        out = moved.select(F.col("other").alias("hi"), F.col("m").alias("lo"))
-    else:
-        moved = sides.join(least, "node")
-        out = moved.select(F.col("other").alias("hi"), F.col("m").alias("lo")).union(least.select(F.col("node").alias("hi"), F.col("m").alias("lo")))
-    return out.where("hi > lo").distinct()
+def _larger(edges: DataFrame) -> DataFrame:
+    """Edges (hi, lo), hi > lo: every node's larger neighbours are linked to the smallest of all; edges may repeat."""
+    ends = edges.select(F.col("hi").alias("node"), F.col("lo").alias("other")).union(edges.select(F.col("lo").alias("node"), F.col("hi").alias("other")))
+    least = ends.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("m"))
+    return edges.withColumnRenamed("lo", "node").join(least, "node").select("hi", F.col("m").alias("lo"))
+
+
+def _smaller(edges: DataFrame) -> DataFrame:
+    """Every node and its smaller neighbours are linked to the smallest of them; edges are distinct."""
+    least = edges.groupBy("hi").agg(F.min("lo").alias("m"))
+    moved = edges.join(least, "hi").where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+    return moved.union(least.select("hi", F.col("m").alias("lo"))).distinct()
+
+
+def _round(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """`edges`, written, and figures that differ if the edges do."""
+    seen, h = Observation(), F.xxhash64("hi", "lo")
+    table = written(edges.observe(seen, F.count("*").alias("n"), F.sum(F.shiftright(h, 24)).alias("sum"), F.bit_xor(h).alias("xor")), "edges")
+    return table, tuple(seen.get.values())
 
 
 def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
@@ -35,23 +40,15 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
 
     Null ends and loops are ignored, repeated edges count once, any ordered type will do.
     """
-    now = written(
+    now, known = _round(
         edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-        .select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct(), "edges")
-    known = _state(now)
+        .select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct())
     for _ in range(max_rounds):
-        now = written(_star(_star(now, True), False), "edges")
-        found = _state(now)
+        now, found = _round(_smaller(_larger(now)))
         if found == known:
             break
         known = found
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    lows = now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
-    return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(lows)
-
-
-def _state(edges: DataFrame) -> tuple:
-    """Equal before and after a round only if the edges are."""
-    h = F.xxhash64("hi", "lo")
-    return tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.shiftright(h, 24)), F.lit(0)), F.coalesce(F.bit_xor(h), F.lit(0))).first())
+    roots = now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
+    return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(roots)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import written
-from .text import U64, Words, column, mix, rolling, row_blocks
+from .text import U64, Words, column, distinct, mix, rolling, row_blocks
 
 SHINGLE, BINS, ROWS = 5, 250, 5
 #: Sets compared at once, and 64-bit shingles that may meet in one comparison (about 60 MB).
@@ -44,7 +44,7 @@ def shingle_sets(texts, k: int = SHINGLE) -> Iterator[np.ndarray]:
         hashes = rolling(words.code, k)
         for a, n in zip(words.first[:-1].tolist(), words.count.tolist(), strict=True):
             if n >= k:
-                yield np.unique(hashes[a : a + n - k + 1])
+                yield distinct(hashes[a : a + n - k + 1])
             elif n:
                 yield mix(np.array([int(mix(words.code[a : a + n] + np.arange(n, dtype=U64)).sum(dtype=U64)) ^ n], U64))
             else:
@@ -144,15 +144,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75, block_sets: int = BLOCK_
     same = ["n_shingles", "s1", "s2"]
     linked = sketch.where("n_shingles > 0 and doc_id is not null")
     nodes = written(linked.groupBy(*same).agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands")), "nodes")
-    rows = written(sketch.select("doc_id", *same).join(nodes.drop("bands"), same, "left"), "rows")
-
     entries = nodes.select("node", F.explode("bands").alias("key"))
     hubs = entries.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub")
     stars = entries.join(hubs, "key").where("node > hub").select("node", "hub").distinct()
     rough = components(stars, "node", "hub")
 
     links = _true_links(docs, rough, nodes, percent, block_sets, block_shingles)
-    return _answer(rows, components(links.union(_shared_ids(rows)), "a", "b"))
+    found = components(links.union(_shared_ids(linked, nodes, same)), "a", "b")
+    owners = nodes.join(found, "node", "left").select(*same, F.coalesce("component", "node").alias("component"))
+    component = F.coalesce("component", "doc_id")
+    rows = sketch.drop("bands").join(owners, same, "left")  # a set's copies are one row in `owners`
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def _true_links(docs: DataFrame, rough: DataFrame, nodes: DataFrame, percent: int, block_sets: int, block_shingles: int) -> DataFrame:
@@ -174,15 +176,12 @@ def _true_links(docs: DataFrame, rough: DataFrame, nodes: DataFrame, percent: in
     return met.groupBy("candidate", "lo", "hi").applyInArrow(compare, "a long, b long")
 
 
-def _shared_ids(rows: DataFrame) -> DataFrame:
-    """Links between the nodes of rows that share a doc_id."""
-    ends = rows.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
-    return rows.join(ends.drop("z"), "doc_id").select("a", F.col("node").alias("b"))
-
-
-def _answer(rows: DataFrame, found: DataFrame) -> DataFrame:
-    component = F.coalesce("component", "node", "doc_id")
-    return rows.join(found, "node", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+def _shared_ids(linked: DataFrame, nodes: DataFrame, same: list[str]) -> DataFrame:
+    """Links between the nodes of rows that share a doc_id but not the set."""
+    sets = F.struct(*same)
+    several = linked.groupBy("doc_id").agg(F.min(sets).alias("x"), F.max(sets).alias("z")).where("x != z").select("doc_id")
+    pairs = linked.join(several, "doc_id").select("doc_id", *same).distinct().join(nodes.drop("bands"), same)
+    return pairs.join(pairs.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
