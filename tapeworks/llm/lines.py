@@ -31,16 +31,22 @@ MAP_BITS = 22
 _DOC = ["doc", "row_key"]
 
 
-def masked(line: Column) -> Column:
-    flat = F.trim(F.translate(line, "\t\r\x0b\x0c", "    "))
+_BLANKS = " \t\r\x0b\x0c"
+
+
+def masked(raw: Column) -> Column:
+    """The line with single wildcards for tokens with digits; rare steps run only where they change something."""
+    odd = raw.contains("\t") | raw.contains("\r") | raw.contains("\x0b") | raw.contains("\x0c")
+    flat = F.trim(F.when(odd, F.translate(raw, _BLANKS[1:], "    ")).otherwise(raw))
     return F.when(flat.rlike("[0-9]"), F.regexp_replace(flat, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(flat)
 
 
 def parsed(docs: DataFrame, lead: int) -> DataFrame:
     """doc, row_key, at, line, tokens, leaf, form of every line with a word."""
     rows = docs.where("text is not null").select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("row_key"), F.posexplode(F.split("text", "\n")).alias("at", "raw"))
-    lines = rows.select(*_DOC, "at", masked(F.col("raw")).alias("line")).where("line != ''")
-    tokens = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    rows = rows.where(F.ltrim("raw", F.lit(_BLANKS)) != "")  # on `raw`, so that `line` is computed once
+    lines = rows.select(*_DOC, "at", masked(F.col("raw")).alias("line"))
+    tokens = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
     return lines.withColumn("tokens", tokens).withColumn("leaf", F.xxhash64("tokens", F.substring_index("line", " ", lead))).withColumn("form", F.xxhash64("line"))
 
 
@@ -80,7 +86,8 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, lead: int = LEAD,
     named = _in_map(lines, bitmap).join(known, "form", "left").select(*_DOC, "at", F.coalesce("template", "form").alias("template"))
     named = written(named, "named")
     recurring = named.select("template", *_DOC).distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    return named.join(recurring.select("template"), "template").select(*_DOC, "at")
+    recurring = written(recurring.select("template"), "recurring")  # a table of its own, so that a hot template's lines can be split
+    return named.join(recurring, "template").select(*_DOC, "at")
 
 
 def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, most: float = MOST, report: bool = False, **tree) -> DataFrame:
