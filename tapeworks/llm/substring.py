@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import group_of, parts, text_bytes
-from .text import U64, Words, column, rolling, row_blocks
+from .text import U64, Words, column, distinct, rolling, row_blocks
 
 WINDOW = 35
 #: Bytes of text in a group, and bytes of hashes in a bucket.
@@ -43,7 +43,7 @@ def _hashes(texts, window: int) -> Iterator[tuple[Words, np.ndarray, np.ndarray]
 def _distinct(table: pa.Table, window: int, buckets: int) -> pa.Table:
     """A group's distinct window hashes, one binary for each bucket."""
     found = [h for _, _, h in _hashes(table["text"], window)]
-    h = np.unique(np.concatenate(found)) if found else np.zeros(0, U64)
+    h = distinct(np.concatenate(found)) if found else np.zeros(0, U64)
     cut = np.searchsorted(h, _edges(buckets))
     full = np.flatnonzero(np.diff(cut))
     grp = table["grp"][0].as_py()
@@ -62,7 +62,7 @@ def _repeated(table: pa.Table) -> pa.Table:
     """Of one bucket, each group's hashes that another group has as well."""
     grps, lists = table["grp"].to_pylist(), [np.frombuffer(x.as_buffer(), U64) for x in table["hashes"]]
     h = np.sort(np.concatenate(lists))
-    twice = np.unique(h[1:][h[1:] == h[:-1]])
+    twice = distinct(h[1:][h[1:] == h[:-1]])
     out = []
     for g, own in zip(grps, lists, strict=True):
         if len(twice) and len(both := own[_among(own, twice)]):
@@ -81,7 +81,7 @@ def _intervals(docs: pa.Table, repeats: pa.Table, window: int, with_text: bool)
     known = np.sort(np.concatenate([np.zeros(0, U64), *(np.frombuffer(x.as_buffer(), U64) for x in repeats["hashes"])]))
     blocks = list(_hashes(docs["text"], window)) if docs.num_rows else []
     own = np.sort(np.concatenate([np.zeros(0, U64), *(h for _, _, h in blocks)]))
-    known = np.union1d(known, own[1:][own[1:] == own[:-1]])
+    known = distinct(np.concatenate((known, own[1:][own[1:] == own[:-1]])))
     n_words, n_removed, spans, digests, texts = [], [], [], [], []
     for words, starts, h in blocks:
         edge = np.zeros(len(words.start) + 1, np.int32)
@@ -115,14 +115,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True
     dealt = docs.select("doc_id", "text", group_of(groups, F.col("doc_id"), F.col("text")).alias("grp"))
 
     # Grouped functions live here so that they carry their parameters.
-    def distinct(table: pa.Table) -> pa.Table:
+    def own_hashes(table: pa.Table) -> pa.Table:
         return _distinct(table, window, buckets)
 
     def intervals(left: pa.Table, right: pa.Table) -> pa.Table:
         return _intervals(left, right, window, with_text)
 
     repeats = (
-        dealt.groupBy("grp").applyInArrow(distinct, "grp int, bucket int, hashes binary")
+        dealt.groupBy("grp").applyInArrow(own_hashes, "grp int, bucket int, hashes binary")
         .groupBy("bucket").applyInArrow(_repeated, "grp int, hashes binary")
     )
     return dealt.groupBy("grp").cogroup(repeats.groupBy("grp")).applyInArrow(
