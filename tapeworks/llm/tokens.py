@@ -20,7 +20,7 @@ import numpy as np
 from .text import SPACE, Words, column, row_blocks, span_codes
 
 #: Pieces that a worker keeps, bytes of text handled at once, and bytes of a string for the library.
-KEEP, BLOCK, STRING = 1_000_000, 1 << 21, 1 << 15
+KEEP, BLOCK, STRING = 250_000, 1 << 21, 1 << 15
 
 
 def default_path() -> str:
