@@ -71,10 +71,22 @@ class Encoder:
             file = json.load(f)
         self.added = [t["content"].encode() for t in file.get("added_tokens", [])]
         self.splits = file.get("pre_tokenizer") == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-        self._forget()
-
-    def _forget(self) -> None:
+        self.number = {}
+        self._forget([])
+
+    def _forget(self, needed: list[int]) -> None:
+        """Drop all pieces but the known ones among `needed`, which are the common ones."""
+        kept = [c for c in needed if c in self.number]
+        if kept:
+            place, count = self.spans[np.array([self.number[c] for c in kept])].T
+            ids = self._gather(place, count)
         self.number, self.ids, self.spans, self.used = {}, np.zeros(1 << 16, np.uint32), np.zeros((1 << 16, 2), np.int64), 0
+        if kept:
+            self._keep(kept, ids, count)
+
+    def _gather(self, place: np.ndarray, count: np.ndarray) -> np.ndarray:
+        ends = np.cumsum(count)
+        return self.ids[np.repeat(place - (ends - count), count) + np.arange(ends[-1])]
 
     def _keep(self, codes: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
         while self.used + len(ids) > len(self.ids):
@@ -122,16 +134,16 @@ class Encoder:
             return [b""] * (len(at) - 1)
         start, end = pieces(buf, at, self.added) if self.splits else (np.unique(at[:-1][at[:-1] < at[1:]]), np.unique(at[1:][at[:-1] < at[1:]]))
         codes, first, where = np.unique(span_codes(buf, start, end), return_index=True, return_inverse=True)
-        if len(self.number) > KEEP:
-            self._forget()
         known = codes.tolist()
+        if len(self.number) > KEEP:
+            self._forget(known)
         new = [i for i, c in enumerate(known) if c not in self.number]
         if new:
             raw = buf.tobytes()
             self._learn([known[i] for i in new], [raw[start[first[i]] : end[first[i]]] for i in new])
         place, count = self.spans[np.array([self.number[c] for c in known])][where].T
         reach = np.concatenate(([0], np.cumsum(count)))
-        ids = self.ids[np.repeat(place - reach[:-1], count) + np.arange(reach[-1])].astype("<u4").tobytes()
+        ids = self._gather(place, count).astype("<u4").tobytes()
         cut = (4 * reach[np.searchsorted(start, at)]).tolist()
         return [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
