@@ -18,6 +18,7 @@ def _larger(edges: DataFrame) -> DataFrame:
     """Edges (hi, lo), hi > lo: every node's larger neighbours are linked to the smallest of all; edges may repeat."""
     ends = edges.select(F.col("hi").alias("node"), F.col("lo").alias("other")).union(edges.select(F.col("lo").alias("node"), F.col("hi").alias("other")))
     least = ends.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("m"))
+    least = written(least, "least")  # a table of its own, so that the edges of a hot hub can be split
     return edges.withColumnRenamed("lo", "node").join(least, "node").select("hi", F.col("m").alias("lo"))
 
 
