@@ -1,12 +1,17 @@
 """Benchmark decontamination by template windows.
 
-Words lose their outer punctuation and case; numbers, names (capitals inside a sentence) and units
-(after a number) become typed placeholders. Windows of `window` such tokens of every text are met with
+Words lose their outer punctuation, inner '.' and ',' and case; numbers, names (capitals inside a sentence)
+and units (after a number) become typed placeholders. Windows of such tokens of every text are met with
 those of the benchmark by a hash join. A window's first token is read as if a sentence began there, so
-a template doesn't depend on what stands before it. Windows of one text and item on the same diagonal
-(text place minus item place) must fill equal slots alike: one value of the item, one value of the text;
-otherwise the diagonal doesn't count. A document is contaminated by an item if at least `share` of the
-item's windows are found in it.
+a template doesn't depend on what stands before it. Every window is met without names and units as well,
+only numbers being placeholders, so that a copy in other case or without marks is found. Windows of one text
+and item on the same diagonal (text place minus item place) must fill equal slots alike: one value of the
+item, one value of the text; otherwise the diagonal doesn't count.
+
+A document is contaminated by an item if windows found in it cover at least `share` of the item's tokens, or
+a passage of `run` tokens in a row, counting there only windows with at most half placeholders. Windows have
+`window` tokens, in an item of fewer than window / (1 - share) but at least `window` tokens (1 - share) of
+them: one changed word then leaves at least `share` covered.
 
 The join is made small beforehand by a bit map of the benchmark's hashes, of a fixed size (4 MB) however
 large the benchmark is; what passes it is joined exactly, so the map changes no result.
@@ -29,7 +34,7 @@ from pyspark.sql import functions as F
 from .shared import written
 from .text import U64, Words, column, mix, powers, row_blocks
 
-WINDOW, SHARE, MAP_BITS = 8, 0.6, 25
+WINDOW, SHARE, RUN, MAP_BITS = 8, 0.6, 13, 25
 #: Unit words and spelled numbers.
 UNITS = {w.encode() for w in (
     "km m cm mm mi mile miles ft feet foot inch inches yard yards kg g mg lb lbs oz ounce ounces pound pounds ton tons ton tonne tonnes l ml litre litres liter liters "
@@ -56,7 +61,8 @@ def read_word(word: bytes) -> tuple[bytes, int, bool]:
     if low in UNITS:
         return low, _UNIT, ends
     text = bare.decode(errors="replace")
-    return text.lower().encode(), _CAPITAL if text[0].isupper() and not text[1:].isupper() else _PLAIN, ends
+    name = len(text) > 1 and text[0].isupper() and not text[1:].isupper()
+    return text.lower().replace(".", "").replace(",", "").encode(), _CAPITAL if name else _PLAIN, ends
 
 
 class Templates:
@@ -88,39 +94,50 @@ class Templates:
         self.first = np.searchsorted(self.row, np.arange(len(at)))
         self.count = np.diff(self.first)
 
-    def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of windows of k tokens in one row, and their hashes."""
+    def windows(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of windows of k tokens in one row, their hashes, and their hashes without names and units (equal where there are none)."""
         n = len(self.code)
         if n < k:
-            return np.zeros(0, np.int64), np.zeros(0, U64)
+            return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, U64)
         weight = powers(_BASE, k)
         m = n - k + 1
         h = self.free[:m] * weight[k - 1] + U64(k)
+        bare = h.copy()
         for j in range(1, k):
             h += self.code[j : j + m] * weight[k - 1 - j]
+            bare += self.free[j : j + m] * weight[k - 1 - j]
         start = np.flatnonzero(self.row[:m] == self.row[k - 1 :])
-        return start, mix(h)[start]
+        return start, mix(h[start]), mix(bare[start])
 
-    def slots(self, i: int, k: int) -> list[str]:
+    def slots(self, i: int, k: int, bare: bool) -> list[str]:
+        """Values of a window's placeholders; of its numbers only if `bare`."""
         out = [self.value[self.where[i]].decode(errors="replace")] if self.free_slot[i] else []
-        return out + [self.value[self.where[j]].decode(errors="replace") for j in range(i + 1, i + k) if self.slot[j]]
+        slot = self.free_slot if bare else self.slot
+        return out + [self.value[self.where[j]].decode(errors="replace") for j in range(i + 1, i + k) if slot[j]]
+
+
+def window_of(n: int, window: int, share: float) -> int:
+    """Tokens in a window of an item of n tokens."""
+    return n if n < window else min(window, max(2, int((1 - share) * n + 1e-9)))
 
 
-def _item_windows(window: int):
+def _item_windows(window: int, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, at = column(b["text"])
             t = Templates(buf, at)
-            ids, rows = b["item_id"].to_pylist(), []
+            ids, rows, made = b["item_id"].to_pylist(), [], {}
             for r, n in enumerate(t.count.tolist()):
-                k, a = min(window, n), int(t.first[r])
+                k, a = window_of(n, window, share), int(t.first[r])
                 if k:
-                    start, h = t.windows(k)
-                    mine = np.flatnonzero(t.row[start] == r) if len(start) else []
-                    rows += [(ids[r], k, int(start[x]) - a, n - k + 1, int(h[x].view(np.int64)), t.slots(int(start[x]), k)) for x in mine]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True) if rows else [[]] * 6, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())), strict=True)
-            ], ["item_id", "k", "item_at", "of", "hash", "item_slots"])
+                    start, h, bare = made[k] = made.get(k) or t.windows(k)
+                    for x in range(*np.searchsorted(start, [a, a + n]).tolist()):
+                        i = int(start[x])
+                        for own, is_bare in ((h, False), (bare, True)) if h[x] != bare[x] else ((h, False),):
+                            slots = t.slots(i, k, is_bare)
+                            rows.append((ids[r], k, i - a, n, int(own[x].view(np.int64)), slots, 2 * len(slots) <= k))
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], ["item_id", "k", "item_at", "of", "hash", "item_slots", "wordy"])
 
     return run
 
@@ -135,12 +152,14 @@ def _text_windows(lengths: list[int], bits: np.ndarray):
             for lo, hi in row_blocks(at, 1 << 21):
                 t = Templates(buf[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
                 for k in lengths:
-                    start, h = t.windows(k)
-                    place = (h >> top).astype(np.int64)
-                    for x in np.flatnonzero((bits[place >> 6] >> (place & 63).astype(U64)) & U64(1)).tolist():
-                        i = int(start[x])
-                        r = int(t.row[i])
-                        rows.append((lo + r, i - int(t.first[r]), int(h[x].view(np.int64)), t.slots(i, k)))
+                    start, h, bare = t.windows(k)
+                    for own, is_bare, among in ((h, False, None), (bare, True, np.flatnonzero(bare != h))):
+                        own, begin = (own, start) if among is None else (own[among], start[among])
+                        place = (own >> top).astype(np.int64)
+                        for x in np.flatnonzero((bits[place >> 6] >> (place & 63).astype(U64)) & U64(1)).tolist():
+                            i = int(begin[x])
+                            r = int(t.row[i])
+                            rows.append((lo + r, i - int(t.first[r]), int(own[x].view(np.int64)), t.slots(i, k, is_bare)))
             r, place, h, slots = zip(*rows, strict=True) if rows else [()] * 4
             take = pa.array(r, pa.int64())
             yield pa.RecordBatch.from_arrays([b["doc_id"].take(take), b["row_key"].take(take), pa.array(place, pa.int32()), pa.array(h, pa.int64()), pa.array(slots, pa.list_(pa.string()))], ["doc_id", "row_key", "at", "hash", "slots"])
@@ -148,11 +167,25 @@ def _text_windows(lengths: list[int], bits: np.ndarray):
     return run
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
+_FOLD = "aggregate(sort_array({places}), named_struct('last', -k - 1, 'n', 0, 'best', 0), (s, x) -> {step}, s -> s.{out})"
+
+
+def _covered(places: str) -> str:
+    """Tokens that windows of k tokens at these places cover."""
+    return _FOLD.format(places=places, step="named_struct('last', x, 'n', s.n + least(k, x - s.last), 'best', 0)", out="n")
+
+
+def _longest(places: str) -> str:
+    """Tokens of the longest passage without a gap that windows at these places cover, none left out."""
+    n = "if(x = s.last + 1, s.n + 1, k)"
+    return _FOLD.format(places=places, step=f"named_struct('last', x, 'n', {n}, 'best', greatest(s.best, {n}))", out="best")
+
+
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, run: int = RUN) -> DataFrame:
     """doc_id, row_key (xxhash64 of the text), items: one row for each contaminated text."""
     spark = docs.sparkSession
     items = benchmark.where("text is not null").groupBy("text").agg(F.min(F.col("item_id").cast("long")).alias("item_id"))
-    own = written(items.select("item_id", "text").mapInArrow(_item_windows(window), "item_id long, k int, item_at int, of int, hash long, item_slots array<string>"), "item-windows")
+    own = written(items.select("item_id", "text").mapInArrow(_item_windows(window, share), "item_id long, k int, item_at int, of int, hash long, item_slots array<string>, wordy boolean"), "item-windows")
     place = F.shiftrightunsigned("hash", 64 - MAP_BITS)
     word = own.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - MAP_BITS}) & 63 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bit"))
     bits = np.zeros(1 << (MAP_BITS - 6), np.int64)
@@ -162,14 +195,17 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: flo
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text")
     hits = texts.mapInArrow(_text_windows(lengths, bits.view(U64)), f"doc_id {kind}, row_key long, at int, hash long, slots array<string>").distinct()
-    met = written(hits.join(own, "hash"), "met") if lengths else spark.createDataFrame([], f"doc_id {kind}, row_key long, at int, hash long, slots array<string>, item_id long, k int, item_at int, of int, item_slots array<string>")
+    met = written(hits.join(own, "hash"), "met") if lengths else spark.createDataFrame([], f"doc_id {kind}, row_key long, at int, hash long, slots array<string>, item_id long, k int, item_at int, of int, item_slots array<string>, wordy boolean")
     pair = ["doc_id", "row_key", "item_id"]
     aligned = met.withColumn("diagonal", F.col("at") - F.col("item_at"))
     filled = aligned.withColumn("slot", F.explode(F.arrays_zip("item_slots", "slots"))).select(*pair, "diagonal", "slot.item_slots", "slot.slots")
     clashes = filled.groupBy(*pair, "diagonal", "item_slots").agg((F.min("slots") != F.max("slots")).alias("bad")).where("bad").select(*pair, "diagonal").distinct()
     same = [aligned[c].eqNullSafe(clashes[c]) for c in (*pair, "diagonal")]
     sound = aligned.join(clashes, same[0] & same[1] & same[2] & same[3], "left_anti")
-    found = sound.groupBy(*pair).agg(F.countDistinct("item_at").alias("n"), F.max("of").alias("of")).where(F.col("n") >= share * F.col("of"))
+    line = sound.groupBy(*pair, "k", "of", "diagonal").agg(F.collect_set("item_at").alias("all"), F.collect_set(F.when(F.col("wordy"), F.col("item_at"))).alias("wordy"))
+    line = line.select(*pair, "k", "of", "all", F.expr(_longest("wordy")).alias("long"))
+    found = line.groupBy(*pair, "k", "of").agg(F.array_distinct(F.flatten(F.collect_set("all"))).alias("all"), F.max("long").alias("long"))
+    found = found.where((F.expr(_covered("all")) >= share * F.col("of")) | (F.col("long") >= run))
     return found.groupBy("doc_id", "row_key").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
 
 
