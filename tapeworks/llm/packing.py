@@ -2,7 +2,7 @@
 
 Only the lengths matter for the plan, and there are at most `capacity` of them: the histogram of
 lengths is counted in Spark and a plan of patterns (a filling and how often it is used) is made from it
-by bin completion. The largest length left is completed by undominated fillings, least waste first;
+by bin completion. The largest length left is completed by the first `WIDTH` undominated fillings, least waste first;
 a branch is cut when its waste rules out beating the incumbent, which starts as best-fit decreasing;
 the search ends at the lower bound or after `nodes` steps, with the best plan so far. Pieces then take
 their places by rank among equal lengths, counted per bucket, so no length meets in one task.
@@ -27,8 +27,8 @@ from .shared import group_of, parts, written
 from .tokens import default_path, encoder
 
 CAPACITY, END = 1024, 2
-#: Search steps, fillings tried at a step, and lengths that a filling beside best fit may have.
-NODES, WIDTH, DEPTH = 8_000, 4, 4
+#: Search steps, fillings tried at a step, and partial fillings looked at for them.
+NODES, WIDTH, LOOKS = 8_000, 4, 500
 _PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -66,49 +66,71 @@ def _greedy(left: dict[int, int], room: int) -> tuple[int, ...]:
     return tuple(out)
 
 
-def fillings(left: dict[int, int], room: int, most_waste: int) -> Iterator[tuple[int, ...]]:
-    """Fillings of `room` by up to DEPTH lengths, least waste first, then fewest lengths.
+def _dominated(chosen: tuple[tuple[int, int], ...], slack: int, free: int, left: dict[int, int]) -> bool:
+    """Whether a length in `free`, or one chosen that is left over, can take the place of some chosen ones at no more than `slack` in addition."""
 
-    Totals that d lengths can reach are bits of one number, shifted and joined. A single length that fills
-    the room dominates every other filling, as what they hold would fit in its place elsewhere.
+    def sums(but: int = 0) -> int:
+        out, wide = 1, 1
+        for n, m in chosen:
+            for _ in range(m if n != but else 0):
+                out |= out << n
+        while wide <= slack:
+            step = min(wide, slack + 1 - wide)
+            out, wide = out | out << step, wide + step
+        return out
+
+    return bool(sums() & free) or any(left[n] > m and sums(n) >> n & 1 for n, m in chosen)
+
+
+def fillings(left: dict[int, int], room: int, most_waste: int, looks: int = LOOKS) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of `room` by any number of lengths, least waste first, then largest lengths first.
+
+    A filling is dominated if a length left over can stand for some of its lengths (or for none) within the
+    room: what it holds would fit in their places elsewhere. Totals that the lengths from some place on reach, each
+    as often as it is left, are bits of one number. `looks` bounds the partial fillings tried.
     """
     lengths = sorted((n for n in left if n <= room), reverse=True)
-    within, reach = (1 << (room + 1)) - 1, [sum(1 << n for n in lengths)]
-    for _ in range(DEPTH - 1):
-        wider = 0
-        for n in lengths:
-            wider |= reach[-1] << n
-        reach.append(wider & within)
-
-    def build(goal: int, depth: int, at: int) -> Iterator[tuple[int, ...]]:
-        if not depth:
-            if goal in left and goal <= lengths[at]:
-                yield (goal,)
+    within, reach = (1 << (room + 1)) - 1, [1]
+    for n in reversed(lengths):
+        bits, copies, step = reach[-1], min(left[n], room // n), 1
+        while copies:
+            step = min(step, copies)
+            bits |= bits << n * step
+            copies, step = copies - step, 2 * step
+        reach.append(bits & within)
+    reach.reverse()
+    every = sum(1 << n for n in lengths)
+
+    def build(goal: int, at: int, chosen: tuple[tuple[int, int], ...], slack: int, free: int) -> Iterator[tuple[int, ...]]:
+        nonlocal looks
+        looks -= 1
+        spare = free | sum(1 << n for n, m in chosen if left[n] > m)
+        if not goal:
+            if not _dominated(chosen, slack, free, left):
+                yield tuple(n for n, m in chosen for _ in range(m))
             return
-        for i in range(at, len(lengths)):
-            n = lengths[i]
-            if n * (depth + 1) < goal:
-                return
-            if n < goal and reach[depth - 1] >> (goal - n) & 1:
-                for rest in build(goal - n, depth - 1, i):
-                    if left[n] > rest.count(n):
-                        yield (n, *rest)
-
-    open_totals = 1
-    for bits in reach:
-        open_totals |= bits
-    while open_totals:
-        goal = open_totals.bit_length() - 1
-        open_totals ^= 1 << goal
-        if room - goal > most_waste:
+        single = spare & (((1 << (slack + 1)) - 1) << goal)  # one length in place of all that is still to come
+        if single:
+            if single == 1 << goal and free >> goal & 1 and at < len(lengths) and goal <= lengths[at]:
+                yield from build(0, at, (*chosen, (goal, 1)), slack, free & ~(1 << goal))
             return
-        if not goal:
-            yield ()
-        for depth, bits in enumerate(reach):
-            if goal and bits >> goal & 1:
-                yield from build(goal, depth, 0)
-                if goal == room and not depth:
-                    return
+        while at < len(lengths) and reach[at] >> goal & 1 and looks > 0:
+            n = lengths[at]
+            at += 1
+            for m in range(min(left[n], goal // n), 0, -1):
+                if looks > 0 and reach[at] >> (goal - m * n) & 1:
+                    more = (*chosen, (n, m))
+                    rest = free & ~(1 << n)
+                    if not _dominated(more, slack, rest >> n << n, left):
+                        yield from build(goal - m * n, at, more, slack, rest)
+
+    totals = reach[0]
+    while totals and looks > 0:
+        goal = totals.bit_length() - 1
+        totals ^= 1 << goal
+        if room - goal > most_waste or lengths and goal < lengths[0]:
+            return
+        yield from build(goal, 0, (), room - goal, every)
 
 
 def _lower_bound(counts: dict[int, int], capacity: int) -> int:

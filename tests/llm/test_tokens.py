@@ -88,6 +88,29 @@ def test_plans_use_every_piece_once_and_stay_near_the_bound():
     assert sum(t for _, t in packing.plan({6: 2, 5: 2, 4: 2, 3: 4, 2: 2}, 10)) == 5  # best fit decreasing needs no more than the bound
 
 
+def test_plans_of_short_pieces_meet_the_bound():
+    for counts, bins in (({176: 4000, 160: 2000}, 1000), ({128: 3, 640: 1, 896: 1, 77: 8, 34: 12}, 3)):
+        assert packing._lower_bound(counts, 1024) == bins == sum(t for _, t in packing.plan(counts))
+
+
+def test_fillings_are_the_undominated_ones():
+    rng = random.Random(5)
+
+    def fits(small, large):  # whether the lengths of one filling fit within those of another
+        return not small or any(n >= small[0] and fits(small[1:], (*large[:i], n - small[0], *large[i + 1 :])) for i, n in enumerate(large))
+
+    for _ in range(150):
+        left = {rng.randint(1, 14): rng.randint(1, 3) for _ in range(rng.randint(1, 5))}
+        room = rng.randint(1, 30)
+        every = [()]
+        for n, c in sorted(left.items(), reverse=True):
+            every = [(*f, *[n] * m) for f in every for m in range(c + 1)]
+        every = [f for f in every if sum(f) <= room]
+        want = {f for f in every if not any(g != f and fits(f, g) for g in every)}
+        got = list(packing.fillings(left, room, room, 10**6))
+        assert set(got) == want and len(got) == len(want) and [sum(f) for f in got] == sorted(map(sum, got), reverse=True)
+
+
 def test_packing_against_the_ids(spark, library):
     df, rows = corpus.table(spark)
     got = packing.pack_documents(df, with_ids=True).collect()
