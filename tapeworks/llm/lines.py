@@ -3,7 +3,8 @@
 A line is cut at single spaces; a token with a digit becomes a wildcard. The tree has a fixed depth: number
 of tokens, then the leading tokens. In a leaf the line found in most documents is a template, and lines
 that agree with it in at least `similar` of all places belong to it, their other places being variable
-fields; what is left goes through `rounds` rounds in all and then stands for itself. A template in at
+fields; what is left is treated likewise until every line has a template or too few for one are left. A round
+does this for the first `TOPS` forms of every leaf at once, with the same result. A template in at
 least `min_docs` documents is recurring, and its lines are dropped everywhere.
 
 A document that would lose more than `most` of its characters is a copy, not a page with boilerplate:
@@ -21,12 +22,12 @@ are kept, whatever their names; an empty table stays empty.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import written
 
-LEAD, SIMILAR, ROUNDS, MIN_DOCS, MOST = 3, 0.7, 2, 5, 0.5
+LEAD, SIMILAR, TOPS, MIN_DOCS, MOST = 3, 0.7, 64, 5, 0.5
 MAP_BITS = 22
 _DOC = ["doc", "row_key"]
 
@@ -61,28 +62,37 @@ def _in_map(df: DataFrame, bitmap: DataFrame) -> DataFrame:
     return df.join(hit, word == F.col("w")).where(F.expr(f"shiftrightunsigned(bits, cast(shiftrightunsigned(leaf, {64 - MAP_BITS}) % 64 as int)) & 1 = 1")).drop("w", "bits")
 
 
-def templates(docs: DataFrame, lines: DataFrame, bitmap: DataFrame, lead: int, similar: float, rounds: int) -> DataFrame:
+def templates(docs: DataFrame, bitmap: DataFrame, min_docs: int, lead: int, similar: float, tops: int = TOPS) -> DataFrame:
     """(form, template) for the lines of busy leaves that share a template with another form."""
     busy = _in_map(parsed(docs, lead), bitmap).groupBy("leaf", "form").agg(F.count("*").alias("n"), F.min("line").alias("line"))
     left, out = written(busy, "forms"), None
-    for _ in range(rounds):
-        first = left.groupBy("leaf").agg(F.max(F.struct("n", "line", "form")).alias("top"), F.count("*").alias("k")).where("k > 1").select("leaf", F.col("top.form").alias("template"), F.col("top.line").alias("shape"))
-        agree = F.aggregate(F.zip_with(F.split("line", " "), F.split("shape", " "), lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
-        judged = left.join(first, "leaf").withColumn("same", agree >= similar * F.size(F.split("shape", " ")))
-        done = written(judged.select("leaf", "form", "template", "same", "n", "line"), "judged")
-        found = done.where("same").select("form", "template")
+    agrees = lambda a, b: F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) >= similar * F.size(b)
+    first = Window.partitionBy("leaf").orderBy(F.desc("n"), F.desc("line"), F.desc("form"))
+    while True:
+        # a leaf with one form, or with fewer lines than a recurring template has, is done
+        open_leaves = left.groupBy("leaf").agg(F.count("*").alias("k"), F.sum("n").alias("lines")).where((F.col("k") > 1) & (F.col("lines") >= min_docs)).select("leaf")
+        top = left.withColumn("r", F.row_number().over(first)).where(F.col("r") <= tops)
+        top = top.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("r", "form", F.split("line", " ").alias("words")))).alias("top"))
+        none = F.expr("cast(array() as array<struct<r: int, form: bigint, words: array<string>>>)")
+        shapes = F.aggregate("top", none, lambda s, x: F.when(F.exists(s, lambda t: agrees(t["words"], x["words"])), s).otherwise(F.array_append(s, x)))
+        shapes = top.join(open_leaves, "leaf").select("leaf", shapes.alias("shapes"))
+        words = F.split("line", " ")
+        judged = left.join(shapes, "leaf").withColumn("template", F.get(F.filter("shapes", lambda t: agrees(t["words"], words)), F.lit(0))["form"])
+        done = written(judged.select("leaf", "form", "template", "n", "line"), "judged")
+        found = done.where("template is not null").select("form", "template")
         out = found if out is None else out.union(found)
-        left = done.where("not same").select("leaf", "form", "n", "line")
-    return out
+        left = done.where("template is null").drop("template")
+        if left.isEmpty():
+            return out
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, lead: int = LEAD, similar: float = SIMILAR, rounds: int = ROUNDS) -> DataFrame:
+def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, lead: int = LEAD, similar: float = SIMILAR) -> DataFrame:
     """doc, row_key, at: every line of a recurring template."""
     lines = written(parsed(docs, lead).select(*_DOC, "at", "leaf", "form"), "lines")
     word, bit = _slot()
     busy = lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
     bitmap = written(busy.select(word.alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(leaf, {64 - MAP_BITS}) % 64 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")), "map")
-    known = written(templates(docs, lines, bitmap, lead, similar, rounds).distinct(), "templates")
+    known = written(templates(docs, bitmap, min_docs, lead, similar).distinct(), "templates")
     named = _in_map(lines, bitmap).join(known, "form", "left").select(*_DOC, "at", F.coalesce("template", "form").alias("template"))
     named = written(named, "named")
     recurring = named.select("template", *_DOC).distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)

@@ -115,3 +115,18 @@ def test_line_templates(spark):
             want[20 + k, "\n".join(x for x in copy.split("\n") if not bad(x))] += 1
     assert got == +want
     assert lines.drop_recurring(df.limit(0)).count() == 0
+
+
+def test_third_template_of_a_leaf(spark):
+    rng = random.Random(6)
+    own = lambda: " ".join("".join(rng.choice("abcdef") for _ in range(6)) for _ in range(30))
+    fixed = [f"The page was {x} {x}a {x}b {x}c" for x in "mnopq"]  # in the leaf of the last template, and more frequent
+    rows = [(k, f"{own()}\n{fixed[k % 5]}") for k in range(60)]
+    rows += [(100 + k, f"{own()}\nThe page was last seen by {''.join(chr(97 + int(c)) for c in f'{k:04d}')}") for k in range(40)]
+    rows += [(200 + k, f"{own()}\nThe page was {' '.join(chr(97 + k) * n for n in (2, 3, 4, 5))}") for k in range(26)]  # unlike all others
+    df, _ = corpus.table(spark, rows)
+    for tops in (lines.TOPS, 4):  # one round, and several
+        lines.templates.__defaults__ = (tops,)
+        got = {r.doc_id: r.n_dropped for r in lines.drop_recurring(df, report=True).collect()}
+        assert got == {i: int(i < 200) for i, _ in rows}
+    lines.templates.__defaults__ = (lines.TOPS,)
