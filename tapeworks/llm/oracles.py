@@ -76,4 +76,23 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m, d.doc_id) A
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.a = d.doc_id
 """
 
-ORACLES = {"op1_substring_dedup": SUBSTRING, "op2_line_dedup": LINES, "op3_url_filter": URLS, "op10_near_dedup": NEAR}
+PACKAGES = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS DISTINCT FROM page_id AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to FROM f
+"""
+
+UPPER, TERMS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+RANKED = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '{TERMS}') AS t FROM documents),
+c AS (SELECT count(*) FILTER (len(t) > 0) AS n_docs, coalesce(sum(len(t)), 0)::BIGINT AS n_words FROM d),
+item AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '{TERMS}')) AS term FROM benchmark),
+p AS (SELECT rid, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf FROM (SELECT rid, doc_id, len(t) AS n, unnest(t) AS term FROM d) SEMI JOIN item USING (term) GROUP BY rid, term),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY term),
+s AS (SELECT item_id, rid, any_value(doc_id) AS doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_words))))::BIGINT AS score FROM p JOIN w USING (term) JOIN item USING (term), c GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, rid) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+ORACLES = {"op1_substring_dedup": SUBSTRING, "op2_line_dedup": LINES, "op3_url_filter": URLS, "op10_near_dedup": NEAR, "op11_warc_packages": PACKAGES, "op13_lexical_search": RANKED}

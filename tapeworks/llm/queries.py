@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, near_dup, packing, pii, quality_model, rules, substring, token_files, urls
+from . import decontaminate, lexical, lines, near_dup, packing, pii, quality_model, rules, substring, token_files, urls, warc, whitening
 from .oracles import ORACLES
 from .shared import folder
 
@@ -60,6 +60,20 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_url_filter, op4_quality_classifier, op5_token_files, op6_pii_surrogates, op7_decontamination, op8_best_fit_packing, op9_quality_rules, op10_near_dedup)}
+def op11_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folder(spark, "warc")
+    warc.write(_table(spark, sf_dir, "pages"), path)
+    return warc.fetch(warc.index(spark, path), with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_url_filter, op4_quality_classifier, op5_token_files, op6_pii_surrogates, op7_decontamination, op8_best_fit_packing, op9_quality_rules, op10_near_dedup, op11_warc_packages, op12_embedding_whitening, op13_lexical_search)}
 
 __all__ = ["ORACLES", "QUERIES"]
