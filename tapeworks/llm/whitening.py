@@ -3,7 +3,7 @@
 1. Entries become whole numbers x = floor(256 c). The fit list holds each distinct x once; it is
    written as blocks of vectors, and its size and sums per dimension are exact.
 2. A block Q of a few more vectors than components meets the covariance only in passes over the fit
-   list: a task adds Z'(ZQ) of its centred rows Z, Spark sums the tasks' matrices row by row. No
+   list: a task adds Z'(ZQ) of its centred rows Z, and other tasks add those matrices. No
    covariance matrix is built; what leaves a pass is one matrix of Q's shape.
 3. Two passes on a random block bound the spectrum. Then, in turns, a Chebyshev recurrence of such
    passes damps everything below the block's least Ritz value, QR makes the block orthonormal and
@@ -28,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import parts, written
 
 COMPONENTS, EXTRA, SCALE = 4, 12, 256
 #: Residual, as a share of the largest eigenvalue, that certifies a component; what rounding may leave at most; degrees of a filter; rounds.
 EXACT, ROUNDING, DEGREES, ROUNDS = 1e-14, 1e-12, (4, 24), 60
-BLOCK_ROWS = 4096
+#: Vectors of a block, bytes of a part of the fit list, and parts whose matrices go to the driver as they are.
+BLOCK_ROWS, PART_BYTES, FEW = 4096, 64 << 20, 64
 RESULT = "component int, n long, deviation long, whitened double, explained double, identity_error double"
 
 
@@ -66,14 +67,15 @@ class Fit:
     trace: float
 
 
-def whole_numbers(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id and x of the rows that remain."""
+def whole_numbers(embeddings: DataFrame, scale: int = SCALE) -> tuple[DataFrame, int]:
+    """vec_id and x of the rows that remain, and the bytes of all x."""
     big = float(1 << 53)
     sound = F.forall("embedding", lambda c: c.isNotNull() & (F.abs(c.cast("double") * scale) < big))  # false for infinities and NaN, which is above all
     rows = embeddings.select("vec_id", "embedding").where(F.col("embedding").isNotNull() & sound)
     usual = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     rows = rows.where(F.size("embedding") == (usual["d"] if usual else 0))
-    return rows.select("vec_id", F.transform("embedding", lambda c: F.floor(c.cast("double") * scale)).alias("x"))
+    x = F.transform("embedding", lambda c: F.floor(c.cast("double") * scale))
+    return rows.select("vec_id", x.alias("x")), 8 * usual["d"] * usual["count"] if usual else 0
 
 
 def _matrix(column) -> np.ndarray:
@@ -88,27 +90,36 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sums(blocks: DataFrame, per_block: Callable[[np.ndarray], np.ndarray], shape: tuple[int, int], whole: bool = False) -> np.ndarray:
-    """The sum of `per_block` over all blocks of the fit list, a matrix of this shape; tasks add their own, Spark adds theirs."""
-    kind, arrow = (np.int64, pa.int64()) if whole else (np.float64, pa.float64())
+    """The sum of `per_block` over all blocks of the fit list, a matrix of this shape. Tasks add their own
+    blocks; of many tasks, as many others as their root add those; the driver adds the last few."""
+    kind = "<i8" if whole else "<f8"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape, kind)
         for b in batches:
             for rows, raw in zip(b["rows"].to_pylist(), b["x"], strict=True):
                 total += per_block(np.frombuffer(raw.as_buffer(), "<i8").reshape(rows, -1))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(shape[0]), pa.int32()), *(pa.array(c, arrow) for c in total.T)], ["i", *(f"c{j}" for j in range(shape[1]))])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["m"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape, kind)
+        for b in batches:
+            for raw in b["m"]:
+                total += np.frombuffer(raw.as_buffer(), kind).reshape(shape)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["m"])
 
-    columns = [f"c{j}" for j in range(shape[1])]
-    made = blocks.mapInArrow(run, "i int, " + ", ".join(f"{c} {'long' if whole else 'double'}" for c in columns))
+    made, tasks = blocks.mapInArrow(partial, "m binary"), blocks.rdd.getNumPartitions()
+    if tasks > FEW:
+        made = made.repartition(math.isqrt(tasks)).mapInArrow(add, "m binary")
     out = np.zeros(shape, kind)
-    for r in made.groupBy("i").agg(*(F.sum(c).alias(c) for c in columns)).toLocalIterator():
-        out[r["i"]] = [r[c] for c in columns]
+    for r in made.toLocalIterator(prefetchPartitions=True) if tasks > FEW else made.collect():
+        out += np.frombuffer(r["m"], kind).reshape(shape)
     return out
 
 
-def fit_list(rows: DataFrame) -> Fit | None:
+def fit_list(rows: DataFrame, size: int) -> Fit | None:
     """Distinct vectors with their exact sums; None without an entry."""
-    blocks = written(rows.select("x").distinct().mapInArrow(_pack, "rows int, x binary"), "fit-list")
+    blocks = written(rows.select("x").distinct().coalesce(parts(size, PART_BYTES, 8)).mapInArrow(_pack, "rows int, x binary"), "fit-list")
     first = blocks.select(F.octet_length("x").alias("b"), "rows").first()
     d = first["b"] // 8 // first["rows"] if first else 0
     if not d:
@@ -172,9 +183,9 @@ def top_components(fit: Fit, k: int = COMPONENTS, extra: int = EXTRA, seed: int
 
 def whiten(embeddings: DataFrame, components: int = COMPONENTS, scale: int = SCALE) -> DataFrame:
     """vec_id, component, n, deviation, whitened, explained, identity_error for each remaining row and component."""
-    rows = whole_numbers(embeddings, scale)
+    rows, size = whole_numbers(embeddings, scale)
     schema = f"vec_id {rows.schema['vec_id'].dataType.simpleString()}, {RESULT}"
-    fit = fit_list(rows)
+    fit = fit_list(rows, size)
     values, vectors = top_components(fit, components) if fit and fit.trace > 0 else (np.zeros(0), np.zeros((0, 0)))
     live = int((values > 1e-12 * max(values, default=0)).sum())
     if not live:
