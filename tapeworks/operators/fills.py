@@ -87,13 +87,14 @@ class _Walk:
 
 
 def select_trades(rows: DataFrame, keys: list[str], order: list[str], payload: list[str], *,
-                  chunk: Column, max_hold: int | None = None, reenter: bool = False) -> DataFrame:
+                  chunk: Column, max_hold: int | None = None, reenter: bool = False, one_chunk: bool = False) -> DataFrame:
     """Non-overlapping trades of each series.
 
     Rows need side (+1/-1/0), sl, tp, high, low, exit_long, exit_short and optionally counts
     (bars that age a position) and decides (rows on which expiry is checked). Gives direction,
     sl, tp, exit_kind, held and entry_*/exit_* for every payload column. ``chunk``, monotone in
-    ``order``, cuts series into pieces that are walked in parallel, whatever their length.
+    ``order``, cuts series into pieces that are walked in parallel, whatever their length;
+    ``one_chunk`` says that every series is known to be a single piece.
     """
     df = rows
     for name, value in (("counts", F.lit(1)), ("decides", F.lit(True))):
@@ -112,7 +113,7 @@ def select_trades(rows: DataFrame, keys: list[str], order: list[str], payload: l
     state = [StructField(n, t) for n, t in zip(
         ["side", "sl", "tp", "held", *inner],
         [IntegerType(), DoubleType(), DoubleType(), LongType(), *[fields[c] for c in payload]])]
-    return _speculate(df, keys, order, walk, key_fields, trade_fields, state)
+    return _speculate(df, keys, order, walk, key_fields, trade_fields, state, one_chunk)
 
 
 class _Feeder:
@@ -156,35 +157,51 @@ class _Feeder:
 
 
 def _speculate(df: DataFrame, keys: list[str], order: list[str], walk: _Feeder,
-               key_fields: list, trade_fields: list, state: list) -> DataFrame:
-    """Run chunks from a flat start, then re-run those whose incoming state was wrong."""
+               key_fields: list, trade_fields: list, state: list, one_chunk: bool) -> DataFrame:
+    """Run chunks from a flat start, then re-run those whose incoming state was wrong.
+
+    A round writes the chunks that it ran and one state row for each chunk; what earlier rounds
+    wrote stays, and the last round that ran a chunk counts.
+    """
     at = [*keys, "_chunk"]
     schema = StructType(
         [*key_fields, StructField("_chunk", LongType()), StructField("_is_state", BooleanType()),
          *trade_fields,
          *[StructField(f"_{io}_{f.name}", f.dataType) for io in ("in", "out") for f in state]])
     body, names = walk.chunk(order, [f.name for f in trade_fields]), schema.names
-    rows = materialize(df)
+    trades, marks = [f.name for f in trade_fields], [c for c in names if c.startswith(("_in_", "_out_"))]
     nothing = pd.DataFrame({"side": []})
-    done = materialize(rows.groupBy(*at).applyInPandas(
-        lambda key, pdf: body(key, pdf, nothing, names), schema))
+    run = lambda rows: rows.groupBy(*at).applyInPandas(lambda key, pdf: body(key, pdf, nothing, names), schema)
+    if one_chunk:
+        return run(df).where(~F.col("_is_state")).select(*keys, *trades)
+    rows = materialize(df)
+    rounds = [materialize(run(rows))]
+    states = rounds[0].where("_is_state").select(*at, *marks)
     while True:
         w = Window.partitionBy(*keys).orderBy("_chunk")
-        marks = done.where("_is_state").withColumns(
-            {f"_want_{f.name}": F.lag(f"_out_{f.name}").over(w) for f in state})
-        marks = marks.withColumn("_want_side", F.coalesce("_want_side", F.lit(0)))
+        wanted = states.withColumns({f"_want_{f.name}": F.lag(f"_out_{f.name}").over(w) for f in state})
+        wanted = wanted.withColumn("_want_side", F.coalesce("_want_side", F.lit(0)))
         same = F.lit(True)
         for f in state:
             same = same & F.col(f"_want_{f.name}").eqNullSafe(F.col(f"_in_{f.name}"))
         flat = (F.col("_want_side") == 0) & (F.col("_in_side") == 0)
-        wrong = materialize(marks.where(~(flat | same)).select(
+        wrong = materialize(wanted.where(~(flat | same)).select(
             *at, *[F.col(f"_want_{f.name}").alias(f.name) for f in state]))
         if wrong.isEmpty():
-            return done.where(~F.col("_is_state")).select(*keys, *[f.name for f in trade_fields])
+            break
         again = rows.join(wrong.select(*at), at, "left_semi").groupBy(*at).cogroup(
             wrong.groupBy(*at)).applyInPandas(
                 lambda key, pdf, given: body(key, pdf, given, names), schema)
-        done = materialize(done.join(wrong.select(*at), at, "left_anti").unionByName(again))
+        rounds.append(materialize(again))
+        states = materialize(states.join(wrong.select(*at), at, "left_anti").unionByName(
+            rounds[-1].where("_is_state").select(*at, *marks)))
+    done, later = None, None
+    for table in reversed(rounds):
+        kept = table.where(~F.col("_is_state")).select(*at, *trades)
+        done = kept if done is None else done.union(kept.join(later, at, "left_anti"))
+        ran = table.where("_is_state").select(*at)
+        later = ran if later is None else later.union(ran).distinct()
+    return done.select(*keys, *trades)
 
 
 def _side() -> Column:
@@ -214,7 +231,7 @@ def engine_trades(series: Series, *, terms: CostTerms, pip_size: float, lots: fl
         "fill_atr": F.col(atr_col),
     })
     keys = list(s.keys)
-    t = select_trades(rows, keys, ["k"], ["k", "fill", "fill_ts", "fill_atr"], chunk=_cut(s))
+    t = select_trades(rows, keys, ["k"], ["k", "fill", "fill_ts", "fill_atr"], chunk=_cut(s), one_chunk=not s.chunked)
     sign = F.when(F.col("direction") == "LONG", 1.0).otherwise(-1.0)
     gross = sign * (F.col("exit_fill") - F.col("entry_fill")) / pip_size * terms.pip_value * lots
     cost = round_trip_currency(
@@ -237,7 +254,7 @@ def level_trades(series: Series, *, pip_size: float, exit_long: Column | None =
         "exit_short": F.coalesce(exit_short, _never()) if exit_short is not None else _never(),
     })
     keys = list(series.keys)
-    t = select_trades(rows, keys, ["k"], ["k", "ts", "close"], chunk=_cut(series))
+    t = select_trades(rows, keys, ["k"], ["k", "ts", "close"], chunk=_cut(series), one_chunk=not series.chunked)
     kind = F.when(F.col("exit_kind") == "SIGNAL", signal_kind).otherwise(F.col("exit_kind"))
     return _priced(t.withColumn("exit_kind", kind), keys, pip_size)
 
@@ -285,7 +302,7 @@ def paper_trades(series: Series) -> DataFrame:
         "side": _side(), "exit_long": F.col("signal") != "LONG",
         "exit_short": F.col("signal") != "SHORT"})
     keys = list(series.keys)
-    t = select_trades(rows, keys, ["k"], ["ts", "close"], chunk=_cut(series))
+    t = select_trades(rows, keys, ["k"], ["ts", "close"], chunk=_cut(series), one_chunk=not series.chunked)
     sign = F.when(F.col("direction") == "LONG", 1.0).otherwise(-1.0)
     return t.select(
         *keys, "direction", "entry_ts", F.col("entry_close").alias("entry_price"), "exit_ts",

@@ -10,149 +10,90 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tapeworks.operators.series import Series, memory_rows
+from tapeworks.operators.carry import NOTHING, Chunk, Smoothing
+from tapeworks.operators.series import Series
 
-# --- recurrences: one vectorised pass per chunk -------------------------------------------
+# --- recurrences: one vectorised pass per chunk, continued from exact states -----------------
 
 
-def _fade(x: np.ndarray, alpha: float) -> np.ndarray:
-    """y0 = x0; y = (1-alpha)*y + alpha*x."""
-    return pd.Series(x).ewm(alpha=alpha, adjust=False).mean().to_numpy()
-
-
-def _mean_seeded(x: np.ndarray, period: int, alpha: float, from_start: bool) -> np.ndarray:
-    """The mean of the first ``period`` known values at the last of them, then the recurrence over
-    known values; NaN before and at NaN inputs."""
-    out, seen = np.full(len(x), np.nan), ~np.isnan(x)
-    v = x[seen]
-    if not from_start:
-        out[seen] = _fade(v, alpha) if len(v) else v
-    elif len(v) >= period:
-        y = np.full(len(v), np.nan)
-        y[period - 1:] = _fade(np.concatenate([[v[:period].mean()], v[period:]]), alpha)
-        out[seen] = y
-    return out
-
-
-def _first_seeded(x: np.ndarray, period: int, from_start: bool) -> np.ndarray:
-    """Seeded by the first value, shown once ``period`` values were seen; skips NaN inputs."""
-    out = np.full(len(x), np.nan)
-    seen = ~np.isnan(x)
-    if seen.any():
-        y = _fade(x[seen], 2.0 / (period + 1))
-        if from_start:
-            y[: period - 1] = np.nan
-        out[seen] = y
-    return out
-
-
-def _true_range(pdf: pd.DataFrame) -> np.ndarray:
-    h, low, pc = pdf["high"], pdf["low"], pdf["close"].shift(1)
-    return pd.concat([h - low, (h - pc).abs(), (low - pc).abs()], axis=1).max(axis=1).to_numpy()
-
-
-def _tsi(close: np.ndarray, long: int, short: int, signal: int, from_start: bool):
-    move = np.diff(close, prepend=np.nan)
-    up = _first_seeded(_first_seeded(move, long, from_start), short, from_start)
-    size = _first_seeded(_first_seeded(np.abs(move), long, from_start), short, from_start)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        value = np.where(size == 0.0, np.nan, 100.0 * up / size)
-    line = _first_seeded(value, signal, from_start)
-    return np.where(np.isnan(line), np.nan, value), line
-
-
-def _cost_atr(tr: np.ndarray, period: int, floor: float, from_start: bool) -> np.ndarray:
-    """Floored running mean of the true range while warming, then Wilder without floor."""
-    if not from_start:
-        return _fade(tr, 1.0 / period)
-    head = np.maximum(np.cumsum(tr[:period]) / np.arange(1, len(tr[:period]) + 1), floor)
-    if len(tr) <= period:
-        return head
-    tail = _fade(np.concatenate([[head[-1]], tr[period:]]), 1.0 / period)
-    return np.concatenate([head, tail[1:]])
+def _true_range(c: Chunk) -> np.ndarray:
+    h, low, pc = c["high"], c["low"], c.before("close")
+    return np.fmax(h - low, np.fmax(np.abs(h - pc), np.abs(low - pc)))
 
 
 @dataclass(frozen=True)
 class Recurrence:
-    """A named recurrence: output columns, memory in rows, and its vectorised body."""
+    """A named recurrence: output columns, its vectorised body, and how deep its smoothings are nested."""
 
     ddl: str
-    memory: int
-    body: Callable[[pd.DataFrame, bool], dict[str, np.ndarray]]
+    body: Callable[[Chunk], dict[str, np.ndarray]]
+    levels: int = 1
+
+
+def _one(out: str, how: Smoothing, x: Callable[[Chunk], np.ndarray]) -> Recurrence:
+    return Recurrence(f"`{out}` DOUBLE", lambda c: {out: c.smooth(x(c), how)})
 
 
 def ema_mean_seeded(period: int, out: str, col: str = "close") -> Recurrence:
-    a = 2.0 / (period + 1)
-    return Recurrence(
-        f"`{out}` DOUBLE", memory_rows(a),
-        lambda p, s: {out: _mean_seeded(p[col].to_numpy(float), period, a, s)},
-    )
+    return _one(out, Smoothing(2.0 / (period + 1), period, "mean"), lambda c: c[col])
 
 
 def ema(period: int, out: str, col: str = "close") -> Recurrence:
-    return Recurrence(
-        f"`{out}` DOUBLE", memory_rows(2.0 / (period + 1)),
-        lambda p, s: {out: _first_seeded(p[col].to_numpy(float), period, s)},
-    )
+    return _one(out, Smoothing(2.0 / (period + 1), period), lambda c: c[col])
 
 
-def ema_mean_seeded_by(period_col: str, max_period: int, out: str, col: str = "close") -> Recurrence:
+def ema_mean_seeded_by(period_col: str, out: str, col: str = "close") -> Recurrence:
     """Mean-seeded EMA whose period is a column, constant within a series: parameter sweeps
     put the parameter set into the series keys."""
 
-    def body(p: pd.DataFrame, s: bool) -> dict[str, np.ndarray]:
-        n = int(p[period_col].iloc[0])
-        return {out: _mean_seeded(p[col].to_numpy(float), n, 2.0 / (n + 1), s)}
+    def body(c: Chunk) -> dict[str, np.ndarray]:
+        n = int(c.constant(period_col))
+        return {out: c.smooth(c[col], Smoothing(2.0 / (n + 1), n, "mean"))}
 
-    return Recurrence(f"`{out}` DOUBLE", memory_rows(2.0 / (max_period + 1)), body)
+    return Recurrence(f"`{out}` DOUBLE", body)
 
 
 def rma(period: int, out: str, col: str = "close") -> Recurrence:
-    return Recurrence(
-        f"`{out}` DOUBLE", memory_rows(1.0 / period),
-        lambda p, s: {out: _mean_seeded(p[col].to_numpy(float), period, 1.0 / period, s)},
-    )
+    return _one(out, Smoothing(1.0 / period, period, "mean"), lambda c: c[col])
 
 
 def atr(period: int, out: str = "atr") -> Recurrence:
-    return Recurrence(
-        f"`{out}` DOUBLE", memory_rows(1.0 / period) + 1,
-        lambda p, s: {out: _mean_seeded(_true_range(p), period, 1.0 / period, s)},
-    )
+    return _one(out, Smoothing(1.0 / period, period, "mean"), _true_range)
 
 
 def tsi(long: int = 25, short: int = 13, signal: int = 13, out: str = "tsi",
         line: str = "tsi_signal") -> Recurrence:
-    memory = sum(memory_rows(2.0 / (p + 1)) for p in (long, short, signal)) + 1
+    """Doubly smoothed momentum over its doubly smoothed size; NULL where that has faded to nothing."""
+    slow, fast, last = (Smoothing(2.0 / (p + 1), p) for p in (long, short, signal))
 
-    def body(p: pd.DataFrame, s: bool) -> dict[str, np.ndarray]:
-        value, smooth = _tsi(p["close"].to_numpy(float), long, short, signal, s)
-        return {out: value, line: smooth}
+    def body(c: Chunk) -> dict[str, np.ndarray]:
+        move = c["close"] - c.before("close")
+        up = c.smooth(c.smooth(move, slow), fast, 1)
+        size = c.smooth(c.smooth(np.abs(move), slow), fast, 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            value = np.where(size < NOTHING, np.nan, 100.0 * up / size)
+        smooth = c.smooth(value, last, 2)
+        return {out: np.where(np.isnan(smooth), np.nan, value), line: smooth}
 
-    return Recurrence(f"`{out}` DOUBLE, `{line}` DOUBLE", memory, body)
+    return Recurrence(f"`{out}` DOUBLE, `{line}` DOUBLE", body, 3)
 
 
 def cost_atr(period: int, floor_price: float, out: str = "cost_atr") -> Recurrence:
-    return Recurrence(
-        f"`{out}` DOUBLE", memory_rows(1.0 / period) + 1,
-        lambda p, s: {out: _cost_atr(_true_range(p), period, floor_price, s)},
-    )
+    """Floored running mean of the true range while warming, then Wilder without floor."""
+    return _one(out, Smoothing(1.0 / period, period, "floored", floor_price), _true_range)
 
 
 def add(series: Series, *parts: Recurrence) -> Series:
     """All given recurrences in one pass (one shuffle) over each chunk."""
 
-    def body(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
-        from_start = bool(len(pdf)) and int(pdf["k"].iloc[0]) == 0
+    def body(c: Chunk) -> dict[str, np.ndarray]:
         cols: dict[str, np.ndarray] = {}
         for part in parts:
-            cols.update(part.body(pdf, from_start))
+            cols.update(part.body(c))
         return {n: pd.array(v, dtype="Float64") if np.isnan(v).any() else v
                 for n, v in cols.items()}
 
-    return series.kernel(
-        body, ", ".join(p.ddl for p in parts), lead_in=max(p.memory for p in parts)
-    )
+    return series.kernel(body, ", ".join(p.ddl for p in parts), levels=max(p.levels for p in parts))
 
 
 # --- native windows ------------------------------------------------------------------------

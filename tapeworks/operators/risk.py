@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from tapeworks.operators.series import index_series
+from tapeworks.operators.series import ROWS_PER_CHUNK, index_series
+from tapeworks.storage import materialize, renewed
 
 
 def daily_ledger(fills: DataFrame, keys: list[str], order: list[str], *, r: str = "pnl_r",
@@ -41,44 +40,103 @@ def daily_ledger(fills: DataFrame, keys: list[str], order: list[str], *, r: str
         .when(F.col("halted"), "max daily trades").alias("halt_reason"))
 
 
+def _chain_ends(us: np.ndarray, width: int) -> np.ndarray:
+    """For every row the last row accepted in this chunk if it is accepted itself."""
+    nxt = np.searchsorted(us, us + width)
+    end = np.where(nxt < len(us), nxt, np.arange(len(us)))
+    while True:  # jumps double
+        further = end[end]
+        if (further == end).all():
+            return end
+        end = further
+
+
+def _accepted(us: np.ndarray, first: int, width: int) -> np.ndarray:
+    ok = np.zeros(len(us), bool)
+    while first < len(us):
+        ok[first] = True
+        first = int(np.searchsorted(us, us[first] + width))
+    return ok
+
+
 def suppress_repeats(rows: DataFrame, keys: list[str], ts: str = "ts", *, window_seconds: int = 3600,
-                     out: str = "accepted", tie: str | None = None) -> DataFrame:
+                     out: str = "accepted", tie: str | None = None,
+                     rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """Accept a row unless the last *accepted* row of its key is younger than the window.
 
-    A pause of at least one window always resets the rule, so every run between pauses is
-    independent: runs are separate tasks. Pauses are found on the chunked series. Inside a run
-    the next accepted row is found by binary search over Arrow batches with one timestamp of
-    state. Of rows at one instant the first by ``tie`` counts.
+    A row's successor is the first row a window later; the accepted rows are those that successors
+    reach from a key's first row. Chunks of a long key are worked on apart: every row at which a chain may
+    enter a chunk learns where that chain enters a later one, jumps between entries are doubled, and
+    doubling also marks the entries that are reached, in as many rounds as the number of chunks
+    has binary digits. Of rows at one instant the first by ``tie`` counts.
     """
-    s = index_series(rows, tuple(keys), order=ts, tie=tie)
-    s = s.windowed(lambda w: {"_gap": F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w))}, back=1)
-    s = s.running({"_run": ("sum", (F.coalesce("_gap", F.lit(0)) >= window_seconds * 1_000_000).cast("int"))})
+    s = index_series(rows, tuple(keys), order=ts, tie=tie, rows_per_chunk=rows_per_chunk)
+    width, cols = window_seconds * 1_000_000, rows.columns
     df = s.df.withColumn("_us", F.unix_micros(ts))
-    cols = rows.columns
     schema = StructType([*rows.schema.fields, StructField(out, BooleanType())])
-    width = window_seconds * 1_000_000
-    part = [*keys, "_run"]
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, free_at = None, None
-        for pdf in batches:
-            us = pdf["_us"].to_numpy()
-            ids = list(zip(*[pdf[c] for c in part]))
-            ok = np.zeros(len(pdf), bool)
-            cuts = [0] + [i for i in range(1, len(ids)) if ids[i] != ids[i - 1]] + [len(ids)]
-            for a, e in zip(cuts, cuts[1:]):
-                if a == e:
-                    continue
-                if ids[a] != current:
-                    current, free_at = ids[a], us[a]
-                i = a + int(np.searchsorted(us[a:e], free_at))
-                while i < e:
-                    ok[i] = True
-                    free_at = us[i] + width
-                    i = a + int(np.searchsorted(us[a:e], free_at))
-            yield pdf[cols].assign(**{out: ok})[schema.names]
-
-    return df.repartition(*part).sortWithinPartitions(*part, "k").mapInPandas(walk, schema)
+
+    def mark(pdf: pd.DataFrame, entry: pd.DataFrame | None = None) -> pd.DataFrame:
+        pdf = pdf.sort_values("k", ignore_index=True)
+        first = 0 if entry is None else int(entry["entry"].iloc[0] - pdf["k"].iloc[0]) if len(entry) else len(pdf)
+        return pdf[cols].assign(**{out: _accepted(pdf["_us"].to_numpy(), first, width)})[schema.names]
+
+    if not s.chunked:
+        return df.groupBy(*keys).applyInPandas(lambda pdf: mark(pdf), schema)
+
+    df = materialize(df.withColumn("_chunk", F.floor(F.col("k") / rows_per_chunk)))
+    at = [*keys, "_chunk"]
+    reached = _entries(df.select(*at, "k", "_us"), keys, width, -(-s.max_rows // rows_per_chunk))
+    return df.groupBy(*at).cogroup(reached.groupBy(*at)).applyInPandas(mark, schema)
+
+
+def _entries(df: DataFrame, keys: list[str], width: int, chunks: int) -> DataFrame:
+    """(keys, _chunk, entry): the first accepted row of each chunk that has one."""
+    at, key_fields = [*keys, "_chunk"], [df.schema[c] for c in keys]
+    node = StructType([*key_fields, *StructType.fromDDL("_chunk BIGINT, entry BIGINT, us BIGINT, leaves BIGINT").fields])
+
+    def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Rows at which a chain may enter: up to the first one a window after the chunk's beginning."""
+        pdf = pdf.sort_values("k", ignore_index=True)
+        us = pdf["_us"].to_numpy()
+        n = min(len(us), int(np.searchsorted(us, us[0] + width)) + 1)
+        leaves = us[_chain_ends(us, width)[:n]] + width
+        return pdf.iloc[:n][at].assign(entry=pdf["k"].iloc[:n], us=us[:n], leaves=leaves)[node.names]
+
+    nodes = materialize(df.groupBy(*at).applyInPandas(candidates, node))
+    ends = df.groupBy(*at).agg(F.max("_us").alias("_end"))
+    hop = StructType([*node.fields, *StructType.fromDDL("_to BIGINT").fields])
+
+    def aim(pdf: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
+        """The chunk where the chain goes on: the first one that ends late enough."""
+        index = index.sort_values("_to")
+        place = np.searchsorted(index["_end"].to_numpy(), pdf["leaves"].to_numpy())
+        pdf, place = pdf[place < len(index)], place[place < len(index)]
+        return pdf.assign(_to=index["_to"].to_numpy()[place])[hop.names]
+
+    own = nodes.select(*at).distinct()
+    every = own.join(ends.withColumnRenamed("_chunk", "_to"), keys)
+    aimed = nodes.groupBy(*at).cogroup(renewed(every).groupBy(*at)).applyInPandas(aim, hop)
+    step = StructType([*key_fields, *StructType.fromDDL("entry BIGINT, goal BIGINT, _chunk BIGINT").fields])
+
+    def land(pdf: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        there = there.sort_values("entry")
+        place = np.searchsorted(there["us"].to_numpy(), pdf["leaves"].to_numpy())
+        return pdf.assign(goal=there["entry"].to_numpy()[place], _chunk=pdf["_to"])[step.names]
+
+    to = [*keys, "_to"]
+    jumps = materialize(aimed.groupBy(*to).cogroup(renewed(nodes.withColumnRenamed("_chunk", "_to")).groupBy(*to)).applyInPandas(land, step))
+    first = nodes.where("entry = 0").select(*at, "entry")
+    levels = [jumps]
+    while 1 << len(levels) < chunks:
+        one = levels[-1]
+        two = one.select(*keys, F.col("entry").alias("goal"), F.col("goal").alias("_further"), F.col("_chunk").alias("_there"))
+        levels.append(materialize(one.select(*keys, "entry", "goal").join(two, [*keys, "goal"]).select(
+            *keys, "entry", F.col("_further").alias("goal"), F.col("_there").alias("_chunk"))))
+    reached = first
+    for level in reversed(levels):
+        more = reached.select(*keys, "entry").join(level, [*keys, "entry"]).select(*at, F.col("goal").alias("entry"))
+        reached = materialize(reached.union(more))
+    return reached
 
 
 def external_signals(parsed: DataFrame, ts: str = "ts", tie: str | None = None) -> DataFrame:

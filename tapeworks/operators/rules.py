@@ -59,8 +59,8 @@ def ema_cross_sweep(series: Series, params: list[tuple[str, int, int]], *,
                      for i, f, s in params])
     df = series.df.withColumn("_s", F.explode(sets)).select("*", "_s.*").drop("_s")
     s = Series(df, (*series.keys, "param_id"), series.max_rows, series.rows_per_chunk)
-    s = ind.add(s, ind.ema_mean_seeded_by("fast", max(p[1] for p in params), "ema_fast"),
-                ind.ema_mean_seeded_by("slow", max(p[2] for p in params), "ema_slow"), *also)
+    s = ind.add(s, ind.ema_mean_seeded_by("fast", "ema_fast"),
+                ind.ema_mean_seeded_by("slow", "ema_slow"), *also)
     ready = F.col("ema_fast").isNotNull() & F.col("ema_slow").isNotNull()
     up, none = F.col("ema_fast") > F.col("ema_slow"), F.lit(None).cast("double")
     return _emit(s, [(ready & up, "LONG", none, none), (ready & ~up, "SHORT", none, none)])

@@ -7,13 +7,12 @@ series are cut into chunks of ``rows_per_chunk`` positions:
 * ``windowed``  bounded frames: each chunk gets a copy of its neighbours' edge rows;
 * ``running``   prefix aggregates: local prefix per chunk, a prefix over one summary row per
                 chunk, and an equi join that adds the carry;
-* ``kernel``    recurrences with fading memory: each chunk is led in by enough earlier rows
-                for the discarded weight to fall below the smallest double.
+* ``kernel``    smoothing recurrences: each chunk continues from the exact state before it,
+                composed from one summary row per chunk (see ``carry``).
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -22,16 +21,12 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tapeworks.operators.carry import SUMMARY, Chunk, carried, states_of, summary_rows
 from tapeworks.storage import materialize, materialize_counted
 
 ROWS_PER_CHUNK = 100_000
 
 
-def memory_rows(alpha: float) -> int:
-    """Rows after which (1-alpha)**rows underflows to zero."""
-    return 1 if alpha >= 1 else math.ceil(745.0 / -math.log1p(-alpha))
-
-
 @dataclass(frozen=True)
 class Series:
     df: DataFrame
@@ -101,25 +96,49 @@ class Series:
         )
         return self.with_df(joined.drop("_chunk", *[f"_c_{o}" for o in specs])).settle()
 
-    def kernel(self, fn: Callable[[pd.DataFrame], dict[str, object]], ddl: str, *,
-               lead_in: int) -> Series:
-        """Vectorised recurrence columns from an ordered pandas frame of one chunk."""
-        added = StructType.fromDDL(ddl)
-        schema = StructType([*self.df.schema.fields, *added.fields])
+    def kernel(self, fn: Callable[[Chunk], dict[str, object]], ddl: str, *, levels: int = 1) -> Series:
+        """Columns of smoothing recurrences; ``fn`` sees one chunk in order. A series of one chunk starts
+        from nothing; of several, each level of smoothings is summed up, carried and then continued."""
+        schema = StructType([*self.df.schema.fields, *StructType.fromDDL(ddl).fields])
+        names, keys = schema.names, list(self.keys)
         if not self.chunked:
-            src, part = self.df, list(self.keys)
-        else:
-            src, part = self._spread(lead_in, 0), [*self.keys, "_chunk"]
-        names = schema.names
+            def alone(pdf: pd.DataFrame) -> pd.DataFrame:
+                pdf = pdf.sort_values("k", ignore_index=True)
+                return pdf.assign(**fn(Chunk(pdf)))[names]
 
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("k", ignore_index=True)
-            pdf = pdf.assign(**fn(pdf))
-            if "_home" in pdf:
-                pdf = pdf[pdf["_home"]]
-            return pdf[names]
+            return self.with_df(self.df.groupBy(*keys).applyInPandas(alone, schema))
 
-        return self.with_df(src.groupBy(*part).applyInPandas(run, schema))
+        rows, part = self.settle()._spread(1, 0), [*keys, "_chunk"]
+        summary = StructType([*(rows.schema[c] for c in part), *StructType.fromDDL(SUMMARY).fields])
+
+        def chunk(pdf: pd.DataFrame, states: pd.DataFrame | None, upto: int | None) -> Chunk:
+            pdf = pdf.sort_values("k", ignore_index=True)
+            home = pdf["_home"].to_numpy(bool)
+            return Chunk(pdf[home].reset_index(drop=True), pdf[~home], {} if states is None else states_of(states), upto)
+
+        def summed(pdf: pd.DataFrame, states: pd.DataFrame | None, upto: int) -> pd.DataFrame:
+            c = chunk(pdf, states, upto)
+            if not len(c.rows):  # a copied edge row behind the end of a shorter series
+                return pd.DataFrame(columns=summary.names)
+            fn(c)
+            return summary_rows(c).assign(**{k: pdf[k].iloc[0] for k in part})[summary.names]
+
+        def resumed(pdf: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+            c = chunk(pdf, states, None)
+            return c.rows.assign(**fn(c))[names] if len(c.rows) else pd.DataFrame(columns=names)
+
+        def at_level(level: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+            return lambda pdf, own: summed(pdf, own, level)
+
+        states = None
+        for level in range(levels):
+            if states is None:
+                found = rows.groupBy(*part).applyInPandas(lambda pdf: summed(pdf, None, 0), summary)
+            else:
+                found = rows.groupBy(*part).cogroup(states.groupBy(*part)).applyInPandas(at_level(level), summary)
+            more = materialize(carried(found, keys, -(-self.max_rows // self.rows_per_chunk)))
+            states = more if states is None else states.union(more)
+        return self.with_df(rows.groupBy(*part).cogroup(states.groupBy(*part)).applyInPandas(resumed, schema))
 
 
 def index_series(df: DataFrame, keys: tuple[str, ...] = ("symbol", "timeframe"), *,

@@ -15,29 +15,50 @@ from tapeworks.plans.tables import (
 )
 from tapeworks.plans.trading import pwr_sql, walk_sql, zones_sql
 from tapeworks.storage import materialize, shared_dir
-from tapeworks.streaming import state
+from tapeworks.streaming import ordered, state
 from tapeworks.streaming.indicators import OUT, LiveIndicators
 from tapeworks.streaming.live import stream_bars
 
 
-def drain(spark, stream, *, mode: str = "append"):
-    """Run a stream over everything available into a Parquet table and return it."""
-    base = f"{shared_dir(spark).rstrip('/')}/tapeworks/stream-{uuid.uuid4().hex}"
-    schema = stream.schema
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", state.ROCKSDB)
+def new_folder(spark) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/tapeworks/stream-{uuid.uuid4().hex}"
+
+
+def _run(stream, base: str, mode: str) -> None:
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", state.ROCKSDB)
     q = (
         stream.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out")
         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start()
     )
     q.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{base}/out")
+
+
+def drain(spark, stream, *, mode: str = "append"):
+    """Run a stream over everything available into a Parquet table and return it."""
+    base = new_folder(spark)
+    _run(stream, base, mode)
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+def drain_in_order(spark, stream, keys, processor, schema, *, delay: str = "1 day"):
+    """Drain a stream through an event-time processor; a beat then releases the rows that still wait."""
+    base = new_folder(spark)
+    out = ordered.in_order(stream, keys, processor, schema, delay=delay, beats=ordered.beat_source(spark, f"{base}/beats"))
+    _run(out, base, "append")
+    ordered.send_beat(spark, f"{base}/beats")
+    _run(out, base, "append")
+    return spark.read.schema(out.schema).parquet(f"{base}/out")
+
+
+#: Files of a source that a batch takes at most, so that no batch holds a table.
+FILES = 64
 
 
 def _event_stream(spark, sf_dir):
     """The events table (one file or a folder of parts) as a stream."""
     schema = table(spark, sf_dir, "events").schema
     # a glob matches both; a plain path must be a folder for the file stream source
-    src = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(f"{sf_dir}/events.parquet*")
     return src.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -65,15 +86,14 @@ SELECT symbol, direction, ts, accepted FROM a""")
 def stream_repeat_suppression(spark, sf_dir):
     t = _event_stream(spark, sf_dir).select(
         F.col("event_type").alias("symbol"), (F.col("user_id") % 2).cast("string").alias("direction"), "ts")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", state.ROCKSDB)
-    return drain(spark, state.run_keyed(t, ["symbol", "direction"], state.RepeatGuard(), state.REPEAT_OUT))
+    return drain_in_order(spark, t, ["symbol", "direction"], state.RepeatGuard(), state.REPEAT_OUT)
 
 
 def _bar_stream(spark, df):
     """A written bar table as a stream."""
     stored = materialize(df)
     path = stored.inputFiles()[0].rsplit("/", 1)[0]
-    return spark.readStream.schema(stored.schema).parquet(path)
+    return spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", FILES).parquet(path)
 
 
 @query("stream_indicators", with_bars(60, ema_first_sql("e", 20), tr_sql(), rma_sql("a", 14), tsi_sql("t"), rma_sql("a10", 10),
@@ -88,7 +108,7 @@ LEFT JOIN bos ON bos.symbol = b.symbol AND bos.k = b.k LEFT JOIN znf ON znf.symb
 def stream_indicators(spark, sf_dir):
     """All incremental indicators over bars as they close; equal to the batch ones."""
     s = _bar_stream(spark, bars(spark, sf_dir, 60).select("symbol", "ts", "open", "high", "low", "close"))
-    return drain(spark, state.run_keyed(s, ["symbol"], LiveIndicators(), OUT))
+    return drain_in_order(spark, s, ["symbol"], LiveIndicators(), OUT)
 
 
 @query("stream_paper_trades", with_bars(60, *pwr_sql(), walk_sql("sg", "s.signal <> 'LONG'", "s.signal <> 'SHORT'"), select="""
@@ -99,7 +119,7 @@ def stream_paper_trades(spark, sf_dir):
     """Exits of the live position state machine over scanned bars."""
     s = rules.prev_week_range(index_series(bars(spark, sf_dir, 60), KEYS), max_risk_pips=1000.0, touch_buf_pips=1000.0)
     live = _bar_stream(spark, s.df.select("symbol", "ts", "high", "low", "close", "signal", "sl", "tp"))
-    ev = drain(spark, state.run_keyed(live, ["symbol"], state.PaperPosition(), state.PAPER_OUT))
+    ev = drain_in_order(spark, live, ["symbol"], state.PaperPosition(), state.PAPER_OUT)
     return ev.where(F.col("kind").startswith("EXIT")).select("symbol", "ts", "kind", "price", "pnl")
 
 
@@ -123,6 +143,6 @@ def stream_loss_governor(spark, sf_dir):
         (F.col("l_shipdate").cast("timestamp") + F.make_dt_interval(secs=n)).alias("ts"),
         (F.col("l_extendedprice") * (F.col("l_discount") - F.col("l_tax")) / 1000).alias("pnl_r"))
     live = _bar_stream(spark, fills)
-    ev = drain(spark, state.run_keyed(live, ["account", "trading_day"], state.LossGovernor(), state.RISK_OUT))
+    ev = drain_in_order(spark, live, ["account", "trading_day"], state.LossGovernor(), state.RISK_OUT)
     return ev.where("tripped").select("account", "trading_day", "realized_r", "trades")
 

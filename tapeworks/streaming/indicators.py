@@ -6,12 +6,10 @@ work per bar does not depend on the length of the series.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tapeworks.operators.zones import RESISTANCE, SUPPORT, ZoneBook
+from tapeworks.operators.zones import RESISTANCE, SUPPORT
+from tapeworks.streaming.ordered import InOrder
 
 OUT = (
     "symbol STRING, ts TIMESTAMP, ema DOUBLE, atr DOUBLE, tsi DOUBLE, tsi_signal DOUBLE, "
@@ -44,9 +42,46 @@ def _wilder(old: float | None, x: float, n: int, period: int) -> float:
     return _blend(old, x, 1.0 / min(n, period))
 
 
-class LiveIndicators(StatefulProcessor):
+class ZoneBook:
+    """Unbroken zones of one series as [price, kind, touches], oldest first."""
+
+    def __init__(self, merge: float, max_touches: int) -> None:
+        self.merge, self.max_touches = merge, max_touches
+        self.zones: list[list] = []
+
+    def step(self, high: float, low: float, close: float, pivot_high: float | None,
+             pivot_low: float | None) -> None:
+        kept = []
+        for z in self.zones:
+            price, kind = z[0], z[1]
+            if (close - price) * kind < 0:
+                continue
+            reached = low <= price + self.merge if kind == SUPPORT else high >= price - self.merge
+            z[2] += reached
+            kept.append(z)
+        self.zones = kept
+        for price, kind in ((pivot_high, RESISTANCE), (pivot_low, SUPPORT)):
+            if price is not None:
+                self._add(price, kind)
+
+    def _add(self, price: float, kind: int) -> None:
+        for z in self.zones:
+            if z[1] == kind and abs(z[0] - price) <= self.merge:
+                z[2] += 1
+                return
+        self.zones.append([price, kind, 1])
+
+    def fresh(self, kind: int) -> list[float]:
+        return [z[0] for z in self.zones if z[1] == kind and z[2] <= self.max_touches]
+
+
+class LiveIndicators(InOrder):
     """Input: symbol, ts, open, high, low, close of closed bars. Output: ``OUT``."""
 
+    STATE = ", ".join(f"{k} {t}" for k, t in _STATE.items())
+    FIRST = tuple((dict.fromkeys(_STATE) | _START).values())
+    bucket_seconds = 30 * 86_400
+
     def __init__(self, *, ema: int = 20, atr: int = 14, tsi: tuple[int, int, int] = (25, 13, 13),
                  st: tuple[int, float] = (10, 3.0), block_bars: int = 20, pivot: tuple[int, int] = (5, 5),
                  zone_merge: float = 5.0, max_touches: int = 3) -> None:
@@ -55,21 +90,13 @@ class LiveIndicators(StatefulProcessor):
         self.zone_merge, self.max_touches = zone_merge, max_touches
         self.keep = max(block_bars, sum(pivot))
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("bar", ", ".join(f"{k} {t}" for k, t in _STATE.items()))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        s = dict.fromkeys(_STATE) | _START
-        if self.state.exists():
-            s = dict(zip(_STATE, self.state.get()))
-            s |= {k: list(s[k]) for k, t in _STATE.items() if t.startswith("ARRAY")}
-        bars = pd.concat(list(rows)).sort_values("ts", kind="stable")
-        out = [(key[0], r.ts, *self.step(s, r)) for r in bars.itertuples()]
-        self.state.update(tuple(s[k] for k in _STATE))
-        names = [c.split()[0] for c in OUT.split(", ")]
-        df = pd.DataFrame(out, columns=names)
+    def advance(self, key, state, rows):
+        s = dict(zip(_STATE, state))
+        s |= {k: list(s[k]) for k, t in _STATE.items() if t.startswith("ARRAY")}
+        out = [(key[0], r.ts, *self.step(s, r)) for r in rows.itertuples()]
+        df = pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
         kinds = {c.split()[0]: "float64" for c in OUT.split(", ") if c.endswith("DOUBLE")}
-        yield df.astype(kinds | {"st_dir": "Int32"})
+        return tuple(s[k] for k in _STATE), df.astype(kinds | {"st_dir": "Int32"})
 
     def step(self, s: dict, r) -> tuple:
         """Advance every indicator by one bar."""

@@ -1,17 +1,21 @@
 """Keyed state processors for live series (transformWithStateInPandas).
 
-Each processor holds one small state row per key, so state grows with the number of series
-and not with their length. They need the RocksDB state store provider.
+Each processor holds one small state row per key, and rows that the watermark hasn't passed yet (see
+``ordered``), so state grows with the number of series and not with their length. They need the
+RocksDB state store provider.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tapeworks.streaming.ordered import InOrder
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 PAPER_OUT = (
@@ -22,25 +26,19 @@ RISK_OUT = "account STRING, ts TIMESTAMP, trading_day STRING, realized_r DOUBLE,
 STALL_OUT = "symbol STRING, last_tick TIMESTAMP, stalled_at TIMESTAMP"
 
 
-def _ordered(rows: Iterator[pd.DataFrame], by: str = "ts") -> pd.DataFrame:
-    """A micro-batch of one key in time order (a live key brings few rows per batch)."""
-    parts = list(rows)
-    return pd.concat(parts).sort_values(by, kind="stable") if parts else pd.DataFrame()
-
-
-class PaperPosition(StatefulProcessor):
+class PaperPosition(InOrder):
     """Position state machine: level breaches first, then entry, hold, or exit before a flip.
 
     Input: symbol, ts, high, low, close, signal, sl, tp.
     """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.pos = handle.getValueState("pos", "side INT, entry DOUBLE, sl DOUBLE, tp DOUBLE, total DOUBLE")
+    STATE = "side INT, entry DOUBLE, sl DOUBLE, tp DOUBLE, total DOUBLE"
+    FIRST = (0, None, None, None, 0.0)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        side, entry, sl, tp, total = self.pos.get() if self.pos.exists() else (0, None, None, None, 0.0)
+    def advance(self, key, state, rows):
+        side, entry, sl, tp, total = state
         out = []
-        for r in _ordered(rows).itertuples():
+        for r in rows.itertuples():
             want = {"LONG": 1, "SHORT": -1}.get(r.signal, 0)
             pnl = None
             if side:
@@ -55,56 +53,49 @@ class PaperPosition(StatefulProcessor):
                     side, entry, sl, tp = 0, None, None, None
             elif want:
                 kind = "ENTRY_LONG" if want > 0 else "ENTRY_SHORT"
-                side, entry = want, r.close
+                side, entry = want, float(r.close)
                 sl = None if pd.isna(r.sl) else float(r.sl)
                 tp = None if pd.isna(r.tp) else float(r.tp)
             else:
                 kind = "NO_CHANGE"
             out.append((key[0], r.ts, kind, r.close, pnl, total))
-        self.pos.update((side, entry, sl, tp, total))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "kind", "price", "pnl", "cumulative_pnl"])
-
-    def close(self) -> None:
-        pass
+        return (side, entry, sl, tp, float(total)), pd.DataFrame(out, columns=["symbol", "ts", "kind", "price", "pnl", "cumulative_pnl"])
 
 
-class RepeatGuard(StatefulProcessor):
+class RepeatGuard(InOrder):
     """Accept a (symbol, direction) unless its last accepted row is younger than the window."""
 
-    def __init__(self, window_seconds: int = 3600) -> None:
-        self.width = pd.Timedelta(seconds=window_seconds)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "ts TIMESTAMP")
+    STATE = "free_us BIGINT"
+    FIRST = (None,)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = pd.Timestamp(self.last.get()[0]) if self.last.exists() else None
-        out = []
-        for ts in _ordered(rows)["ts"]:
-            ok = last is None or ts - last >= self.width
-            last = ts if ok else last
-            out.append((*key, ts, ok))
-        if last is not None:
-            self.last.update((last.to_pydatetime(),))
-        yield pd.DataFrame(out, columns=["symbol", "direction", "ts", "accepted"])
+    def __init__(self, window_seconds: int = 3600) -> None:
+        self.width = window_seconds * 1_000_000
 
-    def close(self) -> None:
-        pass
+    def advance(self, key, state, rows):
+        ts = rows["event_us"].to_numpy()
+        free = int(ts[0]) if state[0] is None else state[0]
+        ok, i = np.zeros(len(ts), bool), int(np.searchsorted(ts, free))
+        while i < len(ts):
+            ok[i] = True
+            free = int(ts[i]) + self.width
+            i = int(np.searchsorted(ts, free))
+        out = pd.DataFrame({"symbol": key[0], "direction": key[1], "ts": rows["ts"], "accepted": ok})
+        return (free,), out
 
 
-class LossGovernor(StatefulProcessor):
+class LossGovernor(InOrder):
     """Latching daily halt. Input: account, ts, trading_day, pnl_r in event order."""
 
+    STATE = "day STRING, r DOUBLE, trades INT, halted BOOLEAN"
+    FIRST = ("", 0.0, 0, False)
+
     def __init__(self, max_loss_r: float = 3.0, max_trades: int = 6) -> None:
         self.max_loss_r, self.max_trades = max_loss_r, max_trades
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.day = handle.getValueState("day", "day STRING, r DOUBLE, trades INT, halted BOOLEAN")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        day, r, trades, halted = self.day.get() if self.day.exists() else ("", 0.0, 0, False)
+    def advance(self, key, state, rows):
+        day, r, trades, halted = state
         out = []
-        for row in _ordered(rows).itertuples():
+        for row in rows.itertuples():
             if row.trading_day != day:
                 day, r, trades, halted = row.trading_day, 0.0, 0, False
             tripped = False
@@ -112,12 +103,8 @@ class LossGovernor(StatefulProcessor):
                 r, trades = r + row.pnl_r, trades + 1
                 tripped = halted = r <= -self.max_loss_r or trades >= self.max_trades
             out.append((key[0], row.ts, day, r, trades, halted, tripped))
-        self.day.update((day, float(r), int(trades), bool(halted)))
-        yield pd.DataFrame(
-            out, columns=["account", "ts", "trading_day", "realized_r", "trades", "halted", "tripped"])
-
-    def close(self) -> None:
-        pass
+        names = ["account", "ts", "trading_day", "realized_r", "trades", "halted", "tripped"]
+        return (day, float(r), int(trades), bool(halted)), pd.DataFrame(out, columns=names)
 
 
 class StallWatch(StatefulProcessor):
@@ -152,6 +139,6 @@ class StallWatch(StatefulProcessor):
 
 def run_keyed(df: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, *,
               time_mode: str = "None") -> DataFrame:
-    """Attach a processor to a stream."""
+    """Attach a processor that needs no order to a stream."""
     return df.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=time_mode)

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from tapeworks.functions.costs import CostTerms
 from tapeworks.operators import backtest as bt
+from tapeworks.operators import carry
 from tapeworks.operators import indicators as ind
 from tapeworks.operators import rules
-from tapeworks.operators.series import index_series, memory_rows
+from tapeworks.operators.series import index_series
 from tapeworks.operators.zones import zone_proximity
 
 KEYS = ("symbol", "timeframe")
@@ -53,13 +54,62 @@ def test_recurrences_match_folds(series, data):
             assert close_to(g[3], t[i] and t[i][0]) and close_to(g[4], t[i] and t[i][1]), i
 
 
-def test_truncated_lead_in_is_exact(spark):
-    rows = walk(4000, 9, "L")
-    s = index_series(bars(spark, rows), KEYS, rows_per_chunk=300)
-    assert memory_rows(2 / 3) < 1000
-    got = rows_of(ind.add(s, ind.ema(2, "e")), "L", "e")
-    want = fold_ema([r[6] for r in rows], 2)
-    assert all(close_to(g[0], w, 1e-12) for g, w in zip(got, want))
+def _hard(n, seed):
+    """Bars with a column that starts late and has long gaps, and a close with long flat stretches."""
+    rows = walk(n, seed, "H")
+    out, flat = [], None
+    for i, r in enumerate(rows):
+        if 900 <= i < 1100 or 1500 <= i < 1560 or 2000 <= i < n - 300:
+            flat = flat or r[3]
+            r = (*r[:3], flat, flat, flat, flat)
+        else:
+            flat = None
+        known = None if i < 1300 or 1700 <= i < 1950 or i % 7 == 0 else r[6]
+        out.append((*r, known))
+    return out
+
+
+@pytest.fixture(scope="module")
+def hard(spark):
+    rows = [(*r, "x") for r in _hard(14_000, 5)]
+    schema = "symbol STRING, timeframe STRING, ts TIMESTAMP, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, late DOUBLE, note STRING"
+    return spark.createDataFrame(rows, schema).repartition(4).cache()
+
+
+def _recurrences(frame, chunk):
+    s = index_series(frame, KEYS, rows_per_chunk=chunk)
+    parts = (ind.rma(14, "r", "late"), ind.ema(20, "e", "late"), ind.ema_mean_seeded(200, "m", "late"), ind.tsi(), ind.atr(14), ind.cost_atr(60, 0.5))
+    cols = ("r", "e", "m", "tsi", "tsi_signal", "atr", "cost_atr")
+    return rows_of(ind.add(s, *parts), "H", *cols)
+
+
+@pytest.mark.parametrize("chunk, fan", [(50, 1000), (50, 7), (1500, 1000), (1500, 3), (13_999, 1000)])
+def test_recurrences_are_exact_at_every_length(hard, monkeypatch, chunk, fan):
+    monkeypatch.setattr(carry, "FAN", fan)
+    whole, cut = _recurrences(hard, 1_000_000), _recurrences(hard, chunk)
+    assert len(whole) == len(cut) == 14_000
+    for i, (w, c) in enumerate(zip(whole, cut)):
+        for x, y in zip(w, c):
+            assert close_to(x, y, 1e-9), (i, w, c)
+
+
+def test_whole_series_agree_with_folds_over_known_values(hard):
+    rows = _hard(14_000, 5)
+    known = [r[7] for r in rows]
+    got = _recurrences(hard, 1_000_000)
+    at = [i for i, x in enumerate(known) if x is not None]
+    want_r, want_e = fold_rma([known[i] for i in at], 14), fold_ema(known, 20)
+    t = fold_tsi([r[6] for r in rows], 25, 13, 13)
+    by_row = dict(zip(at, want_r))
+    for i, g in enumerate(got):
+        assert close_to(g[0], by_row.get(i)) and close_to(g[1], want_e[i]), i
+        if i < 9000:  # beyond, the flat stretch has faded below what doubles hold
+            assert close_to(g[3], t[i] and t[i][0]) and close_to(g[4], t[i] and t[i][1]), i
+
+
+def test_faded_momentum_is_unknown_until_prices_move(hard):
+    got = _recurrences(hard, 1500)
+    assert all(g[3] is None for g in got[13_000:13_700]) and all(g[3] is not None for g in got[13_701:])
 
 
 def test_supertrend_matches_fold(series, data):
@@ -105,6 +155,37 @@ def test_chunked_equals_single(frame, build, cols):
     assert table(one) == table(cut)
 
 
+@pytest.fixture(scope="module")
+def one_hot(spark):
+    """One key with nearly all rows; prices drift, crash and return, so zones live long and break together."""
+    rows = walk(1100, 8, "Z", scale=0.8)
+    moved = []
+    for i, (*head, o, h, lo, c) in enumerate(rows):
+        by = 0.04 * i if i < 600 else 24 - 30 * (i > 750) + 25 * (i > 950)
+        moved.append((*head, o + by, h + by, lo + by, c + by))
+    return bars(spark, moved + walk(90, 4, "Y")).repartition(3).cache()
+
+
+ZONE_COLS = ("near_support", "near_resistance", "n_support", "n_resistance")
+
+
+@pytest.mark.parametrize("left, merge, touches", [(2, 20.0, 3), (1, 60.0, 1), (3, 5.0, 2)])
+def test_zones_match_a_bar_by_bar_book(one_hot, left, merge, touches):
+    from tapeworks.operators.zones import RESISTANCE, SUPPORT
+    from tapeworks.streaming.indicators import ZoneBook
+
+    how = {"pip_size": 0.1, "left": left, "right": left, "merge_pips": merge, "max_touches": touches, "gate_pips": 40.0}
+    s = index_series(one_hot, KEYS)
+    pivots = ind.swing_pivots(s, left, left).df.where("symbol = 'Z'").orderBy("k").select("high", "low", "close", "pivot_high", "pivot_low").collect()
+    book, want = ZoneBook(merge * 0.1, touches), []
+    for r in pivots:
+        book.step(*r)
+        sides = [book.fresh(SUPPORT), book.fresh(RESISTANCE)]
+        want.append((*(any(r.close - 4.0 <= p <= r.close + 4.0 for p in z) for z in sides), *(len(z) for z in sides)))
+    for block in (7, 1_000_000) if left == 2 else (100, 400):
+        assert rows_of(zone_proximity(s, **how, block=block), "Z", *ZONE_COLS) == want, block
+
+
 def _loop_trades(rows, sig):
     """Next-open engine, one bar at a time."""
     pos, out, n = None, [], len(rows)

@@ -1,13 +1,14 @@
 """State machines and sinks on small streams."""
 
 import datetime as dt
+import random
 import time
 
 import pytest
 from helpers import T0
 from pyspark.sql import functions as F
 
-from tapeworks.plans.streams import drain
+from tapeworks.plans.streams import drain, drain_in_order
 from tapeworks.sources import tables
 from tapeworks.streaming import live, state
 
@@ -29,9 +30,8 @@ def test_paper_position_events(spark, tmp_path):
 
     frames = [[row(0, 10, 10, 10, "FLAT"), row(1, 10, 10, 10, "LONG", 9.0, 12.0)], [row(2, 11, 10, 10.5, "LONG"), row(3, 11, 8.9, 9.5, "LONG")],
               [row(4, 10, 9, 9.5, "SHORT", 11.0, 8.0), row(5, 10, 9, 9.2, "LONG"), row(6, 10, 9, 9.3, "LONG", 9.0, 12.0), row(7, 12.5, 8.5, 11.0, "LONG")]]
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", state.ROCKSDB)
     s = feed(spark, str(tmp_path / "in"), [[tuple(float(v) if isinstance(v, int) else v for v in r) for r in f] for f in frames], PAPER)
-    out = drain(spark, state.run_keyed(s, ["symbol"], state.PaperPosition(), state.PAPER_OUT)).orderBy("ts").collect()
+    out = drain_in_order(spark, s, ["symbol"], state.PaperPosition(), state.PAPER_OUT).orderBy("ts").collect()
     assert [r["kind"] for r in out] == ["NO_CHANGE", "ENTRY_LONG", "HOLD", "EXIT_SL", "ENTRY_SHORT", "EXIT_SIGNAL", "ENTRY_LONG", "EXIT_SL"]
     assert [round(r["pnl"], 6) for r in out if r["pnl"] is not None] == [-0.5, 0.3, 1.7]
     assert out[-1]["cumulative_pnl"] == pytest.approx(1.5)
@@ -70,6 +70,45 @@ def test_alerts_once(spark, tmp_path):
     assert drain(spark, live.alerts_once(s)).count() == 2
 
 
+REPEATS = "symbol STRING, direction STRING, ts TIMESTAMP"
+
+
+def _accepted(rows, width):
+    last, out = {}, []
+    for s, d, ts in sorted(rows):
+        ok = (s, d) not in last or ts - last[s, d] >= width
+        if ok:
+            last[s, d] = ts
+        out.append((s, d, ts, ok))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("delay, disorder", [("20000 days", None), ("5 hours", 4)])
+def test_order_of_arrival_changes_nothing(spark, tmp_path, delay, disorder):
+    """Rows cut into files in any order that the delay allows, one file a batch."""
+    rng = random.Random(7)
+    rows = [(rng.choice("AB"), rng.choice(["L", "S"]), T0 + dt.timedelta(minutes=rng.randrange(60 * 24 * 9), seconds=rng.randrange(60))) for _ in range(900)]
+    if disorder is None:
+        rng.shuffle(rows)
+    else:  # every row at most four hours late
+        rows.sort(key=lambda r: r[2] + dt.timedelta(hours=rng.random() * disorder))
+    frames = [rows[i : i + 100] for i in range(0, 900, 100)]
+    s = feed(spark, str(tmp_path / "in"), frames, REPEATS)
+    guard = state.RepeatGuard(3600)
+    guard.bucket_seconds = 7200
+    got = drain_in_order(spark, s, ["symbol", "direction"], guard, state.REPEAT_OUT, delay=delay).collect()
+    assert sorted(map(tuple, got)) == _accepted(rows, dt.timedelta(hours=1))
+
+
+def test_rows_wait_for_the_watermark(spark, tmp_path):
+    rows = [[("A", "L", T0 + dt.timedelta(hours=h))] for h in (0, 5, 3, 9, 2)]
+    s = feed(spark, str(tmp_path / "in"), rows, REPEATS)
+    from tapeworks.streaming.ordered import in_order
+    got = drain(spark, in_order(s, ["symbol", "direction"], state.RepeatGuard(), state.REPEAT_OUT, delay="1 hour"))
+    # hour 3 came before hour 4 was released, hour 2 after it; hour 9 still waits
+    assert sorted(r["ts"] for r in got.collect()) == [T0 + dt.timedelta(hours=h) for h in (0, 3, 5)]
+
+
 def test_stall_is_reported(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", state.ROCKSDB)
     ddl = "symbol STRING, ts TIMESTAMP"
@@ -106,9 +145,10 @@ def test_live_indicators_across_batches(spark, tmp_path):
     rows = walk(400, 6, "X")
     ddl = "symbol STRING, ts TIMESTAMP, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE"
     cut = [(r[0], *r[2:]) for r in rows]
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", state.ROCKSDB)
-    s = feed(spark, str(tmp_path / "in"), [cut[:37], cut[37:220], cut[220:]], ddl)
-    got = drain(spark, state.run_keyed(s, ["symbol"], LiveIndicators(), OUT)).orderBy("ts").collect()
+    mixed = cut[:]
+    random.Random(3).shuffle(mixed)
+    s = feed(spark, str(tmp_path / "in"), [mixed[:37], mixed[37:220], mixed[220:]], ddl)
+    got = drain_in_order(spark, s, ["symbol"], LiveIndicators(), OUT, delay="30 days").orderBy("ts").collect()
     b = index_series(bars(spark, rows), ("symbol", "timeframe"))
     b = ind.break_of_structure(ind.supertrend(ind.add(b, ind.ema(20, "ema"), ind.tsi(), ind.atr(14))))
     want = b.df.orderBy("ts").collect()

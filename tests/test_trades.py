@@ -155,18 +155,21 @@ def test_recipients_equal_brute_force(spark):
         assert (r["immediate"], r["delayed"]) == (mine.count(0), mine.count(1800))
 
 
-def test_repeats_equal_fold(spark):
+@pytest.mark.parametrize("chunk", [100_000, 500, 40, 3])
+@pytest.mark.parametrize("pauses", [(5, 60, 600, 4000), (1, 2, 70), (600,)], ids=["pauses", "never pauses", "even"])
+def test_repeats_equal_fold(spark, chunk, pauses):
+    n = 3000 if chunk > 3 else 150
     rng, t, rows = random.Random(8), T0, []
-    for i in range(3000):
-        t += dt.timedelta(seconds=rng.choice([5, 60, 600, 4000]))
-        rows.append((rng.choice("AB"), t, i))
+    for i in range(n):
+        t += dt.timedelta(seconds=rng.choice(pauses))
+        rows.append((rng.choice("AAAAB"), t, i))
     last, want = {}, {}
     for s, ts, i in rows:
         want[i] = s not in last or (ts - last[s]).total_seconds() >= 3600
         if want[i]:
             last[s] = ts
     df = spark.createDataFrame(rows, "symbol STRING, ts TIMESTAMP, i BIGINT").repartition(5)
-    got = {r["i"]: r["accepted"] for r in risk.suppress_repeats(df, ["symbol"]).collect()}
+    got = {r["i"]: r["accepted"] for r in risk.suppress_repeats(df, ["symbol"], rows_per_chunk=chunk).collect()}
     assert got == want
 
 
