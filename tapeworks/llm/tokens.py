@@ -17,10 +17,10 @@ from functools import lru_cache
 
 import numpy as np
 
-from .text import SPACE, Words, column, row_blocks, span_codes
+from .text import SPACE, U64, Words, column, row_blocks, span_codes
 
 #: Pieces that a worker keeps, bytes of text handled at once, and bytes of a string for the library.
-KEEP, BLOCK, STRING = 250_000, 1 << 21, 1 << 15
+KEEP, BLOCK, STRING = 1_000_000, 1 << 21, 1 << 15
 
 
 def default_path() -> str:
@@ -71,57 +71,65 @@ class Encoder:
             file = json.load(f)
         self.added = [t["content"].encode() for t in file.get("added_tokens", [])]
         self.splits = file.get("pre_tokenizer") == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-        self.number = {}
-        self._forget([])
+        self._start(np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
 
-    def _forget(self, needed: list[int]) -> None:
+    def _start(self, codes: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
+        """The store: sorted codes, and for each the place and number of its ids."""
+        self.codes, self.count, self.place, self.ids, self.used = codes, count, np.cumsum(count) - count, ids, len(ids)
+
+    def _find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where codes are or would be, and whether they are there."""
+        at = np.searchsorted(self.codes, codes)
+        return at, self.codes[np.minimum(at, len(self.codes) - 1)] == codes if len(self.codes) else np.zeros(len(codes), bool)
+
+    def _forget(self, needed: np.ndarray) -> None:
         """Drop all pieces but the known ones among `needed`, which are the common ones."""
-        kept = [c for c in needed if c in self.number]
-        if kept:
-            place, count = self.spans[np.array([self.number[c] for c in kept])].T
-            ids = self._gather(place, count)
-        self.number, self.ids, self.spans, self.used = {}, np.zeros(1 << 16, np.uint32), np.zeros((1 << 16, 2), np.int64), 0
-        if kept:
-            self._keep(kept, ids, count)
+        at, hit = self._find(needed)
+        at = at[hit]
+        self._start(self.codes[at], self.count[at], self._gather(self.place[at], self.count[at]))
 
     def _gather(self, place: np.ndarray, count: np.ndarray) -> np.ndarray:
         ends = np.cumsum(count)
-        return self.ids[np.repeat(place - (ends - count), count) + np.arange(ends[-1])]
-
-    def _keep(self, codes: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        n, k = len(self.number), len(codes)
-        while n + k > len(self.spans):
-            self.spans = np.concatenate((self.spans, np.zeros_like(self.spans)))
+        return self.ids[np.repeat(place - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def _keep(self, codes: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids[: self.used], np.zeros(self.used + len(ids), np.uint32)))
         self.ids[self.used : self.used + len(ids)] = ids
-        self.spans[n : n + k, 0], self.spans[n : n + k, 1] = self.used + np.cumsum(sizes) - sizes, sizes
-        self.number.update(zip(codes, range(n, n + k), strict=True))
+        place = self.used + np.cumsum(count) - count
         self.used += len(ids)
+        codes = np.concatenate((self.codes, codes))
+        order = np.argsort(codes, kind="stable")  # runs that are sorted already are merged
+        self.codes, self.count, self.place = codes[order], np.concatenate((self.count, count))[order], np.concatenate((self.place, place))[order]
 
     def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
-    def _learn(self, codes: list[int], texts: list[bytes]) -> None:
+    def _learn(self, codes: np.ndarray, texts: list[bytes]) -> None:
         whole = [t[0] < 33 and SPACE[t[0]] and not SPACE[t[-1]] and (t[-1] < 128 or not _WIDE_SPACE.search(t)) for t in texts] if self.splits else [False] * len(texts)
-        joined = [(c, t) for c, t, w in zip(codes, texts, whole, strict=True) if w]
-        alone = [(c, t) for c, t, w in zip(codes, texts, whole, strict=True) if not w]
+        joined, alone = [i for i, w in enumerate(whole) if w], [i for i, w in enumerate(whole) if not w]
         strings, lo, size = [], 0, 0
-        for i, (_, t) in enumerate(joined):
-            size += len(t)
-            if size > STRING or i + 1 == len(joined):
-                strings.append(joined[lo : i + 1])
-                lo, size = i + 1, 0
-        for group, ids in zip(strings, self._encode([b"".join(t for _, t in g) for g in strings]), strict=True):
-            reach, ends = np.cumsum(self.width[ids]), np.cumsum([len(t) for _, t in group])
+        for n, i in enumerate(joined):
+            size += len(texts[i])
+            if size > STRING or n + 1 == len(joined):
+                strings.append(joined[lo : n + 1])
+                lo, size = n + 1, 0
+        order, ids, counts = [], [], []
+        for group, found in zip(strings, self._encode([b"".join(texts[i] for i in g) for g in strings]), strict=True):
+            reach, ends = np.cumsum(self.width[found]), np.cumsum([len(texts[i]) for i in group])
             last = np.searchsorted(reach, ends)
-            if len(ids) and last[-1] == len(ids) - 1 and (reach[last] == ends).all():
-                self._keep([c for c, _ in group], ids, np.diff(last, prepend=-1))
+            if len(found) and last[-1] == len(found) - 1 and (reach[last] == ends).all():
+                order += group
+                ids.append(found)
+                counts.append(np.diff(last, prepend=-1))
             else:
                 alone += group
         for lo in range(0, len(alone), 4096):
-            some = self._encode([t for _, t in alone[lo : lo + 4096]])
-            self._keep([c for c, _ in alone[lo : lo + 4096]], np.concatenate(some), np.array([len(x) for x in some]))
+            some = self._encode([texts[i] for i in alone[lo : lo + 4096]])
+            order += alone[lo : lo + 4096]
+            ids += some
+            counts.append(np.array([len(x) for x in some]))
+        self._keep(codes[order], np.concatenate(ids), np.concatenate(counts))
 
     def rows(self, texts) -> Iterator[bytes]:
         """Ids of each text of an Arrow column, as bytes; null is empty."""
@@ -134,14 +142,14 @@ class Encoder:
             return [b""] * (len(at) - 1)
         start, end = pieces(buf, at, self.added) if self.splits else (np.unique(at[:-1][at[:-1] < at[1:]]), np.unique(at[1:][at[:-1] < at[1:]]))
         codes, first, where = np.unique(span_codes(buf, start, end), return_index=True, return_inverse=True)
-        known = codes.tolist()
-        if len(self.number) > KEEP:
-            self._forget(known)
-        new = [i for i, c in enumerate(known) if c not in self.number]
-        if new:
+        if len(self.codes) > KEEP:
+            self._forget(codes)
+        new = np.flatnonzero(~self._find(codes)[1])
+        if len(new):
             raw = buf.tobytes()
-            self._learn([known[i] for i in new], [raw[start[first[i]] : end[first[i]]] for i in new])
-        place, count = self.spans[np.array([self.number[c] for c in known])][where].T
+            self._learn(codes[new], [raw[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
+        slot = self._find(codes)[0][where]
+        place, count = self.place[slot], self.count[slot]
         reach = np.concatenate(([0], np.cumsum(count)))
         ids = self._gather(place, count).astype("<u4").tobytes()
         cut = (4 * reach[np.searchsorted(start, at)]).tolist()
