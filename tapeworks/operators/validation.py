@@ -127,32 +127,57 @@ def bootstrap_statistic(series: Series, plan: DataFrame, value: str, stat: Colum
     return bootstrap_rows(series, plan, value).groupBy(*series.keys, "resample").agg(stat.alias("stat"))
 
 
+def block_pieces(series: Series, lengths: DataFrame, value: str) -> DataFrame:
+    """Summaries of which any block of a wanted length is one or two: (keys, len, k, side, summary).
+
+    For each length the series is cut into segments of it. Side 0 at k sums up k to the end of its
+    segment, side 1 the segment's beginning to k. A block is the first at its start and the second
+    at its end, so n rows a length serve any number of blocks.
+    """
+    keys, p = list(series.keys), F.col("_p")
+    rows = series.df.select(*keys, "k", F.col(value).alias("_p")).join(lengths.select(*keys, "len").distinct(), keys)
+    part = [*keys, "len", F.floor(F.col("k") / F.col("len"))]
+    fwd = Window.partitionBy(*part).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*part).orderBy("k").rowsBetween(0, Window.unboundedFollowing)
+    rows = rows.withColumn("_cum", F.sum("_p").over(fwd))
+    rows = rows.withColumns({"_peak": F.max("_cum").over(fwd), "_low": F.min("_cum").over(ahead)})
+    base = F.col("_cum") - p
+
+    def side(w, drop: Column, lead: Column, shift: Column) -> dict[str, Column]:
+        mean = F.avg("_p").over(w)
+        return {
+            "n": F.count("_p").over(w), "total": F.sum("_p").over(w), "wins": F.sum((p > 0).cast("long")).over(w),
+            "gains": F.sum(F.when(p > 0, p).otherwise(0.0)).over(w), "losses": F.sum(F.when(p < 0, -p).otherwise(0.0)).over(w),
+            "mean": mean, "var": F.greatest(F.avg(p * p).over(w) - mean * mean, F.lit(0.0)),
+            "top": F.max("_cum").over(w) - shift, "bottom": F.min("_cum").over(w) - shift,
+            "dd": F.max(drop).over(w), "dd_peak": F.max_by(lead, drop).over(w) - shift}
+
+    both = (
+        side(ahead, F.col("_cum") - F.col("_low"), F.col("_cum"), base),
+        side(fwd, F.col("_peak") - F.col("_cum"), F.col("_peak"), F.lit(0.0)))
+    rows = rows.withColumns({f"_{no}_{name}": c for no, own in enumerate(both) for name, c in own.items()})
+    sides = F.array(*(F.struct(F.lit(no).alias("side"), *(F.col(f"_{no}_{name}").alias(name) for name in own)) for no, own in enumerate(both)))
+    return rows.select(*keys, "len", "k", F.explode(sides).alias("_s")).select(*keys, "len", "k", "_s.*")
+
+
 def bootstrap_paths(series: Series, plan: DataFrame, value: str) -> DataFrame:
-    """Mean and zero-peak drawdown per resample from one summary per distinct block.
+    """Mean and zero-peak drawdown per resample, each distinct block being two lookups.
 
-    Distinct (start, length) pairs number at most 2n, so n*sqrt(n) rows are touched instead of
-    n*n_resamples; resamples then merge about sqrt(n) summaries each.
+    A plan has two lengths a series at most, so it costs two summaries for each row and length, and
+    one for each drawn block.
     """
 
-    from tapeworks.operators.metrics import summarize
+    from tapeworks.operators.metrics import fold_level, summarize
 
     keys = list(series.keys)
     pair = [*keys, "start", "len"]
-    wanted = plan.select(*pair).distinct().withColumn(
-        "k", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)))
-    rows = wanted.join(series.df.select(*keys, "k", F.col(value).alias("_p")), [*keys, "k"])
-    run = Window.partitionBy(*pair).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_cum", F.sum("_p").over(run))
-    rows = rows.withColumn("_peak", F.max("_cum").over(run))
-    p = F.col("_p")
-    blocks = rows.groupBy(*pair).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(p).alias("total"), F.count_if(p > 0).alias("wins"),
-        F.sum(F.when(p > 0, p).otherwise(0.0)).alias("gains"),
-        F.sum(F.when(p < 0, -p).otherwise(0.0)).alias("losses"),
-        F.avg(p).alias("mean"), F.var_pop(p).alias("var"),
-        F.max("_cum").alias("top"), F.min("_cum").alias("bottom"),
-        F.max(F.col("_peak") - F.col("_cum")).alias("dd"),
-        F.max_by("_peak", F.col("_peak") - F.col("_cum")).alias("dd_peak"))
+    wanted = plan.select(*pair).distinct()
+    ends = F.array(
+        F.struct(F.lit(0).alias("side"), F.col("start").alias("k")),
+        F.when(F.col("start") % F.col("len") != 0, F.struct(F.lit(1).alias("side"), (F.col("start") + F.col("len") - 1).alias("k"))))
+    found = wanted.withColumn("_e", F.explode(ends)).where("_e IS NOT NULL").select(*pair, "_e.side", "_e.k")
+    pieces = found.join(block_pieces(series, wanted, value), [*keys, "len", "k", "side"]).drop("k")
+    blocks = fold_level(pieces.withColumnRenamed("side", "_piece"), pair, "_piece")
     parts = plan.drop("n").join(blocks, pair).drop("start", "len").withColumnRenamed("block_no", "_c0")
     out = summarize(parts, [*keys, "resample"], from_zero=True)
     return out.select(*keys, "resample", F.col("mean").alias("mean_pnl"), F.col("max_dd").alias("max_drawdown"))

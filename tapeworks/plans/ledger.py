@@ -32,9 +32,20 @@ def chunk() -> list:
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily pnl per run: the whole ledger, combined map-side to one row per run and day."""
+    """Daily pnl and number of trades per run: the whole ledger, combined map-side to one row per run and day."""
     return ledger(spark, sf_dir).groupBy("run", F.to_date("l_shipdate").alias("day")).agg(
-        F.round(F.sum("pnl"), 4).alias("pnl"))
+        F.round(F.sum("pnl"), 4).alias("pnl"), F.count(F.lit(1)).alias("trades"))
+
+
+def _per_trade():
+    """Mean pnl of the trades of grouped days."""
+    return F.sum("pnl") / F.sum("trades")
+
+
+def trade_series(spark: SparkSession, sf_dir: str):
+    """The trades of each run in order."""
+    led = ledger(spark, sf_dir).select("run", "l_shipdate", F.struct(*ORDER).alias("order"), "pnl")
+    return index_series(led, ("run",), order="l_shipdate", tie="order")
 
 
 _ORD = ", ".join(ORDER)
@@ -45,7 +56,7 @@ eq AS (SELECT *, sum(pnl) OVER (PARTITION BY run ORDER BY {_ORD}) AS eqv FROM le
 pk AS (SELECT *, max(eqv) OVER (PARTITION BY run ORDER BY {_ORD}) AS peak FROM eq)"""
 DAILY_SQL = """
 daily AS (SELECT l_returnflag AS run, CAST(l_shipdate AS DATE) AS day,
-    round(sum(l_extendedprice * (l_discount - l_tax)), 4) AS pnl FROM lineitem GROUP BY 1, 2),
+    round(sum(l_extendedprice * (l_discount - l_tax)), 4) AS pnl, count(*) AS trades FROM lineitem GROUP BY 1, 2),
 ds AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY day) - 1 AS k FROM daily),
 sz AS (SELECT run, count(*) AS n FROM ds GROUP BY 1)"""
 
@@ -184,14 +195,14 @@ def walk_forward_windows(spark, sf_dir):
 
 
 @query("walk_forward_expectancy", "WITH " + _WIN_SQL + """
-SELECT win.run, "window", count(*) AS days, round(sum(pnl), 4) AS total, round(avg(pnl), 2) AS expectancy FROM win JOIN daily d
+SELECT win.run, "window", count(*) AS days, round(sum(pnl), 4) AS total, round(sum(pnl) / sum(trades), 2) AS expectancy FROM win JOIN daily d
   ON d.run = win.run AND CAST(d.day AS TIMESTAMP) >= test_start AND CAST(d.day AS TIMESTAMP) < test_end GROUP BY 1, 2""", digits=4)
 def walk_forward_expectancy(spark, sf_dir):
     d = daily(spark, sf_dir)
     rows = d.withColumn("ts", F.col("day").cast("timestamp"))
     w = val.assign_test_windows(rows, _spans(d), ["run"], ts="ts", train_days=365, test_days=90, step_days=60)
     return w.groupBy("run", "window").agg(F.count(F.lit(1)).alias("days"), F.sum("pnl").alias("total"),
-        F.round(F.avg("pnl"), 2).alias("expectancy"))
+        F.round(_per_trade(), 2).alias("expectancy"))
 
 
 @query("purged_kfold", "WITH " + DAILY_SQL + """,
@@ -234,30 +245,51 @@ def block_bootstrap(spark, sf_dir):
     return rows.groupBy("run", "resample").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("weighted"))
 
 
-@query("randomized_entry", "WITH " + _plan_sql(0, 500) + """,
-nul AS (SELECT run, resample, avg(pnl) AS m FROM bs GROUP BY 1, 2),
+def _trade_plan_sql(seed: int, n: int) -> str:
+    """The plan over single trades: pl (run, resample, block_no, start, len) of ds (run, k, pnl)."""
+    plan = _plan_sql(seed, n)
+    plan = plan[plan.index("bl AS"):plan.index(",\nbs AS")]
+    return f"""
+ds AS (SELECT l_returnflag AS run, l_extendedprice * (l_discount - l_tax) AS pnl, row_number() OVER (PARTITION BY l_returnflag ORDER BY {_ORD}) - 1 AS k FROM lineitem),
+sz AS (SELECT run, count(*) AS n FROM ds GROUP BY 1),
+{plan}"""
+
+
+def _trade_boot(s, n: int, seed: int) -> DataFrame:
+    sizes = s.df.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    return val.bootstrap_blocks(sizes, ["run"], n_resamples=n, seed=seed)
+
+
+@query("randomized_entry", "WITH " + _trade_plan_sql(0, 500) + """,
+cs AS (SELECT run, k, sum(pnl) OVER (PARTITION BY run ORDER BY k) AS c FROM ds),
+nul AS (SELECT pl.run, resample, sum(e.c - coalesce(b.c, 0)) / any_value(n) AS m FROM pl JOIN cs e ON e.run = pl.run AND e.k = pl.start + pl.len - 1
+  LEFT JOIN cs b ON b.run = pl.run AND b.k = pl.start - 1 GROUP BY 1, 2),
 ob AS (SELECT run, avg(pnl) AS observed FROM ds GROUP BY 1)
 SELECT ob.run, round(observed, 4) AS observed, count(*) AS resamples, round(avg((m < observed)::INT), 3) AS rank, round(avg(m), 4) AS null_mean
 FROM nul JOIN ob ON ob.run = nul.run GROUP BY ob.run, observed""", digits=4)
 def randomized_entry(spark, sf_dir):
-    s, plan = _boot(spark, sf_dir, 500, 0)
-    null = val.bootstrap_paths(s, plan, "pnl")
+    """Mean pnl of block resamples of the trades, and the observed mean's rank among them."""
+    s = trade_series(spark, sf_dir).settle()
+    null = val.bootstrap_paths(s, _trade_boot(s, 500, 0), "pnl")
     obs = s.df.groupBy("run").agg(F.avg("pnl").alias("observed"))
+    null = materialize(null)
     rank = val.percentile_rank(null, obs, ["run"], "mean_pnl")
     return null.groupBy("run").agg(F.count(F.lit(1)).alias("resamples"), F.avg("mean_pnl").alias("null_mean")).join(
         rank, "run").select("run", "observed", "resamples", F.round("rank", 3).alias("rank"), "null_mean")
 
 
-@query("mc_drawdown_p95", "WITH " + _plan_sql(10000, 500) + """,
-e AS (SELECT run, resample, block_no, k, sum(pnl) OVER w AS eqv FROM bs WINDOW w AS (PARTITION BY run, resample ORDER BY block_no, k)),
-p AS (SELECT *, greatest(0, max(eqv) OVER (PARTITION BY run, resample ORDER BY block_no, k)) - eqv AS dd FROM e),
+@query("mc_drawdown_p95", "WITH " + _trade_plan_sql(10000, 500) + """,
+bs AS (SELECT p.run, resample, block_no, i, ds.pnl FROM (SELECT *, unnest(range(len)) AS i FROM pl) p JOIN ds ON ds.run = p.run AND ds.k = p.start + p.i),
+e AS (SELECT run, resample, block_no, i, sum(pnl) OVER w AS eqv FROM bs WINDOW w AS (PARTITION BY run, resample ORDER BY block_no, i)),
+p AS (SELECT *, greatest(0, max(eqv) OVER (PARTITION BY run, resample ORDER BY block_no, i)) - eqv AS dd FROM e),
 d AS (SELECT p.run, resample, max(dd) / (SELECT sum(abs(pnl)) FROM ds WHERE ds.run = p.run) AS dd FROM p GROUP BY 1, 2),
 o AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY dd) - 1 AS i FROM d)
 SELECT run, round(dd, 6) AS mc_p95_drawdown_pct FROM o WHERE i = least(499, floor(0.95 * 500))""")
 def mc_drawdown_p95(spark, sf_dir):
-    s, plan = _boot(spark, sf_dir, 500, 10_000)
+    """The drawdown that one resample of the trades in twenty exceeds, over the sum of all moves."""
+    s = trade_series(spark, sf_dir).settle()
     base = s.df.groupBy("run").agg(F.sum(F.abs("pnl")).alias("_base"))
-    dd = val.bootstrap_paths(s, plan, "pnl").join(base, "run").withColumn(
+    dd = val.bootstrap_paths(s, _trade_boot(s, 500, 10_000), "pnl").join(base, "run").withColumn(
         "dd", F.col("max_drawdown") / F.when(F.col("_base") > 0, F.col("_base")).otherwise(1.0))
     return val.index_quantile(dd, ["run"], "dd").withColumnRenamed("quantile", "mc_p95_drawdown_pct")
 
@@ -480,7 +512,7 @@ def artifact_audit(spark, sf_dir):
 @query("validation_battery", "WITH " + LEDGER_SQL + "," + DAILY_SQL + f""",
 m AS (SELECT run, count(*) AS n, sum(pnl) FILTER (WHERE pnl > 0) / -sum(pnl) FILTER (WHERE pnl < 0) AS pf, avg(pnl) AS ex,
     avg(pnl) / stddev_samp(pnl) AS sr, max(peak - eqv) / abs(max(peak)) AS dd, avg(pnl - l_extendedprice * 0.001) AS stressed FROM pk GROUP BY run),
-lb AS (SELECT ds.run, avg(pnl) AS lockbox FROM ds JOIN sz ON sz.run = ds.run WHERE k >= floor(n * 0.8::DOUBLE) GROUP BY 1),
+lb AS (SELECT ds.run, sum(pnl) / sum(trades) AS lockbox FROM ds JOIN sz ON sz.run = ds.run WHERE k >= floor(n * 0.8::DOUBLE) GROUP BY 1),
 wf AS (SELECT run, avg((expectancy > 0)::INT) AS rate FROM ({ORACLES['walk_forward_expectancy']}) GROUP BY 1),
 re AS ({ORACLES['randomized_entry']}), mc AS ({ORACLES['mc_drawdown_p95']}),
 fam AS (SELECT count(*) AS n_trials, var_samp(sr) AS v FROM m),
@@ -503,18 +535,16 @@ def validation_battery(spark, sf_dir):
         "run", F.col("trade_count").alias("n"), "profit_factor", "expectancy", "sharpe")
     dd = metrics.summarize(parts, ["run"]).select("run", (F.col("max_dd") / F.abs("top")).alias("dd"))
     stressed = led.groupBy("run").agg(F.avg(F.col("pnl") - F.col("l_extendedprice") * 0.001).alias("stressed"))
-    s, null_plan = _boot(spark, sf_dir, 500, 0)
-    s = s.settle()
-    sizes = s.df.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
-    draw_plan = val.bootstrap_blocks(sizes, ["run"], n_resamples=500, seed=10_000)
-    lockbox = val.ratio_split(s, 0.8).df.where("part = 'oos'").groupBy("run").agg(F.avg("pnl").alias("lockbox"))
+    s = index_series(daily(spark, sf_dir), ("run",), order="day").settle()
+    t = trade_series(spark, sf_dir).settle()
+    lockbox = val.ratio_split(s, 0.8).df.where("part = 'oos'").groupBy("run").agg(_per_trade().alias("lockbox"))
     rows = s.df.withColumn("ts", F.col("day").cast("timestamp"))
     win = val.assign_test_windows(rows, _spans(s.df), ["run"], ts="ts", train_days=365, test_days=90, step_days=60)
-    rate = win.groupBy("run", "window").agg(F.avg("pnl").alias("e")).groupBy("run").agg(
+    rate = win.groupBy("run", "window").agg(F.round(_per_trade(), 2).alias("e")).groupBy("run").agg(
         F.avg(F.when(F.col("e") > 0, 1.0).otherwise(0.0)).alias("rate"))
-    obs = s.df.groupBy("run").agg(F.avg("pnl").alias("observed"), F.sum(F.abs("pnl")).alias("_base"))
-    rank = val.percentile_rank(val.bootstrap_paths(s, null_plan, "pnl"), obs, ["run"], "mean_pnl").select("run", "rank")
-    paths = val.bootstrap_paths(s, draw_plan, "pnl").join(obs, "run").withColumn("dd", F.col("max_drawdown") / F.col("_base"))
+    obs = t.df.groupBy("run").agg(F.avg("pnl").alias("observed"), F.sum(F.abs("pnl")).alias("_base"))
+    rank = val.percentile_rank(val.bootstrap_paths(t, _trade_boot(t, 500, 0), "pnl"), obs, ["run"], "mean_pnl").select("run", "rank")
+    paths = val.bootstrap_paths(t, _trade_boot(t, 500, 10_000), "pnl").join(obs, "run").withColumn("dd", F.col("max_drawdown") / F.col("_base"))
     p95 = val.index_quantile(paths, ["run"], "dd").withColumnRenamed("quantile", "p95")
     stats = m
     for part in (dd, stressed, lockbox, rate, materialize(rank), materialize(p95)):

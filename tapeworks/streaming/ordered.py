@@ -76,8 +76,8 @@ class InOrder(StatefulProcessor):
                 pdf = pdf[~pdf[BEAT].fillna(False).astype(bool)].drop(columns=BEAT)
             if len(pdf):
                 for b, part in pdf.groupby(pdf["event_us"].to_numpy() // (self.bucket_seconds * _US)):
-                    held = self.waiting.getValue((int(b),))[0] if self.waiting.containsKey((int(b),)) else b""
-                    self.waiting.updateValue((int(b),), (bytes(held) + _pack(part),))
+                    held = self.waiting.getValue((int(b),))  # nothing yet: None
+                    self.waiting.updateValue((int(b),), (bytes(held[0] if held else b"") + _pack(part),))
                 first = int(pdf["event_us"].min() if first is None else min(first, pdf["event_us"].min()))
         if first is not None:
             self._wake(first)
@@ -85,7 +85,8 @@ class InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        state = tuple(self.value.get()) if self.value.exists() else self.FIRST
+        known = self.value.get()
+        state = tuple(known) if known else self.FIRST
         ahead = None
         for (b,) in sorted(self.waiting.keys()):
             if b * self.bucket_seconds * _US > now:
