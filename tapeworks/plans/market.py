@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tapeworks.functions import timeexpr as tx
@@ -13,6 +15,8 @@ from tapeworks.plans.tables import (
     BOS_SQL, TICKS_SQL, WEEKLY_SQL, bars, bars_sql, ema_first_sql, ema_mean_sql, rma_sql, series,
     supertrend_sql, table, ticks, tr_sql, tsi_sql, with_bars,
 )
+from tapeworks.sources import ticks as archives
+from tapeworks.storage import shared_dir
 
 _OHLC = ["symbol", "timeframe", "ts", "open", "high", "low", "close", "volume", "bid", "ask",
          "spread"]
@@ -450,3 +454,17 @@ def time_gaps(spark, sf_dir):
     wide = F.unix_micros("ts") - F.unix_micros("prev_ts") > 5_400_000_000
     return s.df.where(wide & F.col("is_open") & F.col("prev_open")).select(
         "symbol", "prev_ts", "ts")
+
+
+# --- tick archives --------------------------------------------------------------------------
+
+@query("tick_archive_round_trip", """
+SELECT event_type AS symbol, date_trunc('milliseconds', ts) AS ts, round(value, 5) AS ask, round(value / 2, 5) AS bid, 1.0::DOUBLE AS ask_vol, 0.5::DOUBLE AS bid_vol FROM events""")
+def tick_archive_round_trip(spark, sf_dir):
+    """All events written as hourly archives and read back by the archive source."""
+    root = f"{shared_dir(spark).rstrip('/')}/tapeworks/archives-{uuid.uuid4().hex}"
+    t = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("ask"),
+        (F.col("value") / 2).alias("bid"), F.lit(1.0).alias("ask_vol"), F.lit(0.5).alias("bid_vol"))
+    archives.write_tick_archives(t, root)
+    return archives.tick_archives(spark, root).drop("seq")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeworks.dims import INSTRUMENTS
@@ -13,6 +15,8 @@ from tapeworks.operators import signal_store as store
 from tapeworks.plans.market import _FLAGS_SQL, _PRIMARY_SQL
 from tapeworks.plans.registry import query
 from tapeworks.plans.tables import table
+from tapeworks.sources import feeds
+from tapeworks.storage import materialize
 
 _SYMBOLS = [s for s, *_ in INSTRUMENTS]
 _SESSIONS = ["ASIA", "LONDON", "NEWYORK", "OVERLAP"]
@@ -275,6 +279,30 @@ def prefs_normalized(spark, sf_dir):
         F.greatest(F.lit(0), F.least(F.lit(100), k % 140 - 20)).alias("min_score"))
 
 
+@query("user_registry", """
+WITH u AS (SELECT c_custkey AS telegram_id, CASE c_custkey % 3 WHEN 0 THEN 'Premium' WHEN 1 THEN 'free' ELSE 'PRO' END AS tier, c_custkey % 11 = 0 AS banned,
+    CASE c_custkey % 4 WHEN 0 THEN '["EUR/USD","XAU/USD"]' WHEN 1 THEN '["GBP/USD"]' WHEN 2 THEN '[]' END AS pairs,
+    CASE c_custkey % 3 WHEN 0 THEN '["LONDON","NEWYORK"]' ELSE '["ASIA"]' END AS sessions, greatest(0, least(100, c_custkey % 140 - 20)) AS min_score,
+    c_custkey % 50 AS a, c_custkey % 31 + 20 AS b FROM customer)
+SELECT telegram_id, tier, banned, row_number() OVER (PARTITION BY lower(tier) ORDER BY telegram_id) AS place,
+  '{' || CASE WHEN pairs IS NULL THEN '' ELSE '"pairs":' || pairs || ',' END || '"sessions":' || sessions || ',"min_score":' || min_score || '}' AS prefs,
+  CASE WHEN a + b = 60 THEN '{"structure":' || a || ',"momentum":' || b || ',"session":30,"cost":10}' END AS weights FROM u""")
+def user_registry(spark, sf_dir):
+    """Users with messy preferences, stored as VARIANT and read again; each one's place by id in the tier,
+    preferences and score weights as JSON text."""
+    k = F.col("c_custkey")
+    pairs = F.when(k % 4 == 0, '[" xau/usd", "EUR/USD", ""]').when(k % 4 == 1, '["gbp/usd","GBP/USD "]').when(k % 4 == 2, "[]").otherwise('"none"')
+    text = F.concat(F.lit('{"pairs": '), pairs, F.lit(', "sessions": '), F.when(k % 3 == 0, '["ny", "London"]').otherwise('["asia "]'), F.lit(', "min_score": '), k % 140 - 20, F.lit("}"))
+    users = table(spark, sf_dir, "customer").select(
+        k.alias("telegram_id"), F.when(k % 3 == 0, "Premium").when(k % 3 == 1, "free").otherwise("PRO").alias("tier"), (k % 11 == 0).alias("banned"), F.parse_json(text).alias("prefs"))
+    u = feeds.subscribers(materialize(users))
+    place = F.row_number().over(Window.partitionBy(F.lower("tier")).orderBy("telegram_id"))
+    tiers = [fanout.by_tier(u, t).withColumn("place", place) for t in ("free", "pro", "premium")]
+    a, b = F.col("telegram_id") % 50, F.col("telegram_id") % 31 + 20
+    return reduce(DataFrame.union, tiers).select(
+        "telegram_id", "tier", "banned", "place", sc.prefs_json(F.col("prefs")).alias("prefs"), sc.weights_json(a, b, F.lit(30), F.lit(10)).alias("weights"))
+
+
 # --- gates and repeats ----------------------------------------------------------------------
 
 @query("alert_gates", _w("""

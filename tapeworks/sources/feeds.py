@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 from pyspark.sql.types import ArrayType, StructType
 
 from tapeworks.functions.scalars import falsy, normalize_names, normalize_symbol
@@ -87,11 +88,14 @@ def price_ticks(raw: DataFrame, known: list[str] | None = None) -> DataFrame:
 
 
 def subscribers(rows: DataFrame) -> DataFrame:
-    """Subscriber rows with JSON ``prefs`` text parsed and normalised; banned defaults to false."""
-    p = F.from_json("prefs", "pairs ARRAY<STRING>, sessions ARRAY<STRING>, min_score INT")
+    """Subscriber rows with ``prefs``, JSON text or VARIANT, read and normalised; what it lacks or has in
+    another type counts as absent. banned defaults to false."""
+    doc = F.col("prefs") if isinstance(rows.schema["prefs"].dataType, VariantType) else F.try_parse_json("prefs")
+    pairs, sessions = (F.try_variant_get(doc, f"$.{name}", "array<string>") for name in ("pairs", "sessions"))
+    score = F.try_variant_get(doc, "$.min_score", "int")
     clean = F.struct(
-        normalize_names(p["pairs"]).alias("pairs"),
-        normalize_names(p["sessions"], {"NY": "NEWYORK"}).alias("sessions"),
-        F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce(p["min_score"], F.lit(0)))).alias("min_score"))
+        normalize_names(pairs).alias("pairs"),
+        normalize_names(sessions, {"NY": "NEWYORK"}).alias("sessions"),
+        F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce(score, F.lit(0)))).alias("min_score"))
     banned = F.coalesce("banned", F.lit(False)) if "banned" in rows.columns else F.lit(False)
     return rows.withColumn("banned", banned).withColumn("prefs", clean)

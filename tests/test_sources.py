@@ -5,7 +5,7 @@ import struct
 from datetime import UTC
 
 import pytest
-from helpers import bars, walk
+from helpers import T0, bars, walk
 from pyspark.sql import functions as F
 
 from tapeworks.operators import bars as br
@@ -189,3 +189,21 @@ def test_json_text(spark):
     assert json.loads(r["p"]) == {"pairs": ["a", "b"], "sessions": ["X"], "min_score": 5}
     assert json.loads(r["w"])["cost"] == 20 and r["bad"] is None
     assert (r["a"], r["b"], r["c"], r["h"], r["s"]) == ("XAU/USD", "XAU/USD", None, 2, 25)
+
+
+def test_archives_by_day_with_pushed_filters(spark, tmp_path):
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThan
+
+    rows = [(s, T0 + dt.timedelta(hours=h, milliseconds=i), 10 * h + i, 1.5 + i, 1.25 + h, 2.0, 0.5) for s in ("AB", "CD") for h in (0, 1, 5, 30, 31) for i in range(3)]
+    root = str(tmp_path / "ticks")
+    assert ticks.write_tick_archives(spark.createDataFrame(rows, ticks.TICK_DDL).repartition(3), root) == 10
+    got = ticks.tick_archives(spark, root)
+    assert sorted((r.symbol, r.ts, r.ask, r.bid) for r in got.collect()) == sorted((s, t, a, b) for s, t, _, a, b, *_ in rows)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, ticks.read_tick_archives(spark, root).collect()))
+    some = got.where((F.col("symbol") == "CD") & (F.col("ts") >= T0 + dt.timedelta(hours=5)) & (F.col("ts") < T0 + dt.timedelta(hours=31)))
+    assert sorted(r.ts.hour for r in some.collect()) == [5, 5, 5, 6, 6, 6]
+    reader = ticks._Reader(root)
+    at = T0.replace(tzinfo=dt.timezone.utc)
+    kept = list(reader.pushFilters([EqualTo(("symbol",), "CD"), GreaterThanOrEqual(("ts",), at + dt.timedelta(hours=5)), LessThan(("ts",), at + dt.timedelta(hours=31))]))
+    assert len(kept) == 2 and [len(p.files) for p in reader.partitions()] == [1, 2]  # hours 5, and 30 and 31
+    assert ticks.tick_archives(spark, str(tmp_path / "none")).count() == 0
