@@ -509,6 +509,47 @@ def artifact_audit(spark, sf_dir):
     return trials.audit(art, trial_log(stats))
 
 
+@query("campaign_audit", "WITH " + STATS_SQL + """,
+mine AS (SELECT * FROM lt WHERE campaign_id = 'N3' AND strategy = 'S1'),
+art AS (SELECT DISTINCT CASE WHEN l_suppkey % 7 = 0 THEN 'X' || l_suppkey ELSE 'T' || l_suppkey END AS trial_id FROM st WHERE s_nationkey = 3)
+SELECT 'orphan artifact' AS violation, trial_id AS subject FROM art WHERE trial_id NOT IN (SELECT result_id FROM mine)
+UNION ALL SELECT 'complete trial without artifacts', result_id FROM mine WHERE status = 'COMPLETE' AND result_id NOT IN (SELECT trial_id FROM art)""")
+def campaign_audit(spark, sf_dir):
+    """The audit of one campaign's strategy: artifacts of others count as orphans there."""
+    stats = supplier_stats(spark, sf_dir)
+    sid = F.regexp_extract("run_id", r"(\d+)", 1).cast("bigint")
+    art = run_artifacts(stats).withColumn(
+        "trial_id", F.when(sid % 7 == 0, F.concat(F.lit("X"), sid)).otherwise(F.col("run_id")))
+    return trials.audit(art, trial_log(stats), campaign=("N3", "S1"))
+
+
+_NARROW = "strategy, instrument, timeframe"
+
+
+@query("narrow_family_dsr", "WITH " + STATS_SQL[:STATS_SQL.index("log AS")] + f"""
+lt AS (SELECT 'S' || (l_suppkey % 2) AS strategy, 'I' || (s_nationkey % 3) AS instrument, CASE l_suppkey % 3 WHEN 0 THEN '1h' ELSE '4h' END AS timeframe,
+    'T' || l_suppkey AS run_id, sharpe AS observed_sharpe, n AS n_obs FROM st),
+{DSR_SQL.strip().replace(_FAM, _NARROW)},
+z AS (SELECT lt.*, n_trials, v, sr0, (observed_sharpe - sr0) * sqrt(n_obs - 1) / sqrt(greatest(1e-12, 1 + 1.25 * observed_sharpe * observed_sharpe)) AS z FROM lt JOIN ev USING ({_NARROW}))
+SELECT run_id, {_NARROW}, n_trials, round(sr0, 6) AS benchmark_sharpe, CASE WHEN n_trials > 1 AND NOT v > 0 THEN NULL ELSE round({cdf_sql('z')}, 6) END AS probability FROM z""")
+def narrow_family_dsr(spark, sf_dir):
+    """Deflated Sharpe of every trial against the trials of its strategy, instrument and timeframe."""
+    stats, sid, fam = supplier_stats(spark, sf_dir), F.col("l_suppkey"), _NARROW.split(", ")
+    t = materialize(stats.select(
+        F.concat(F.lit("S"), sid % 2).alias("strategy"), F.concat(F.lit("I"), F.col("s_nationkey") % 3).alias("instrument"), F.when(sid % 3 == 0, "1h").otherwise("4h").alias("timeframe"),
+        F.concat(F.lit("T"), sid).alias("result_id"), F.col("sharpe").alias("observed_sharpe"), F.col("n").alias("n_obs")))
+    out = trials.family_dsr(t.drop("n_obs"), fam, t.withColumnRenamed("result_id", "run_id"))
+    return out.select("run_id", *fam, "n_trials", "benchmark_sharpe", "probability")
+
+
+@query("bootstrap_statistic", "WITH " + _plan_sql(7, 40) + """
+SELECT run, resample, round(max(pnl) - min(pnl), 4) AS stat FROM bs GROUP BY 1, 2""", digits=4)
+def bootstrap_statistic(spark, sf_dir):
+    """A statistic that needs all rows of a resample: the span of daily pnl."""
+    s, plan = _boot(spark, sf_dir, 40, 7)
+    return val.bootstrap_statistic(s, plan, "pnl", F.max("pnl") - F.min("pnl"))
+
+
 @query("validation_battery", "WITH " + LEDGER_SQL + "," + DAILY_SQL + f""",
 m AS (SELECT run, count(*) AS n, sum(pnl) FILTER (WHERE pnl > 0) / -sum(pnl) FILTER (WHERE pnl < 0) AS pf, avg(pnl) AS ex,
     avg(pnl) / stddev_samp(pnl) AS sr, max(peak - eqv) / abs(max(peak)) AS dd, avg(pnl - l_extendedprice * 0.001) AS stressed FROM pk GROUP BY run),

@@ -184,6 +184,18 @@ def market_open(spark, sf_dir):
     ).agg(F.count(F.lit(1)).alias("ticks"), F.sum("value").alias("value_sum"))
 
 
+@query("market_open_calendar", f"""WITH t AS (SELECT event_type, ts, {_local('ts')} AS lt FROM events),
+hol AS (SELECT DISTINCT CAST(lt AS DATE) AS day, CASE WHEN day(lt) % 5 = 0 THEN 'closed' ELSE 'half' END AS kind FROM t WHERE day(lt) % 5 = 0 OR day(lt) % 7 = 3)
+SELECT event_type, {_open_sql('lt', 'kind')} AS is_open, count(*) AS ticks FROM t LEFT JOIN hol ON hol.day = CAST(lt AS DATE) GROUP BY 1, 2""")
+def market_open_calendar(spark, sf_dir):
+    """Openness under a calendar of one's own: every fifth day closed, some others half."""
+    ev = table(spark, sf_dir, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
+    day = F.to_date(F.from_utc_timestamp("ts", tx.NEW_YORK))
+    d = F.dayofmonth("day")
+    own = ev.select(day.alias("day")).distinct().where((d % 5 == 0) | (d % 7 == 3)).withColumn("kind", F.when(d % 5 == 0, "closed").otherwise("half"))
+    return tx.with_market_open(ev, calendar=own).groupBy("event_type", "is_open").agg(F.count(F.lit(1)).alias("ticks"))
+
+
 @query("trading_day_volume", f"""
 WITH {TICKS_SQL}, t AS (SELECT *, {_local('ts')} AS lt FROM ticks)
 SELECT symbol, CASE WHEN hour(lt) < 17 THEN CAST(lt AS DATE) - 1 ELSE CAST(lt AS DATE) END

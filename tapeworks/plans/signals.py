@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tapeworks.dims import INSTRUMENTS
 from tapeworks.functions import scalars as sc
 from tapeworks.functions import timeexpr as tx
-from tapeworks.operators import fanout, risk
+from tapeworks.operators import fanout, risk, rules
 from tapeworks.operators import signal_store as store
 from tapeworks.plans.market import _FLAGS_SQL, _PRIMARY_SQL
 from tapeworks.plans.registry import query
@@ -279,6 +279,17 @@ def prefs_normalized(spark, sf_dir):
         F.greatest(F.lit(0), F.least(F.lit(100), k % 140 - 20)).alias("min_score"))
 
 
+@query("paper_choice", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CASE o_custkey % 3 WHEN 0 THEN 'LONG' WHEN 1 THEN 'SHORT' ELSE 'FLAT' END
+  WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_custkey % 2 = 0 THEN 'LONG' ELSE 'SHORT' END ELSE 'FLAT' END AS signal FROM orders""")
+def paper_choice(spark, sf_dir):
+    """What the paper position follows: the slow trend while it is open, else a confluent signal."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    trend = F.when(c % 3 == 0, "LONG").when(c % 3 == 1, "SHORT").otherwise("FLAT")
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", rules.paper_signal(k % 3 == 0, k % 2 == 0, F.when(c % 2 == 0, "LONG").otherwise("SHORT"), trend).alias("signal"))
+
+
 @query("user_registry", """
 WITH u AS (SELECT c_custkey AS telegram_id, CASE c_custkey % 3 WHEN 0 THEN 'Premium' WHEN 1 THEN 'free' ELSE 'PRO' END AS tier, c_custkey % 11 = 0 AS banned,
     CASE c_custkey % 4 WHEN 0 THEN '["EUR/USD","XAU/USD"]' WHEN 1 THEN '["GBP/USD"]' WHEN 2 THEN '[]' END AS pairs,
