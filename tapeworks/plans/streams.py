@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tapeworks.functions.timeexpr import bar_floor
 from tapeworks.operators import rules
 from tapeworks.operators.series import index_series
 from tapeworks.plans.market import PIVOT_SQL
@@ -13,11 +14,13 @@ from tapeworks.plans.registry import query
 from tapeworks.plans.tables import (
     BOS_SQL, KEYS, WEEKLY_SQL, bars, ema_first_sql, rma_sql, supertrend_sql, table, tr_sql, tsi_sql, with_bars,
 )
+from tapeworks.plans.signals import _w, signals
 from tapeworks.plans.trading import pwr_sql, walk_sql, zones_sql
+from tapeworks.sources.tables import read_bars
 from tapeworks.storage import materialize, shared_dir
 from tapeworks.streaming import ordered, state
 from tapeworks.streaming.indicators import OUT, LiveIndicators
-from tapeworks.streaming.live import stream_bars
+from tapeworks.streaming.live import TickJob, stream_bars
 
 
 def new_folder(spark) -> str:
@@ -146,3 +149,30 @@ def stream_loss_governor(spark, sf_dir):
     ev = drain_in_order(spark, live, ["account", "trading_day"], state.LossGovernor(), state.RISK_OUT)
     return ev.where("tripped").select("account", "trading_day", "realized_r", "trades")
 
+
+
+@query("stream_late_ticks", """
+SELECT event_type AS symbol, time_bucket(INTERVAL 1 HOUR, ts) AS ts, round(arg_min(value, ts), 6) AS open, round(max(value), 6) AS high, round(min(value), 6) AS low,
+  round(arg_max(value, ts), 6) AS close, count(*)::DOUBLE AS volume FROM events GROUP BY 1, 2""")
+def stream_late_ticks(spark, sf_dir):
+    """Events dealt into six files that overlap over the whole time, a file a batch: bars include every late tick."""
+    base = new_folder(spark)
+    t = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.col("value").alias("bid"),
+        F.col("value").alias("ask"), F.lit(1.0).alias("volume"), F.pmod(F.xxhash64("event_id"), F.lit(6)).alias("part"))
+    t.repartition(6, "part").write.partitionBy("part").parquet(f"{base}/in")
+    live = spark.readStream.schema(t.drop("part").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{base}/in")
+    job = TickJob(f"{base}/ticks", f"{base}/bars", 60, "1h")
+    q = live.writeStream.foreachBatch(job).option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return read_bars(spark, f"{base}/bars").select("symbol", "ts", "open", "high", "low", "close", "volume")
+
+
+@query("stream_alerts", _w("SELECT id, symbol, direction, ts FROM e WHERE NOT dup", """
+e AS (SELECT id, symbol, direction, ts, coalesce(lag(direction) OVER w = direction AND lag(h4) OVER w = h4, false) AS dup
+  FROM (SELECT *, time_bucket(INTERVAL 4 HOUR, ts) AS h4 FROM sg) WINDOW w AS (PARTITION BY symbol ORDER BY ts, id))"""))
+def stream_alerts(spark, sf_dir):
+    """Signals that are sent: not the same direction and four-hour bar as the symbol's last one."""
+    s = signals(spark, sf_dir).select("symbol", "ts", "direction", bar_floor(F.col("ts"), 240).alias("h4_ts"), F.col("id").cast("string").alias("id"))
+    out = drain_in_order(spark, _bar_stream(spark, s), ["symbol"], state.AlertMemory(), state.ALERT_OUT)
+    return out.select("id", "symbol", "direction", "ts")

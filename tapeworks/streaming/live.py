@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,34 @@ def bar_sink(root: str, timeframe: str) -> Callable[[DataFrame, int], None]:
     return save
 
 
+@dataclass(frozen=True)
+class TickJob:
+    """foreachBatch body for ticks that may come at any time: bars are right after every batch.
+
+    A batch's ticks are stored under its number, so a replay replaces them. The bars that they
+    touch are built anew from all stored ticks of those days and upserted, late ones like others.
+    """
+
+    tick_root: str
+    bar_root: str
+    minutes: int
+    timeframe: str
+
+    def __call__(self, batch: DataFrame, epoch: int) -> None:
+        spark, cell = batch.sparkSession, F.window("ts", f"{self.minutes} minutes")["start"]
+        ticks = batch.withColumn("day", F.to_date("ts"))
+        path = f"{self.tick_root}/batch={epoch}"
+        ticks.write.mode("overwrite").partitionBy("day").parquet(path)
+        own = spark.read.schema(ticks.schema).parquet(path)
+        touched = own.select("symbol", cell.alias("cell")).distinct()
+        days = own.select("day").distinct().union(own.select(F.to_date(cell)).distinct()).union(
+            own.select(F.to_date(cell + F.make_dt_interval(mins=F.lit(self.minutes - 1))))).distinct()
+        known = spark.read.schema(ticks.schema).parquet(self.tick_root).join(F.broadcast(days), "day", "left_semi")  # a batch's few days
+        known = known.withColumn("cell", cell).join(touched, ["symbol", "cell"], "left_semi").drop("cell", "day")
+        bars = stream_bars(known, self.minutes).withColumn("timeframe", F.lit(self.timeframe))
+        write_bars(bars, self.bar_root, upsert=True)
+
+
 def signal_sink(score: Callable[[DataFrame], DataFrame], append: Callable[[DataFrame], None],
                 known: Callable[[], DataFrame]) -> Callable[[DataFrame, int], None]:
     """foreachBatch job: score the batch's closed bars, keep new signal ids, append them."""

@@ -3,7 +3,7 @@
 Rows wait in state, packed by (key, time bucket), until an event-time timer says that the watermark
 passed them; then they are released bucket by bucket in time order. Results so don't depend on how
 the input was cut into batches, and memory holds one bucket of one key. Rows behind the watermark
-are late: Spark drops them before they get here (``live.late_rows`` keeps them).
+are late: Spark drops them before they get here (``live.TickJob`` takes late ticks as well).
 
 The watermark moves with the data, so the last rows of a stream that ended wait for ever. A *beat* is a
 row without payload that only moves the watermark; ``beat_source`` and ``send_beat`` make one from far ahead.

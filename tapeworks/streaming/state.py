@@ -22,6 +22,7 @@ PAPER_OUT = (
     "symbol STRING, ts TIMESTAMP, kind STRING, price DOUBLE, pnl DOUBLE, cumulative_pnl DOUBLE"
 )
 REPEAT_OUT = "symbol STRING, direction STRING, ts TIMESTAMP, accepted BOOLEAN"
+ALERT_OUT = "symbol STRING, ts TIMESTAMP, direction STRING, h4_ts TIMESTAMP, id STRING"
 RISK_OUT = "account STRING, ts TIMESTAMP, trading_day STRING, realized_r DOUBLE, trades INT, halted BOOLEAN, tripped BOOLEAN"
 STALL_OUT = "symbol STRING, last_tick TIMESTAMP, stalled_at TIMESTAMP"
 
@@ -83,6 +84,24 @@ class RepeatGuard(InOrder):
         return (free,), out
 
 
+class AlertMemory(InOrder):
+    """Alerts of a symbol unless the one sent last has the same direction and slow bar; only that one
+    is remembered. Input: symbol, ts, direction, h4_ts, id."""
+
+    STATE = "direction STRING, h4 BIGINT"
+    FIRST = ("", -1)
+    ties = ("id",)
+    bucket_seconds = 30 * 86_400
+
+    def advance(self, key, state, rows):
+        pair = pd.DataFrame({"d": rows["direction"], "h": rows["h4_ts"].astype("datetime64[us]").astype("int64")})
+        before = pair.shift(1)
+        before.loc[0, ["d", "h"]] = state
+        new = (pair["d"] != before["d"]) | (pair["h"] != before["h"])  # a repeat leaves the pair that it repeats
+        last = pair.iloc[-1]
+        return (str(last["d"]), int(last["h"])), rows.loc[new, ["symbol", "ts", "direction", "h4_ts", "id"]]
+
+
 class LossGovernor(InOrder):
     """Latching daily halt. Input: account, ts, trading_day, pnl_r in event order."""
 
