@@ -12,15 +12,16 @@ from tapeworks.operators.series import index_series
 from tapeworks.plans.market import PIVOT_SQL
 from tapeworks.plans.registry import query
 from tapeworks.plans.tables import (
-    BOS_SQL, KEYS, WEEKLY_SQL, bars, ema_first_sql, rma_sql, supertrend_sql, table, tr_sql, tsi_sql, with_bars,
+    BOS_SQL, KEYS, TICKS_SQL, WEEKLY_SQL, bars, ema_first_sql, rma_sql, supertrend_sql, table, tr_sql, tsi_sql, with_bars,
 )
 from tapeworks.plans.signals import _w, signals
-from tapeworks.plans.trading import pwr_sql, walk_sql, zones_sql
+from tapeworks.plans.trading import SCORED_SQL, pwr_sql, scan_sql, walk_sql, zones_sql
 from tapeworks.sources.tables import read_bars
 from tapeworks.storage import materialize, shared_dir
 from tapeworks.streaming import ordered, state
 from tapeworks.streaming.indicators import OUT, LiveIndicators
 from tapeworks.streaming.live import TickJob, stream_bars
+from tapeworks.streaming.signals import ScanJob
 
 
 def new_folder(spark) -> str:
@@ -176,3 +177,19 @@ def stream_alerts(spark, sf_dir):
     s = signals(spark, sf_dir).select("symbol", "ts", "direction", bar_floor(F.col("ts"), 240).alias("h4_ts"), F.col("id").cast("string").alias("id"))
     out = drain_in_order(spark, _bar_stream(spark, s), ["symbol"], state.AlertMemory(), state.ALERT_OUT)
     return out.select("id", "symbol", "direction", "ts")
+
+
+@query("stream_scored_signals", "WITH " + ",".join([TICKS_SQL, *scan_sql(), SCORED_SQL]) + """
+SELECT symbol, ts, direction, confluence, score_total::INTEGER AS score_total FROM sx""")
+def stream_scored_signals(spark, sf_dir):
+    """The scored-signal job over 15-minute bars that arrive in three batches: equal to the scan of all bars at once."""
+    base = new_folder(spark)
+    b = materialize(bars(spark, sf_dir, 15).select("symbol", "ts", "open", "high", "low", "close"))
+    span = b.agg(F.min("ts").alias("a"), F.max("ts").alias("z")).first()
+    third = F.floor(3 * (F.unix_micros("ts") - F.unix_micros(F.lit(span["a"]))) / (F.unix_micros(F.lit(span["z"])) - F.unix_micros(F.lit(span["a"])) + 1))
+    for i in range(3):  # files are taken in the order they were written
+        b.where(third == i).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    live = spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    job = ScanJob(f"{base}/bars", f"{base}/signals", threshold=0, scan_params={"h4_params": {"max_risk_pips": 2000.0}})
+    live.writeStream.foreachBatch(job).option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/signals").select("symbol", "ts", "direction", "confluence", F.col("score_total").cast("int").alias("score_total"))

@@ -38,7 +38,7 @@ class ScanJob:
     news: DataFrame | None = None
     halted: DataFrame | None = None
     threshold: int = 50
-    lookback_days: int = 90
+    lookback_days: int | None = None  # None: indicators see all bars of the batch's symbols
     scan_params: dict | None = None
     deliver: Callable[[DataFrame], None] | None = None
 
@@ -64,10 +64,10 @@ class ScanJob:
     def decide(self, spark: SparkSession, batch: DataFrame) -> DataFrame:
         """Every decision row of the batch with score, confidence and reject reason."""
         touched = batch.groupBy("symbol").agg(F.max("ts").alias("_last"))
-        back = F.make_dt_interval(days=F.lit(self.lookback_days))
-        fine = read_bars(spark, self.bar_root).where("timeframe = '15m'").drop("year", "month")
-        fine = materialize(fine.join(touched, "symbol").where(
-            F.col("ts") > F.col("_last") - back).drop("_last"))
+        fine = read_bars(spark, self.bar_root).where("timeframe = '15m'").drop("year", "month").join(touched, "symbol")
+        if self.lookback_days is not None:
+            fine = fine.where(F.col("ts") > F.col("_last") - F.make_dt_interval(days=F.lit(self.lookback_days)))
+        fine = materialize(fine.drop("_last"))
         m15 = index_series(fine, KEYS)
         h1, h4 = (index_series(resample_bars(fine, m), KEYS) for m in (60, 240))
         at = batch.select("symbol", (F.col("ts") + F.make_dt_interval(mins=F.lit(15))).alias("ts"))
