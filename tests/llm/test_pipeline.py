@@ -35,6 +35,8 @@ def folder(spark, tmp_path_factory):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(path / "labels.parquet"))
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(path / "benchmark.parquet"))
     spark.createDataFrame([(1, "http://a.com/de/", "")], "page_id long, url string, html string").write.parquet(str(path / "pages.parquet"))
+    vectors = [(i, [float((i * k) % 17) for k in range(1, 7)]) for i in range(60)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(str(path / "embeddings.parquet"))
     return str(path)
 
 
