@@ -1,4 +1,5 @@
 import datetime as dt
+import itertools
 import math
 import random
 import statistics
@@ -140,6 +141,27 @@ def test_bootstrap_paths_equal_row_level(spark):
     assert sorted(map(tuple, plan.collect())) == sorted(map(tuple, again.collect()))
 
 
+@pytest.mark.parametrize("rows_per_chunk", [5, 40, 100_000])
+def test_block_summaries_across_chunks(spark, rows_per_chunk):
+    """Blocks within, across and longer than a chunk of rows; rows without a value add nothing."""
+    rng = random.Random(4)
+    vs = {"a": [None if rng.random() < 0.1 else rng.gauss(0, 1) for _ in range(203)], "b": [rng.gauss(0, 1) for _ in range(9)]}
+    df = spark.createDataFrame([(r, i, v) for r, xs in vs.items() for i, v in enumerate(xs)], "run STRING, i BIGINT, v DOUBLE")
+    s = index_series(df, ("run",), order="i", bucket=F.floor(F.col("i") / 50), rows_per_chunk=rows_per_chunk)
+    sizes = s.df.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    plan = val.bootstrap_blocks(sizes, ["run"], n_resamples=60, seed=5)
+    drawn = {(r["run"], r["resample"], r["block_no"]): (r["start"], r["len"]) for r in plan.collect()}
+    found = val.block_summaries(s, plan, "v").collect()
+    assert len(found) == len(drawn) == 60 * (15 + 3)
+    for r in found:
+        start, n = drawn[r["run"], r["resample"], r["block_no"]]
+        xs = vs[r["run"]][start:start + n]
+        cum = list(itertools.accumulate(x or 0.0 for x in xs))
+        dd = max(max(cum[:i + 1]) - c for i, c in enumerate(cum))
+        assert (r["n"], len(xs)) == (sum(x is not None for x in xs), n)
+        assert (r["total"], r["top"], r["bottom"], r["dd"]) == pytest.approx((cum[-1], max(cum), min(cum), dd), abs=1e-9)
+
+
 def test_splits(spark):
     s = index_series(spark.createDataFrame([("r", i) for i in range(23)], "run STRING, i BIGINT"), ("run",), order="i")
     parts = dict(val.ratio_split(s, 0.7).df.groupBy("part").count().collect())
