@@ -73,10 +73,10 @@ def price_ticks(raw: DataFrame, known: list[str] | None = None) -> DataFrame:
     """Ticks from JSON price events in ``value`` (batch or streaming).
 
     Missing bid or ask falls back to the price, missing volume to 0, missing timestamp to the
-    last trade time; other events, unknown symbols and unparseable rows are dropped.
+    last trade time; other events, unknown symbols and unparseable rows are dropped. A price of 0 is one.
     """
     e = raw.select(F.from_json("value", schema(PRICE_EVENT_DDL)).alias("e")).select("e.*")
-    price = falsy(F.col("price"))
+    price = F.col("price").try_cast("double")
     at = F.coalesce(F.nullif("timestamp", F.lit(0)), F.nullif("last_trade_time", F.lit(0)))
     vol = F.coalesce(falsy(F.col("last_volume")), F.lit(0.0))
     t = e.where(F.col("event") == "price").select(

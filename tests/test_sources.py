@@ -108,6 +108,13 @@ def test_price_event_fallbacks(spark):
     assert feeds.price_ticks(df, ["GBP/USD"]).count() == 1
 
 
+def test_price_of_zero_is_a_tick(spark):
+    ev = [{"event": "price", "symbol": "EUR/USD", "price": "0", "ask": "0.5", "timestamp": 5}, {"event": "price", "symbol": "EUR/USD", "price": "0.0", "timestamp": 6},
+          {"event": "price", "symbol": "EUR/USD", "price": None, "ask": "0.5", "timestamp": 7}]
+    r = feeds.price_ticks(spark.createDataFrame([(json.dumps(e),) for e in ev], "value STRING")).orderBy("ts").collect()
+    assert [(x["price"], x["bid"], x["ask"]) for x in r] == [(0.0, 0.0, 0.5), (0.0, 0.0, 0.0)]
+
+
 def test_subscriber_prefs(spark):
     df = spark.createDataFrame([(1, '{"pairs": [" eur/usd", ""], "sessions": ["ny", "NEWYORK"], "min_score": 140}')], "telegram_id BIGINT, prefs STRING")
     r = feeds.subscribers(df).first()
