@@ -1,8 +1,9 @@
 """Keyed state that advances in event time, whatever order rows arrive in.
 
 Rows wait in state, packed by (key, time bucket), until an event-time timer says that the watermark
-passed them; then they are released bucket by bucket in time order. Results so don't depend on how
-the input was cut into batches, and memory holds one bucket of one key. Rows behind the watermark
+passed them; then they are released bucket by bucket in time order. A bucket's rows are pieces under
+numbers of their own: what waits is written once and not again with every piece that comes. Results
+don't depend on how the input was cut into batches, and memory holds one bucket of one key. Rows behind the watermark
 are late: Spark drops them before they get here (``live.TickJob`` takes late ticks as well).
 
 The watermark moves with the data, so the last rows of a stream that ended wait for ever. A *beat* is a
@@ -12,6 +13,7 @@ row without payload that only moves the watermark; ``beat_source`` and ``send_be
 from __future__ import annotations
 
 import io
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,11 +34,8 @@ def _pack(rows: pd.DataFrame) -> bytes:
 
 
 def _unpack(raw: bytes) -> pd.DataFrame:
-    source, found = pa.BufferReader(raw), []
-    while source.tell() < source.size():
-        with pa.ipc.open_stream(source) as r:
-            found.append(r.read_all().to_pandas())
-    return pd.concat(found, ignore_index=True)
+    with pa.ipc.open_stream(pa.BufferReader(raw)) as r:
+        return r.read_all().to_pandas()
 
 
 class InOrder(StatefulProcessor):
@@ -50,11 +49,13 @@ class InOrder(StatefulProcessor):
     FIRST: tuple = (0,)
     ties: tuple[str, ...] = ()
     bucket_seconds = 86_400
+    piece_rows = 50_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.value = handle.getValueState("value", self.STATE)
-        self.waiting = handle.getMapState("waiting", "bucket BIGINT", "rows BINARY")
+        self.waiting = handle.getMapState("waiting", "bucket BIGINT, piece BIGINT", "rows BINARY")
+        self.pieces = handle.getValueState("pieces", "n BIGINT")
 
     def advance(self, key: tuple, state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
         """The state after ordered rows (``event_us`` is their time in microseconds), and what they give."""
@@ -69,17 +70,29 @@ class InOrder(StatefulProcessor):
                 self.handle.deleteTimer(t)
             self.handle.registerTimer(at)
 
+    def _hold(self, rows: pd.DataFrame, piece: int) -> None:
+        bucket = rows["event_us"].to_numpy() // (self.bucket_seconds * _US)
+        for b, part in rows.groupby(bucket):
+            self.waiting.updateValue((int(b), piece), (_pack(part),))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        first, known = None, self.pieces.get()
+        piece, held, n = known[0] if known else 0, [], 0
         for pdf in rows:
             if BEAT in pdf:
                 pdf = pdf[~pdf[BEAT].fillna(False).astype(bool)].drop(columns=BEAT)
             if len(pdf):
-                for b, part in pdf.groupby(pdf["event_us"].to_numpy() // (self.bucket_seconds * _US)):
-                    held = self.waiting.getValue((int(b),))  # nothing yet: None
-                    self.waiting.updateValue((int(b),), (bytes(held[0] if held else b"") + _pack(part),))
+                held.append(pdf)
+                n += len(pdf)
                 first = int(pdf["event_us"].min() if first is None else min(first, pdf["event_us"].min()))
+            if n >= self.piece_rows:
+                self._hold(pd.concat(held), piece)
+                piece, held, n = piece + 1, [], 0
+        if held:
+            self._hold(pd.concat(held), piece)
+            piece += 1
         if first is not None:
+            self.pieces.update((piece,))
             self._wake(first)
         yield from ()
 
@@ -88,20 +101,22 @@ class InOrder(StatefulProcessor):
         known = self.value.get()
         state = tuple(known) if known else self.FIRST
         ahead = None
-        for (b,) in sorted(self.waiting.keys()):
+        for b, pieces in itertools.groupby(sorted(self.waiting.keys()), key=lambda at: at[0]):
             if b * self.bucket_seconds * _US > now:
                 ahead = b * self.bucket_seconds * _US  # as good as its first row
                 break
-            rows = _unpack(bytes(self.waiting.getValue((b,))[0]))
+            at = [(b, p) for _, p in pieces]
+            rows = pd.concat([_unpack(bytes(self.waiting.getValue(x)[0])) for x in at], ignore_index=True)
             ripe = rows["event_us"] <= now
             if ripe.any():
                 state, out = self.advance(key, state, rows[ripe].sort_values(["event_us", *self.ties], kind="stable", ignore_index=True))
                 if len(out):
                     yield out
-            if ripe.all():
-                self.waiting.removeKey((b,))
-            else:
-                self.waiting.updateValue((b,), (_pack(rows[~ripe]),))
+                for x in at:
+                    self.waiting.removeKey(x)
+                if not ripe.all():
+                    self.waiting.updateValue(at[0], (_pack(rows[~ripe]),))
+            if not ripe.all():
                 ahead = int(rows.loc[~ripe, "event_us"].min())
                 break
         self.value.update(state)

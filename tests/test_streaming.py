@@ -100,6 +100,80 @@ def test_order_of_arrival_changes_nothing(spark, tmp_path, delay, disorder):
     assert sorted(map(tuple, got)) == _accepted(rows, dt.timedelta(hours=1))
 
 
+def test_a_tables_files_come_in_no_order(spark, tmp_path):
+    """Without a delay named, no row of a table is late, however many batches its files make."""
+    rng = random.Random(9)
+    rows = [(rng.choice("AB"), "L", T0 + dt.timedelta(minutes=rng.randrange(60 * 24 * 30), seconds=i % 60)) for i in range(300)]
+    s = feed(spark, str(tmp_path / "in"), [rows[i : i + 60] for i in range(0, 300, 60)], REPEATS)
+    got = drain_in_order(spark, s, ["symbol", "direction"], state.RepeatGuard(), state.REPEAT_OUT).collect()
+    assert sorted(map(tuple, got)) == _accepted(rows, dt.timedelta(hours=1))
+
+
+class _Kept(dict):
+    """State of one key that counts what is written."""
+
+    def __init__(self):
+        self.written = 0
+
+    def updateValue(self, k, v):
+        self.written += len(v[0])
+        self[k] = v
+
+    getValue, removeKey = dict.get, dict.pop
+    get = lambda self: dict.get(self, 0)
+    update = lambda self, v: self.__setitem__(0, v)
+
+
+class _Handle:
+    def __init__(self):
+        self.states, self.timers = {}, set()
+
+    def getMapState(self, name, *_):
+        return self.states.setdefault(name, _Kept())
+
+    getValueState = getMapState
+    listTimers = lambda self: list(self.timers)
+    registerTimer = lambda self, t: self.timers.add(t)
+    deleteTimer = lambda self, t: self.timers.discard(t)
+
+
+def test_waiting_rows_are_written_once():
+    import pandas as pd
+
+    def written(batches):
+        guard, handle = state.RepeatGuard(), _Handle()
+        guard.init(handle)
+        for i in range(batches):
+            pdf = pd.DataFrame({"ts": pd.to_datetime([T0]), "event_us": [i * 1_000_000]})
+            list(guard.handleInputRows(("A", "L"), iter([pdf]), None))
+        return handle.states["waiting"].written
+
+    assert written(80) == 8 * written(10)
+
+
+def test_loss_governor_goes_on_across_pieces():
+    import pandas as pd
+
+    rng = random.Random(5)
+    fills = [(d, rng.choice([-1.4, -0.3, 0.2])) for d in ("d1", "d2", "d3") for _ in range(rng.choice([3, 5, 11]))]
+    want, day = [], None
+    for d, x in fills:
+        if d != day:
+            day, r, n, halted = d, 0.0, 0, False
+        trip = False
+        if not halted:
+            r, n = r + x, n + 1
+            trip = halted = r <= -3 or n >= 6
+        want.append((d, r, n, halted, trip))
+    for size in (1, 4, len(fills)):
+        gov, st, got = state.LossGovernor(), state.LossGovernor.FIRST, []
+        for i in range(0, len(fills), size):
+            pdf = pd.DataFrame(fills[i : i + size], columns=["trading_day", "pnl_r"]).assign(ts=T0)
+            st, out = gov.advance(("acc",), st, pdf)
+            got += list(out[["trading_day", "realized_r", "trades", "halted", "tripped"]].itertuples(index=False, name=None))
+        assert got == want
+
+
 def test_rows_wait_for_the_watermark(spark, tmp_path):
     rows = [[("A", "L", T0 + dt.timedelta(hours=h))] for h in (0, 5, 3, 9, 2)]
     s = feed(spark, str(tmp_path / "in"), rows, REPEATS)
