@@ -86,7 +86,8 @@ class RepeatGuard(InOrder):
 
 class AlertMemory(InOrder):
     """Alerts of a symbol unless the one sent last has the same direction and slow bar; only that one
-    is remembered. Input: symbol, ts, direction, h4_ts, id."""
+    is remembered. Input: symbol, ts, direction, h4_ts, id. The first of a slow bar is always sent, so a
+    symbol may be keyed with a span of whole slow bars as well."""
 
     STATE = "direction STRING, h4 BIGINT"
     FIRST = ("", -1)
@@ -113,17 +114,26 @@ class LossGovernor(InOrder):
 
     def advance(self, key, state, rows):
         day, r, trades, halted = state
+        days = rows["trading_day"]
         out = []
-        for row in rows.itertuples():
-            if row.trading_day != day:
-                day, r, trades, halted = row.trading_day, 0.0, 0, False
-            tripped = False
-            if not halted:
-                r, trades = r + row.pnl_r, trades + 1
-                tripped = halted = r <= -self.max_loss_r or trades >= self.max_trades
-            out.append((key[0], row.ts, day, r, trades, halted, tripped))
-        names = ["account", "ts", "trading_day", "realized_r", "trades", "halted", "tripped"]
-        return (day, float(r), int(trades), bool(halted)), pd.DataFrame(out, columns=names)
+        for _, part in rows.groupby((days != days.shift()).cumsum(), sort=False):
+            if part["trading_day"].iloc[0] != day:
+                day, r, trades, halted = part["trading_day"].iloc[0], 0.0, 0, False
+            n = len(part)
+            total = np.cumsum([r, *part["pnl_r"]])[1:]
+            count = trades + np.arange(1, n + 1)
+            stop = (total <= -self.max_loss_r) | (count >= self.max_trades)
+            tripped = np.zeros(n, bool)
+            if halted:
+                total, count, stop = np.full(n, r), np.full(n, trades), np.ones(n, bool)
+            elif stop.any():
+                at = int(stop.argmax())
+                tripped[at] = True
+                total[at:], count[at:], stop[at:] = total[at], count[at], True
+            r, trades, halted = float(total[-1]), int(count[-1]), bool(stop[-1])
+            out.append(pd.DataFrame({
+                "account": key[0], "ts": part["ts"], "trading_day": day, "realized_r": total, "trades": count.astype("int32"), "halted": stop, "tripped": tripped}))
+        return (day, r, trades, halted), pd.concat(out, ignore_index=True)
 
 
 class StallWatch(StatefulProcessor):
